@@ -14,12 +14,30 @@ from pyspark.sql import functions as F
 
 from codesift.operators.inventory import inventory
 from codesift.plans.cases_generic import GENERIC_CASES
+from codesift.plans.cases_go import GO_CASES
+from codesift.plans.cases_js import JS_CASES
 from codesift.schema import local_table
 from codesift.session import configure
 
 
 def all_cases() -> list[tuple[str, list[tuple[str, str, str]]]]:
-    return [(name, files) for name, files in GENERIC_CASES]
+    """Case number = position: (name, [(path, body, note style)])."""
+    out = list(GENERIC_CASES)
+    out += [(name, [(path, body, "//")]) for name, path, body, _ in JS_CASES]
+    out += [(name, [(path, body, "gostr")]) for name, path, body, _ in GO_CASES]
+    return out
+
+
+def expected_rows() -> list[tuple[int, str, str, str, int, int, str]]:
+    """(case_no, path, rule, variant, line, column, evidence) of the code cases."""
+    number = {name: no for no, (name, _) in enumerate(all_cases())}
+    rows = []
+    for name, path, body, expected in [*JS_CASES, *GO_CASES]:
+        lines = body.split("\n")
+        for rule, variant, line, anchor, evidence in expected:
+            column = len(lines[line - 1][: lines[line - 1].index(anchor)].encode()) + 1
+            rows.append((number[name], path, rule, variant, line, column, evidence))
+    return rows
 
 
 def case_rows() -> list[tuple[int, str, str, str]]:

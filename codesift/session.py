@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 # Joins inside one file are on (file_id, something).  Every token-level table is
 # hash-partitioned on file_id alone, so allowing a subset of the join keys to
@@ -16,6 +16,7 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.requireAllClusterKeysForDistribution": "false",
+    "spark.sql.sources.bucketing.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -34,6 +35,7 @@ def local_session(cores: str = "8", app: str = "codesift") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CODESIFT_DRIVER_MEMORY", "12g"))
         .config("spark.driver.extraJavaOptions", "-Xss8m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -56,10 +58,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Hold a table that several branches of one plan read.
+def buckets(spark: SparkSession) -> int:
+    """How many pieces token-level tables have: the session's shuffle width."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Blocks lost with an executor are recomputed from the short lineage behind
-    them (scan, one exchange, projections and windows); nothing is truncated.
+
+def keep(df: DataFrame, key: str = "file_id", label: str = "t") -> DataFrame:
+    """Write an intermediate table to the shared folder, bucketed by ``key``.
+
+    Reading it back is column-pruned, needs no exchange for windows and joins
+    inside a file, starts a fresh short plan, and survives the loss of any
+    executor because the files are in the shared folder.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    name = f"codesift_{label}_{uuid.uuid4().hex[:12]}"
+    path = shared_dir(spark, name)
+    df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
