@@ -517,9 +517,9 @@ RULES = {
 }
 
 
-def js_pack(files: DataFrame, only: list[str] | None = None) -> DataFrame:
+def js_pack(files: DataFrame, only: list[str] | None = None, tables: ScriptTables | None = None) -> DataFrame:
     """Raw findings of the pack; test files are read but never reported."""
-    t = ScriptTables(files.where(~F.col("is_test")))
+    t = tables or ScriptTables(files.where(~F.col("is_test")))
     flow_rules = {"JS007", "JS008", "JS009", "JS012", "JS014", "JS016", "JS017"}
     wanted = [r for r in RULES if only is None or r in only or (r == "FLOW" and flow_rules & set(only))]
     hits = _union([RULES[r](t) for r in wanted])
