@@ -15,8 +15,8 @@ from codesift.functions import names
 from codesift.operators import flow
 from codesift.operators import structure as st
 from codesift.operators import tokens as tk
+from codesift.operators.tables import TableSet
 from codesift.schema import local_table
-from codesift.session import keep
 
 ASSIGN_OPS = ["=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "&^="]
 CONTROL = ["if", "for", "switch"]
@@ -72,17 +72,14 @@ def _flags() -> dict[str, Column]:
     return {"src": source, "log": (kind == "ident") & names.go_log_name(text)}
 
 
-class GoTables:
+class GoTables(TableSet):
     """Tables derived from Go files; built on demand, shared by all rules."""
 
+    label = "go"
+
     def __init__(self, files: DataFrame):
+        super().__init__()
         self.files = files.where(F.col("ext") == ".go")
-        self._made: dict[str, DataFrame] = {}
-
-    def _once(self, name: str, make, kept: bool = False) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = keep(make(), label=f"go_{name}") if kept else make()
-        return self._made[name]
 
     @property
     def pieces(self) -> DataFrame:

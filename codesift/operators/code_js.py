@@ -11,6 +11,7 @@ from codesift.operators import flow
 from codesift.operators import structure as st
 from codesift.operators import tokens as tk
 from codesift.operators.inventory import SCRIPT_EXTENSIONS
+from codesift.operators.tables import TableSet
 from codesift.schema import local_table
 from codesift.session import keep
 
@@ -81,17 +82,14 @@ def script_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext").isin(SCRIPT_EXTENSIONS))
 
 
-class ScriptTables:
+class ScriptTables(TableSet):
     """Tables derived from script files; built on demand, shared by all rules."""
 
+    label = "js"
+
     def __init__(self, files: DataFrame):
+        super().__init__()
         self.files = script_files(files)
-        self._made: dict[str, DataFrame] = {}
-
-    def _once(self, name: str, make) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
 
     @property
     def rows(self) -> DataFrame:

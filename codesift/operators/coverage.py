@@ -76,7 +76,7 @@ def file_counts(files: DataFrame, with_tokens: bool = True) -> DataFrame:
     return whole.groupBy("repo").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
 
 
-def _applies() -> Column:
+def applies() -> Column:
     a = F.col("analyzer")
     return (
         F.when(a == GENERIC, F.col("files") > 0).when(a == GO, F.col("go") + F.col("go_failures") > 0).otherwise(F.col("js") > 0)
@@ -107,14 +107,14 @@ def coverage_rows(counts: DataFrame) -> DataFrame:
     )
     detail = F.when(F.col("status") == NOT_AUTOMATED, F.lit("needs a model of authority or state; not automated")).otherwise(partial_detail)
     blocked = (F.col("analyzer") == GENERIC) & (F.col("read_errors") > 0)
-    shown = rows.where(_applies() & ~blocked).select(
+    shown = rows.where(applies() & ~blocked).select(
         "repo", "analyzer", "attack_class",
         F.when((F.col("analyzer") == GENERIC) & (files == 0), F.lit(NOT_APPLICABLE)).otherwise(F.col("status")).alias("status"),
         detail.alias("detail"), files.alias("files"),
     )
     analyzers = counts.withColumn("analyzer", F.explode(F.array(F.lit(GENERIC), F.lit(GO), F.lit(JS))))
     stopped = (F.col("analyzer") == GENERIC) & (F.col("read_errors") > 0)
-    rest = analyzers.where(~_applies() | stopped).select(
+    rest = analyzers.where(~applies() | stopped).select(
         "repo", "analyzer", F.lit("").alias("attack_class"),
         F.when(stopped, F.lit(BLOCKED)).otherwise(F.lit(NOT_APPLICABLE)).alias("status"),
         F.when(stopped, F.lit("a file could not be read")).otherwise(F.lit("no matching files")).alias("detail"),

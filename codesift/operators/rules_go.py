@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -452,10 +452,11 @@ def go_pack(files: DataFrame, only: list[str] | None = None, tables: GoTables |
     def wanted(rules) -> bool:
         return only is None or bool(set(rules) & set(only))
 
-    nodes = [make(t) for rules, make in RULES.items() if wanted(rules)]
-    parts = [with_text(t, _union(nodes))] if nodes else []
-    parts += [make(t) for rule, make in OTHER.items() if wanted([rule])]
-    hits = _union(parts)
+    found = {"hits_" + rules[0]: partial(make, t) for rules, make in RULES.items() if wanted(rules)}
+    other = {"hits_" + rule: partial(make, t) for rule, make in OTHER.items() if wanted([rule])}
+    tables = t.all_of({**found, **other})
+    nodes, rest = tables[: len(found)], tables[len(found):]
+    hits = _union(([with_text(t, _union(nodes))] if nodes else []) + rest)
     if only is not None:
         hits = hits.where(F.col("rule_id").isin(only))
     where = t.tokens.where(F.col("idx") == 0).select("file_id", "repo", "path")

@@ -6,7 +6,7 @@ resolved once for all of them.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -475,7 +475,7 @@ def _nested_templates(toks: DataFrame) -> DataFrame:
 
 def html(t: ScriptTables) -> DataFrame:
     """JS004: markup sinks that are not provably safe."""
-    sinks = keep(html_sinks(t), label="js_html")
+    sinks = t._once("html_sinks", lambda: html_sinks(t), kept=True)
     # Right-hand sides matter only in files that have a markup sink at all.
     held = t.bindings.where(~F.col("is_barrier")).join(sinks.select("file_id").distinct(), "file_id", "left_semi")
     values = t.assigned.join(held.select("file_id", "eq").distinct(), ["file_id", "eq"], "left_semi")
@@ -522,7 +522,7 @@ def js_pack(files: DataFrame, only: list[str] | None = None, tables: ScriptTable
     t = tables or ScriptTables(files.where(~F.col("is_test")))
     flow_rules = {"JS007", "JS008", "JS009", "JS012", "JS014", "JS016", "JS017"}
     wanted = [r for r in RULES if only is None or r in only or (r == "FLOW" and flow_rules & set(only))]
-    hits = _union([RULES[r](t) for r in wanted])
+    hits = _union(t.all_of({"hits_" + r: partial(RULES[r], t) for r in wanted}))
     if only is not None:
         hits = hits.where(F.col("rule_id").isin(only))
     where = t.tokens.select("file_id", "idx", "repo", "path", "line", F.col("col").alias("column"))

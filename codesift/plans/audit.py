@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +17,24 @@ from codesift.operators.inventory import analysed, inventory, inventory_counts
 from codesift.operators.rules_generic import generic_pack
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
+from codesift.operators.tables import TableSet
 from codesift.plans.corpus import code_files
-from codesift.session import keep
 
 # The extension point: a pack maps an audit to raw findings.  Custom packs may
 # add the columns analyzer, severity, tags and blocker.
 Pack = Callable[["Audit"], DataFrame]
 
 
-class Audit:
+class Audit(TableSet):
     """Tables of one corpus.  Everything is lazy; shared tables are written once."""
 
+    label = "audit"
+
     def __init__(self, files: DataFrame, packs: dict[str, Pack] | None = None, **options):
+        super().__init__()
         self.files = files
         self.inventory = inventory(files, **options)
         self.packs = packs or PACKS
-        self._made: dict[str, object] = {}
-
-    def _once(self, name: str, make):
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
 
     @property
     def kept(self) -> DataFrame:
@@ -50,12 +49,19 @@ class Audit:
         return self._once("go", lambda: GoTables(self.kept.where(~F.col("is_test"))))
 
     def raw(self, *names: str) -> DataFrame:
-        return fd.union_packs([self.packs[n](self) for n in (names or self.packs)])
+        """Raw findings of the named packs (all by default), each written once."""
+        wanted = names or tuple(self.packs)
+        return fd.union_packs(self.all_of({f"raw_{n}": partial(self.packs[n], self) for n in wanted}))
+
+    def all_of(self, makers):
+        # Raw findings have no file key any more; spread them by path.
+        with ThreadPoolExecutor(len(makers)) as pool:
+            jobs = [pool.submit(self._once, name, make, True, "path") for name, make in makers.items()]
+            return [job.result() for job in jobs]
 
     @property
     def raw_findings(self) -> DataFrame:
-        """Raw findings of all packs, written once."""
-        return self._once("raw", lambda: keep(self.raw(), key="repo", label="raw"))
+        return self.raw()
 
     @property
     def findings(self) -> DataFrame:
@@ -63,7 +69,7 @@ class Audit:
 
     @property
     def counts(self) -> DataFrame:
-        return self._once("counts", lambda: keep(cov.file_counts(self.kept), key="repo", label="counts"))
+        return self._once("counts", lambda: cov.file_counts(self.kept), True, "repo")
 
     @property
     def coverage(self) -> DataFrame:

@@ -71,7 +71,8 @@ def keep(df: DataFrame, key: str = "file_id", label: str = "t") -> DataFrame:
     executor because the files are in the shared folder.
     """
     spark = df.sparkSession
-    name = f"codesift_{label}_{uuid.uuid4().hex[:12]}"
+    plain = "".join(c if c.isalnum() else "_" for c in label)
+    name = f"codesift_{plain}_{uuid.uuid4().hex[:12]}"
     path = shared_dir(spark, name)
     df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).mode("overwrite").saveAsTable(name)
     return spark.table(name)
