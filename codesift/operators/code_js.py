@@ -102,9 +102,9 @@ class ScriptTables(TableSet):
             flags = _flags()
             base = base.withColumns({f"f_{k}": v for k, v in flags.items()})
             out = st.nested(base, {k: F.col(f"f_{k}") for k in flags})
-            return keep(st.keyed(out.drop("off", "size", "pos")), label="js_rows")
+            return st.keyed(out.drop("off", "size", "pos"))
 
-        return self._once("rows", make)
+        return self._once("rows", make, kept=True)
 
     @property
     def tokens(self) -> DataFrame:
@@ -121,12 +121,12 @@ class ScriptTables(TableSet):
             ends = [(F.col(f"c_{c}") - F.col(f"f_{c}").cast("int")).alias(f"c_{c}") for c in COUNTERS]
             after = F.struct("idx", "role", "n1", "nk1", "pk1", *ends)
             names_kept = ["file_id", "idx", "role", "grp", "bl", "p1", "p2", "p3", "p4", "p5", "pk1", "n1", "nk1", *[f"c_{c}" for c in COUNTERS]]
-            return keep(rows.withColumns({
+            return rows.withColumns({
                 "nx": F.lead(after, 1).over(w), "nx2": F.lead(after, 2).over(w),
                 "arg_no": (F.row_number().over(w) - 1).cast("int"),
-            }).select(*names_kept, "nx", "nx2", "arg_no"), label="js_seps")
+            }).select(*names_kept, "nx", "nx2", "arg_no")
 
-        return self._once("seps", make)
+        return self._once("seps", make, kept=True)
 
     @property
     def args(self) -> DataFrame:
@@ -182,7 +182,7 @@ class ScriptTables(TableSet):
     @property
     def imports(self) -> DataFrame:
         """imports(file_id, local, family, member): member NULL = whole namespace."""
-        return self._once("imports", lambda: keep(self._imports(), label="js_imports"))
+        return self._once("imports", lambda: keep(self._imports()))
 
     def _imports(self) -> DataFrame:
         t = self.tokens
@@ -228,7 +228,7 @@ class ScriptTables(TableSet):
     @property
     def api_calls(self) -> DataFrame:
         """Calls resolved to a module export: adds family, method, anchor."""
-        return self._once("api_calls", lambda: keep(self._api_calls(), label="js_api"))
+        return self._once("api_calls", lambda: keep(self._api_calls()))
 
     def _api_calls(self) -> DataFrame:
         exports = [(f, x) for f, (_, xs) in API_EXPORTS.items() for x in xs]
@@ -318,7 +318,7 @@ class ScriptTables(TableSet):
             eqs = self.tokens.where(F.col("text") == "=").select(
                 "file_id", "idx", "lv", *[f"c_{c}" for c in COUNTERS], F.col("n1").alias("first"), F.col("nk1").alias("first_kind")
             )
-            return keep(self.flow_spans(eqs).withColumnRenamed("idx", "eq").where(F.col("s") <= F.col("e")), label="js_assigned")
+            return keep(self.flow_spans(eqs).withColumnRenamed("idx", "eq").where(F.col("s") <= F.col("e")))
 
         return self._once("assigned", make)
 
@@ -353,7 +353,7 @@ class ScriptTables(TableSet):
             for part in (bare.where(told), as_param):
                 out = out.unionByName(part.withColumn("is_barrier", F.lit(True)).select(*cols))
             placed = st.enclosing(out.withColumnRenamed("pos", "idx"), self.braces, "bl").where(F.col("scope_level") == F.col("bl"))
-            return keep(placed.withColumnRenamed("idx", "pos").drop("scope_level"), label="js_bindings")
+            return keep(placed.withColumnRenamed("idx", "pos").drop("scope_level"))
 
         return self._once("bindings", make)
 
@@ -385,7 +385,7 @@ class ScriptTables(TableSet):
                 "file_id", F.col("pos").alias("idx"), "bl", F.col("pos").alias("point_id"), F.col("used").alias("name")
             )
             seen = self.see(points).where(~F.col("is_barrier"))
-            return keep(seen.select("file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos")), label="js_edges")
+            return keep(seen.select("file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos")))
 
         return self._once("edges", make)
 
@@ -397,7 +397,7 @@ class ScriptTables(TableSet):
             values = self.bindings.where(~F.col("is_barrier")).join(self.source_files, "file_id", "left_semi").join(
                 self.assigned.select("file_id", "eq", (F.col("x_src") > 0).alias("has_source")), ["file_id", "eq"]
             )
-            return keep(flow.tainted_bindings(values.select("file_id", "pos", "name", "has_source"), self.edges), label="js_tainted")
+            return keep(flow.tainted_bindings(values.select("file_id", "pos", "name", "has_source"), self.edges))
 
         return self._once("tainted", make)
 
@@ -435,6 +435,6 @@ class ScriptTables(TableSet):
             ends = flow.alias_ends(links)
             values = held.select("file_id", F.col("pos").alias("end_pos"), *[f"x_{c}" for c in COUNTERS])
             first = held.select("file_id", "pos").join(ends, ["file_id", "pos"], "left").withColumn("end_pos", F.coalesce("end_pos", "pos"))
-            return keep(first.join(values, ["file_id", "end_pos"]), label="js_aliases")
+            return keep(first.join(values, ["file_id", "end_pos"]))
 
         return self._once("alias_values", make)

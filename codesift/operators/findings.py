@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions.text import clean_tags, fingerprint, trimmed
-from codesift.schema import rule_catalogue
+from codesift.schema import RULE_IDS, rule_catalogue
 
 VERDICT_RANK = {"confirmed": 3, "needs_validation": 2, "hardening": 1}
 SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "informational": 1}
@@ -48,7 +48,10 @@ def normalize(found: DataFrame) -> DataFrame:
     kept = F.when(F.col("fingerprint") != "", F.col("fingerprint")) if "fingerprint" in have else F.lit(None)
     return out.withColumns({
         "fingerprint": F.coalesce(kept, own),
-        "confidence": F.coalesce(F.when(F.col("confidence") != "", F.col("confidence")), F.lit("medium")),
+        # Catalogue rules take their confidence from the catalogue (see ``describe``).
+        "confidence": F.coalesce(
+            F.when(F.col("confidence") != "", F.col("confidence")), F.when(~F.col("rule_id").isin(RULE_IDS), F.lit("medium"))
+        ),
         "severity": F.when(F.col("verdict") == "confirmed", F.col("severity")),
         "tags": clean_tags(F.col("tags")),
     })
@@ -99,7 +102,7 @@ def summarize(found: DataFrame) -> DataFrame:
 
 def by_severity(summary: DataFrame) -> DataFrame:
     """Fold the severity counters into one map without zero entries."""
-    entries = F.array(*[F.struct(F.lit(s), F.col(f"severity_{s}")) for s in SEVERITY_RANK])
+    entries = F.array(*[F.struct(F.lit(s).alias("key"), F.col(f"severity_{s}").alias("value")) for s in SEVERITY_RANK])
     present = F.map_filter(F.map_from_entries(entries), lambda _, n: n > 0)
     return summary.withColumn("by_severity", present).drop(*[f"severity_{s}" for s in SEVERITY_RANK])
 

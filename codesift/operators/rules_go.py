@@ -209,7 +209,7 @@ def tainted_args(t: GoTables) -> DataFrame:
     sinks = _union([df.select(*cols) for df in (get, redirect, program, origin)]).withColumns({
         "sink_id": F.concat_ws(":", "rule_id", "open_idx"), "idx": F.col("anchor").cast("int"), "s": F.col("start_idx"), "e": F.col("end_idx"),
     })
-    sinks = keep(sinks, label="go_sinks")
+    sinks = keep(sinks)
     reached = sinks.join(t.tainted_sinks(sinks), ["file_id", "sink_id"], "left_semi")
     plain = reached.where(F.col("rule_id") != "GO022").select(
         "file_id", "rule_id", F.col("anchor").cast("int").alias("from_idx"), F.col("close_idx").cast("int").alias("to_idx")
@@ -246,12 +246,19 @@ def trusted_names(t: GoTables) -> DataFrame:
     """trusted(file_id, name, scope, from_idx, form): loop variables over constant
     lists, directory entries, and names behind a strict pattern guard."""
     ranges = t.ranges.where((F.col("no") == 1) & F.col("s").isNotNull()).select("file_id", "name", "pos", "body", "s", "e", "word", "close_idx")
-    firsts = ranges.join(t.grouped.select("file_id", F.col("idx").alias("s"), F.col("text").alias("first"), F.col("kind").alias("first_kind")), ["file_id", "s"])
-    spans = firsts.withColumns({
-        "ref_id": F.col("body").cast("string"), "idx": F.col("word"), "plus": F.lit(False), "x_src": F.lit(0),
-    })
-    direct = t.static_lists(spans.select("file_id", "ref_id", "s", "e"))
-    followed = t.static_lists(t.resolve(spans).where("aliased").select("file_id", "ref_id", "s", "e"))
+    firsts_of = ranges.join(t.grouped.select("file_id", F.col("idx").alias("s"), F.col("text").alias("first"), F.col("kind").alias("first_kind")), ["file_id", "s"])
+
+    def spans_of(heads: DataFrame) -> DataFrame:
+        return heads.withColumns({
+            "ref_id": F.col("body").cast("string"), "idx": F.col("word"), "plus": F.lit(False), "x_src": F.lit(0),
+        })
+
+    firsts = t._once("range_heads", lambda: firsts_of, kept=True)
+    spans = t._once("range_spans", lambda: t.resolve(spans_of(firsts)).select(
+        "file_id", "ref_id", "s", "e", "aliased", "name", "body"
+    ), kept=True)
+    direct = t.static_lists(spans_of(firsts).select("file_id", "ref_id", "s", "e"))
+    followed = t.static_lists(spans.where("aliased").select("file_id", "ref_id", "s", "e"))
     lists = spans.join(direct.unionByName(followed).distinct(), ["file_id", "ref_id"], "left_semi").select(
         "file_id", "name", F.col("body").alias("scope"), F.lit(-1).alias("from_idx"), F.lit("name").alias("form")
     )
@@ -272,7 +279,8 @@ def trusted_names(t: GoTables) -> DataFrame:
     entries = over.join(counted.select("file_id", "scope", F.col("name").alias("first")), ["file_id", "scope", "first"], "left_semi").select(
         "file_id", "name", F.col("body").alias("scope"), F.lit(-1).alias("from_idx"), F.lit("entry").alias("form")
     )
-    return lists.unionByName(entries).unionByName(_guarded(t)).distinct()
+    guarded = t._once("guarded", lambda: _guarded(t), kept=True)
+    return lists.unionByName(entries).unionByName(guarded).distinct()
 
 
 def _guarded(t: GoTables) -> DataFrame:
@@ -299,6 +307,7 @@ def _guarded(t: GoTables) -> DataFrame:
     guards = conds.join(asked, ["file_id", "idx"]).join(strict, ["file_id", "var"], "left_semi").join(
         t.declared.select("file_id", "scope", F.col("close_idx").alias("fn_end")), ["file_id", "scope"]
     )
+    guards = keep(guards)
     # The guard's body must end with a return statement.
     inner = g.where(F.col("grp_text") == "{").join(guards.select("file_id", F.col("body").alias("grp")).distinct(), ["file_id", "grp"], "left_semi")
     solid = inner.where(F.col("text") != ";").groupBy("file_id", "grp").agg(F.max(F.when(F.col("text") == "return", F.col("idx"))).alias("ret"), F.max("idx").alias("last"))
@@ -332,7 +341,7 @@ def joined_paths(t: GoTables) -> DataFrame:
     )
     paths = keep(found.join(joins, ["file_id", "s", "e"]).select(
         "file_id", "open_idx", "anchor", "idx", "close_idx", "s", "e", "x_src", "aliased", "join_open", F.col("open_idx").cast("string").alias("sink_id")
-    ), label="go_paths")
+    ))
     far = paths.where("aliased")
     reached = t.tainted_sinks(far.select("file_id", "sink_id", "idx", "s", "e", "x_src"))
     live = paths.where(~F.col("aliased")).unionByName(far.join(reached, ["file_id", "sink_id"], "left_semi"))
@@ -342,7 +351,7 @@ def joined_paths(t: GoTables) -> DataFrame:
         "ref_id": F.concat_ws(":", "sink_open", "arg_no"), "s": F.col("start_idx"), "e": F.col("end_idx"), "plus": F.lit(False),
         "own_first": F.col("first"), "own_kind": F.col("first_kind"),
     }).where(~_one_token("string"))
-    parts = t.resolve(parts)
+    parts = keep(t.resolve(keep(parts)))
     one = F.col("s") == F.col("e")
     calm = one & (F.col("first_kind") == "string") & ~F.array_contains(F.split(F.regexp_replace(literal(F.col("first")), r"\\\\", "/"), "/"), "..")
     open_parts = parts.where(~calm)
@@ -360,7 +369,8 @@ def joined_paths(t: GoTables) -> DataFrame:
         F.when(F.col("entry"), F.struct(F.col("first").alias("name"), F.lit("entry").alias("form"))),
     )))
     points = t.at(asked.select("file_id", "idx", "ref_id", F.inline("names"))).distinct()
-    seen = st.enclosing(points, t.scope_openers, "sl").join(trusted_names(t), ["file_id", "name", "form", "scope"])
+    trusted = t._once("trusted", lambda: trusted_names(t), kept=True)
+    seen = st.enclosing(points, t.scope_openers, "sl").join(trusted, ["file_id", "name", "form", "scope"])
     proven = seen.where(F.col("idx") > F.col("from_idx")).select("file_id", "ref_id").distinct()
     risky = shaped.join(proven, ["file_id", "ref_id"], "left_anti")
     return _calls(risky, "GO004").distinct()

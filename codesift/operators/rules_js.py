@@ -267,7 +267,7 @@ def risky_paths(t: ScriptTables, sinks: DataFrame) -> DataFrame:
     )
     spans = sinks.select("file_id", "sink_id", F.col("idx").alias("at"), "bl", F.col("s").alias("start_idx"), F.col("e").alias("end_idx"))
     held = flow.span_tokens(spans, loose)
-    trusted = trusted_names(t)
+    trusted = t._once("trusted", lambda: trusted_names(t), kept=True)
     unnamed = held.where(F.col("name").isNull()).select("file_id", "sink_id")
     points = held.where(F.col("name").isNotNull()).select("file_id", F.col("at").alias("idx"), "bl", "sink_id", "name").distinct()
     points = points.join(trusted.where(F.col("scope").isNull()), ["file_id", "name"], "left_anti")
@@ -279,8 +279,8 @@ def risky_paths(t: ScriptTables, sinks: DataFrame) -> DataFrame:
 
 
 def tainted_rules(t: ScriptTables) -> DataFrame:
-    sinks = keep(flow_sinks(t).withColumn("sink_id", F.concat_ws(":", "rule_id", "idx", "s")), label="js_sinks")
-    hit = t.tainted_sinks(sinks)
+    sinks = keep(flow_sinks(t).withColumn("sink_id", F.concat_ws(":", "rule_id", "idx", "s")))
+    hit = keep(t.tainted_sinks(sinks))
     paths = risky_paths(t, sinks.where(F.col("rule_id") == "JS007"))
     reached = sinks.join(hit.unionByName(paths).distinct(), ["file_id", "sink_id"], "left_semi")
     plain = reached.where(F.col("rule_id") != "JS017")
@@ -430,9 +430,9 @@ def html_parts(t: ScriptTables, spans: DataFrame) -> DataFrame:
     toks = toks.join(unhide_rows, ["file_id", "span_id", "idx"], "left").withColumn(
         "hidden", F.sum(hide - F.coalesce("unhide", F.lit(0))).over(run)
     )
-    toks = keep(toks, label="js_parts")
+    toks = keep(toks)
     body = toks.where(~F.col("bound") & (F.col("hidden") <= 0) & ~F.col("cond"))
-    known = sanitizers(t).withColumn("sane", F.lit(True))
+    known = t._once("sanitizers", lambda: sanitizers(t), kept=True).withColumn("sane", F.lit(True))
     parts = body.groupBy("file_id", "span_id", "piece").agg(
         F.min(F.struct("idx", "text", "kind", "n1")).alias("f"), F.max("idx").alias("to_idx"), F.count(F.lit(1)).alias("n"),
         F.bool_and(F.col("kind").isin("string", "template")).alias("literal"), F.bool_or("partial").alias("partial"),
@@ -482,7 +482,7 @@ def html(t: ScriptTables) -> DataFrame:
     spans = sinks.where(F.col("s") <= F.col("e")).select("file_id", F.col("sink_id").alias("span_id"), "s", "e").unionByName(
         values.select("file_id", F.concat(F.lit("eq:"), F.col("eq").cast("string")).alias("span_id"), "s", "e")
     )
-    judged = keep(html_parts(t, keep(spans, label="js_spans")), label="js_judged")
+    judged = keep(html_parts(t, keep(spans)))
     bound = held.withColumn("span_id", F.concat(F.lit("eq:"), F.col("eq").cast("string"))).join(judged, ["file_id", "span_id"])
     points = bound.where(~F.col("bad")).select(
         "file_id", F.col("pos").alias("idx"), "bl", F.col("pos").cast("string").alias("point_id"), F.explode("alias").alias("name")
@@ -505,7 +505,7 @@ def html(t: ScriptTables) -> DataFrame:
     loose = sink_links.where(F.col("ok").isNull()).select("file_id", F.col("point_id").alias("sink_id"))
     bad = judged.where(F.col("bad")).select("file_id", F.col("span_id").alias("sink_id"))
     empty = sinks.where(F.col("s") > F.col("e")).select("file_id", "sink_id")
-    risky = sinks.join(loose.unionByName(bad).unionByName(empty).distinct(), ["file_id", "sink_id"], "left_semi")
+    risky = keep(sinks.join(loose.unionByName(bad).unionByName(empty).distinct(), ["file_id", "sink_id"], "left_semi"))
     hit = t.tainted_sinks(risky).withColumn("hit", F.lit(True))
     out = risky.join(hit, ["file_id", "sink_id"], "left")
     return _hits(out, "JS004", F.col("idx"), F.col("label"), F.when(F.col("hit"), F.lit("source")).otherwise(F.lit("dynamic")))

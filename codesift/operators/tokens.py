@@ -64,7 +64,7 @@ def _template(depth: int) -> str:
 
 def _code(depth: int) -> str:
     """Brace-balanced code inside a substitution."""
-    parts = [r"[^`'\"{}/]++", _JS_STRING, r"//[^\r\n]*+", _BLOCK, _REGEX_AFTER + _JS_REGEX, "/"]
+    parts = [r"[^`'\"{}/]++", _JS_STRING, r"//[^\r\n]*+", _BLOCK, "(?=/)" + _REGEX_AFTER + _JS_REGEX, "/"]
     if depth > 0:
         parts += [rf"\{{{_code(depth - 1)}\}}", _template(depth - 1)]
     return "(?:" + "|".join(parts) + ")*+"
@@ -79,7 +79,8 @@ _JS_NAME = r"#?[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}$]*+"
 
 
 def _js_pattern(at_start: bool) -> str:
-    first = r"(?:" + _REGEX_AFTER + (r"|(?<=\A\s{0,64})" if at_start else "") + ")" + _JS_REGEX
+    # The slash is tested first: looking behind from every token would be slow.
+    first = r"(?=/)(?:" + _REGEX_AFTER + (r"|(?<=\A\s{0,64})" if at_start else "") + ")" + _JS_REGEX
     return "|".join(
         [_SPACE, r"//[^\r\n]*+", _BLOCK, r"<!--[^\r\n]*+", _template(TEMPLATE_DEPTH), _JS_STRING, first,
          _NUMBER, _JS_NAME, r"\?\.(?![0-9])", r"=>|\.\.\.", _op([o for o in JS_OPERATORS if o != "?."]),

@@ -54,7 +54,6 @@ class Audit(TableSet):
         return fd.union_packs(self.all_of({f"raw_{n}": partial(self.packs[n], self) for n in wanted}))
 
     def all_of(self, makers):
-        # Raw findings have no file key any more; spread them by path.
         with ThreadPoolExecutor(len(makers)) as pool:
             jobs = [pool.submit(self._once, name, make, True, "path") for name, make in makers.items()]
             return [job.result() for job in jobs]

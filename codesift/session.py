@@ -17,6 +17,11 @@ SQL_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.requireAllClusterKeysForDistribution": "false",
     "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
+    # Sides are broadcast only where the code says so, for tables of fixed size.
+    # Everything else is co-located by bucket, so a sort-merge join moves nothing.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.session.timeZone": "UTC",
 }
 
