@@ -11,7 +11,7 @@ from codesift.functions import names
 from codesift.functions.text import any_of_folded, clipped, is_shell_mode, safe_segment_pattern, world_writable
 from codesift.operators import flow
 from codesift.operators import structure as st
-from codesift.operators.code_go import ASSIGN_OPS, GoTables, literal
+from codesift.operators.code_go import GoTables, literal
 from codesift.schema import RAW_COLUMNS
 from codesift.session import keep
 
@@ -386,10 +386,6 @@ def comment_rule(t: GoTables) -> DataFrame:
     """
     w = Window.partitionBy("file_id").orderBy("pos")
     p = t.pieces
-    prev = p.withColumns({
-        "prev_kind": F.lag("kind").over(w), "prev_end": F.lag(F.col("line") + F.col("breaks")).over(w), "prev_line": F.lag("line").over(w),
-    })
-    c = prev.where(F.col("kind").isin("comment", "end") | F.col("prev_kind").isNotNull()).where(F.col("kind") == "comment")
     # A comment that trails code is a group of its own.
     solid_line = F.last(F.when(F.col("kind") != "comment", F.when(F.col("kind") != "end", F.col("line") + F.col("breaks"))), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1)

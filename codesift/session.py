@@ -64,8 +64,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def buckets(spark: SparkSession) -> int:
-    """How many pieces token-level tables have: the session's shuffle width."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """How many pieces token-level tables have: the session's shuffle width, but
+    not more than a few per core, so that a small session writes no tiny files."""
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(wide, max(8, 4 * spark.sparkContext.defaultParallelism))
 
 
 def keep(df: DataFrame, key: str = "file_id", label: str = "t") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, InputPartition, LessThan, LessThanOrEqual, EqualTo
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, LessThan, LessThanOrEqual
 
 from codesift.operators.inventory import DEFAULT_MAX_BYTES, DEPENDENCY_DIRS
 
