@@ -57,6 +57,8 @@ PIPE_TO_SHELL = (
 PR_MIX = ["pull_request_target:", "actions/checkout", "github.event.pull_request.head"]
 
 SALTS = 8
+# File systems allow no longer name, so a script name cannot be longer either.
+NAME_MAX = 255
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -168,11 +170,13 @@ def _script_candidates(entrypoint: Column) -> Column:
     no slash and ends in a shell extension, so it is a suffix of a slash-free
     stretch cut after such an extension: the theta join becomes an equi-join.
     """
-    stretches = F.split(entrypoint, "/")
-    ends = F.flatten(F.transform(stretches, lambda part: F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda n: F.substring(part, F.lit(1), n)),
-        lambda cut: F.rlike(cut, F.lit(r"\.(?:sh|bash|zsh|ps1)\z")),
-    )))
+    def heads(part: Column) -> Column:
+        # The stretch up to each extension in it, as far back as a name can reach.
+        cuts = F.split(part, r"(?<=\.(?:sh|bash|zsh|ps1))")
+        upto = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda n: F.right(F.array_join(F.slice(cuts, F.lit(1), n), ""), F.lit(NAME_MAX)))
+        return F.filter(upto, lambda head: F.rlike(head, F.lit(r"\.(?:sh|bash|zsh|ps1)\z")))
+
+    ends = F.flatten(F.transform(F.split(entrypoint, "/"), heads))
     return F.array_distinct(F.flatten(F.transform(ends, lambda cut: F.transform(
         F.sequence(F.lit(1), F.length(cut)), lambda start: F.substring(cut, start, F.length(cut))
     ))))
