@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesift.llm import exact_dedup, mixing
+from codesift.llm.bpe import encode_decode
 from codesift.llm.substring_dedup import substring_dedup
+from codesift.llm.token_counts import token_counts
+
+TOKEN_LIMIT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +24,85 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public vocabularies has a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return out.select(
+        F.col("doc").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+    return plan.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
+
+
+OP4_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS drawn_by
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap
+  FROM sources),
+summed AS (
+  SELECT *, row_number() OVER w AS room, (sum(cap) OVER w - cap)::BIGINT AS capped, (sum(weight) OVER w - weight)::BIGINT AS gone,
+         (sum(source_size) OVER ())::BIGINT AS total, (sum(weight) OVER ())::BIGINT AS weights
+  FROM ranked WINDOW w AS (ORDER BY cap::DOUBLE / weight::DOUBLE, place ROWS UNBOUNDED PRECEDING)),
+shared AS (SELECT *, (total - capped)::DOUBLE / (weights - gone)::DOUBLE AS share FROM summed),
+level AS (SELECT arg_min(share, room) AS share FROM shared WHERE cap::DOUBLE > share * weight::DOUBLE),
+plan AS (
+  SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT share FROM level) * weight::DOUBLE), cap::DOUBLE) AS target
+  FROM shared),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM plan)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate)::BIGINT + CASE WHEN
+         ('0x' || substr(md5('{mixing.SEED}:' || drawn_by), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate)
+         THEN 1 ELSE 0 END) AS taken
+FROM docs JOIN rated ON docs.source IS NOT DISTINCT FROM rated.source
+"""
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP7_SQL = """
+WITH t AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_bpe": op3_bpe,
+    "op4_mix": op4_mix,
+    "op5_token_counts": op5_token_counts,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL}

@@ -35,3 +35,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def order_key(column: str) -> Column:
     """An integer id as a long that sorts null after every id."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+SMALL_ROWS = 100_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Join with a table whose row count is known.  Up to SMALL_ROWS it is sent to all
+    executors; beyond that both sides are exchanged and adaptive execution splits hot keys."""
+    return df.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
