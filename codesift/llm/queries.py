@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import exact_dedup, mixing
+from codesift.llm import exact_dedup, hilbert_shards, mixing
 from codesift.llm.bpe import encode_decode
+from codesift.llm.jaccard_join import jaccard_join
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.token_counts import token_counts
 
@@ -82,6 +83,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards.shards(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell",
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -95,12 +104,18 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_bpe": op3_bpe,
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 
