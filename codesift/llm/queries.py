@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import exact_dedup, hilbert_shards, mixing
+from codesift.llm import ann, exact_dedup, hilbert_shards, mixing
 from codesift.llm.bpe import encode_decode
 from codesift.llm.jaccard_join import jaccard_join
 from codesift.llm.substring_dedup import substring_dedup
@@ -25,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed package of public vocabularies has a file."""
     import public_tokenizers
@@ -110,6 +114,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
     "op4_mix": op4_mix,
     "op5_token_counts": op5_token_counts,
