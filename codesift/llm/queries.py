@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import ann, exact_dedup, hilbert_shards, mixing
+from codesift.llm import ann, exact_dedup, hilbert_shards, mixing, quality
 from codesift.llm.bpe import encode_decode
 from codesift.llm.jaccard_join import jaccard_join
+from codesift.llm.quotes import format_chats
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.token_counts import token_counts
 
@@ -112,6 +113,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ann": op2_ann,
@@ -121,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_quality": op9_quality,
+    "op10_chat_format": op10_chat_format,
 }
 
 
