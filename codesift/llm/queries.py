@@ -26,6 +26,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP1_SQL = f"""
+WITH texts AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)),
+earliest AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN earliest USING (h) WHERE d < doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM texts) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -96,6 +115,53 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc32_table() -> list[int]:
+    """Remainders of all bytes for the reflected polynomial of CRC-32."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def op6_sql() -> str:
+    """No cell of the small tables is large enough to be dealt over pieces, so the order is cell, CRC, id."""
+    steps = hilbert_shards.curve_steps()
+    to, digit = [s for s, _ in steps], [d for _, d in steps]
+    chain = "placed AS (SELECT *, 0 AS state, 0 AS cell FROM levelled)"
+    last = "placed"
+    for bit in range(hilbert_shards.BITS - 1, -1, -1):
+        octant = f"((level_size >> {bit}) & 1) + 2 * ((level_lang >> {bit}) & 1) + 4 * ((level_source >> {bit}) & 1)"
+        chain += f""",
+at{bit} AS (SELECT * REPLACE ({to}[state * 8 + {octant} + 1] AS state, cell * 8 + {digit}[state * 8 + {octant} + 1] AS cell) FROM {last})"""
+        last = f"at{bit}"
+
+    def levels(name: str) -> str:
+        return f"""{name}s AS (SELECT {name}, floor((sum(n) OVER w - n) * 32 / sum(n) OVER ())::INT AS level_{name}
+  FROM (SELECT {name}, count(*) AS n FROM documents GROUP BY {name}) WINDOW w AS (ORDER BY {name} NULLS FIRST ROWS UNBOUNDED PRECEDING))"""
+
+    return f"""
+WITH {levels("lang")},
+{levels("source")},
+texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {crc32_table()}::UBIGINT[] AS remainder FROM documents),
+meta AS (
+  SELECT doc_id, lang, source, strlen(text) + 1 AS size,
+         xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+           list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::UBIGINT)),
+           lambda a, b: xor(a >> 8, remainder[((xor(a, b) & 255) + 1)::BIGINT])))::BIGINT AS text_crc32
+  FROM texts),
+levelled AS (
+  SELECT meta.*, level_lang, level_source, least(length(bin(size)) - 1, 31)::INT AS level_size
+  FROM meta JOIN langs ON meta.lang IS NOT DISTINCT FROM langs.lang JOIN sources ON meta.source IS NOT DISTINCT FROM sources.source),
+{chain},
+ordered AS (SELECT *, row_number() OVER (ORDER BY cell, text_crc32, doc_id NULLS FIRST, size) - 1 AS p, count(*) OVER () AS n FROM {last}),
+cut AS (SELECT *, (p * 8) // n AS shard FROM ordered)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (p - (shard * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard, cell::INT AS cell
+FROM cut
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.decisions(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -113,6 +179,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+OP8_SQL = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)),
+sets AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS k, count(*) AS n FROM shingles GROUP BY doc_id),
+classes AS (SELECT k, min(doc_id) AS rep, count(*) AS n_copies, any_value(n) AS n FROM sets GROUP BY k),
+held AS (SELECT rep, s FROM classes JOIN shingles ON rep = doc_id),
+met AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM held x JOIN held y ON x.s = y.s AND x.rep < y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS label FROM classes UNION SELECT b, label FROM reach JOIN ways ON a = node),
+labels AS (SELECT node, min(label) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n FROM ways GROUP BY a)
+SELECT t.doc_id, coalesce(class_id, t.doc_id) AS class_id, coalesce(rep, t.doc_id) AS copy_id,
+       coalesce(n_copies, 1)::BIGINT AS n_copies, coalesce(degree.n, 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (k) LEFT JOIN labels ON labels.node = rep LEFT JOIN degree ON degree.node = rep
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
@@ -136,4 +222,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_mix": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL, "op4_mix": OP4_SQL, "op6_hilbert_shards": op6_sql(), "op7_exact_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL,
+    }
