@@ -1,25 +1,27 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A text is the set of its runs of SHINGLE words.  Texts with one set form a class, and
-only classes are compared.  Each class has a sketch: the minimum of its set under
-COORDINATES hash functions, i.e. that many tokens sampled alike from all sets; two sets
-of similarity J agree in each coordinate with probability J.
-
-A run sends every class down a path of sampled tokens: first the token at the run's
-coordinate, then, while a bucket holds more than LIMIT classes, the tokens at BRANCHES
-coordinates that are chosen by the path itself.  Similar sets keep meeting, others part
-soon, however frequent a single passage is.  Buckets that are small, or still large
-after MAX_DEPTH tokens, are compared by brute force, large ones block against block, so
-a task holds two blocks at most and no class is left out.
-
-RUNS runs are made.  A pair at J = 0.8 shares the first token of a run with probability
-0.8 and at least one token of a further level with 1 - 0.2**2 = 0.96, so a run over three
-further levels finds it with 0.7, and all ten miss it once in 170,000 cases; above 0.8,
-and without further levels, far less often.
-
-In a bucket, pairs whose sketches agree in less than half of the coordinates are
-dismissed (a pair at J = 0.8 fails this with probability below 1e-6); the rest is
-verified on the whole sets.  Links are exact: |A and B| >= THRESHOLD * |A or B|.
+only classes are compared.  Each class has tokens sampled alike from all sets, as minima
+under hash functions: two sets of similarity J agree in each with probability J.
+
+A run sends every class down a path of sampled tokens: first the run's own token, then,
+while a bucket holds more than LIMIT classes, the tokens at BRANCHES places of the sketch
+that the path itself chooses.  Similar sets keep meeting, others part soon, however
+frequent one passage is.  A large bucket that a further token hardly shrinks holds sets
+that are alike, and is split no more.  Buckets are compared by brute force, large ones
+block against block, so a task holds two blocks at most and no class is left out.
+
+RUNS runs are made.  A pair at J = 0.8 shares the run's token with probability 0.8 and at
+least one token of a further level with 1 - 0.2**2 = 0.96, so a run over three further
+levels finds it with 0.7, and all ten miss it once in 170,000 cases; above 0.8, and
+without further levels, far less often.  Comparing asks for agreement in CLOSE of the
+sketch; a pair at J = 0.8 fails that once in 20,000 cases.
+
+A bucket doesn't emit its pairs but a spanning forest of them.  The components of all
+forests hold every link, so inside each of them all sets are then compared exactly, again
+block against block: |A and B| >= THRESHOLD * |A or B|.  That yields the number of links
+of each class and a spanning forest of links, and the groups are its components.  So work
+inside a group of thousands of different near copies is quadratic, what is emitted isn't.
 
 Defined cases: a text of 1 to 4 words has one shingle of all its words; a text without
 words (or null) is a class of its own and has no links; rows without id are labelled by
@@ -42,18 +44,21 @@ from codesift.llm.words import BASES, Words, mix, prefix_sums, run_hash, word_sl
 
 SHINGLE = 5
 THRESHOLD = 0.8
-COORDINATES = 64
+COORDINATES = 128
+CLOSE = 0.64
 RUNS = 10
-LIMIT = 512
+LIMIT = 1024
 BRANCHES = 2
-MAX_DEPTH = 10
+ALIKE = 0.7  # a token that this share of a bucket has doesn't split it
+MAX_DEPTH = 12
+SET_BLOCK = 512
 SEED = 0x5EED
 
 _U64, _U32 = np.uint64, np.uint32
 _numbers = np.random.default_rng(SEED)
-_FACTOR = _numbers.integers(0, 1 << 32, COORDINATES, dtype=_U32) | _U32(1)
-_SHIFT = _numbers.integers(0, 1 << 32, COORDINATES, dtype=_U32)
-_FIRST = _numbers.permutation(COORDINATES)[:RUNS]
+_FACTOR = _numbers.integers(0, 1 << 32, RUNS + COORDINATES, dtype=_U32) | _U32(1)
+_SHIFT = _numbers.integers(0, 1 << 32, RUNS + COORDINATES, dtype=_U32)
+_FEATURES = "doc long, cid long, n int, tokens binary, sketch binary"
 
 
 def distinct_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,45 +91,47 @@ def set_names(texts: int, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarra
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text in; doc, cid (name of the set), n, sketch out."""
+    """doc, text in; _FEATURES out: the token of each run in 64 bits, the sketch in 16."""
     for batch in batches:
         for a, b, words in word_slices(batch.column(1)):
             doc, value = distinct_shingles(words)
             size, name, start = set_names(b - a, doc, value)
-            sketch = np.zeros((b - a, COORDINATES), _U32)
+            tokens, sketch = np.zeros((b - a, RUNS), _U64), np.zeros((b - a, COORDINATES), np.uint16)
             if len(start):
-                low = (value >> _U64(32)).astype(_U32)
-                held = size > 0
-                for c in range(COORDINATES):
-                    sketch[held, c] = np.minimum.reduceat(low * _FACTOR[c] + _SHIFT[c], start)
+                low, held = (value >> _U64(32)).astype(_U32), size > 0
+                for c in range(RUNS + COORDINATES):
+                    least = np.minimum.reduceat(low * _FACTOR[c] + _SHIFT[c], start)
+                    if c < RUNS:
+                        tokens[held, c] = mix(least.astype(_U64) + (_U64(c + 1) << _U64(32)))
+                    else:
+                        sketch[held, c - RUNS] = mix(least.astype(_U64)) & _U64(0xFFFF)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(name), pa.array(size.astype(np.int32)), _rows(sketch)],
-                names=["doc", "cid", "n", "sketch"],
+                [batch.column(0).slice(a, b - a), pa.array(name), pa.array(size.astype(np.int32)), _rows(tokens), _rows(sketch)],
+                names=["doc", "cid", "n", "tokens", "sketch"],
             )
 
 
-def _rows(sketch: np.ndarray) -> pa.Array:
-    width = sketch.shape[1] * 4
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(sketch), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+def _rows(held: np.ndarray) -> pa.Array:
+    width = held.shape[1] * held.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(held), [None, pa.py_buffer(held.tobytes())]).cast(pa.binary())
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _U32).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
 def first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, sketch in; node, cid out, one for each run."""
+    """cid, tokens in; node, cid, parent (size of the bucket above) out, one row for each run."""
     for batch in batches:
-        sketch = _sketches(batch.column(1))
-        cid = batch.column(0).to_numpy()
-        node = np.stack([mix(mix(sketch[:, c].astype(_U64)) + _U64(run + 1)) for run, c in enumerate(_FIRST)], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(np.repeat(cid, RUNS))], names=["node", "cid"])
+        node = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        cid = np.repeat(batch.column(0).to_numpy(), RUNS)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cid), pa.array(np.full(len(cid), 1 << 62))], names=["node", "cid", "parent"])
 
 
 def next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, cid, sketch in; the child nodes out.  The node chooses the coordinates."""
+    """node, cid, m, sketch in; the child nodes out.  The node chooses the coordinates."""
     for batch in batches:
-        sketch = _sketches(batch.column(2))
+        sketch = _sketches(batch.column(3))
         node = batch.column(0).to_numpy().view(_U64)
         out = []
         for k in range(BRANCHES):
@@ -132,44 +139,119 @@ def next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = sketch[np.arange(len(node)), (chosen % _U64(COORDINATES)).astype(np.int64)]
             out.append(mix(chosen ^ mix(token.astype(_U64))))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.stack(out, 1).ravel().view(np.int64)), pa.array(np.repeat(batch.column(1).to_numpy(), BRANCHES))], names=["node", "cid"]
+            [pa.array(np.stack(out, 1).ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(i).to_numpy(), BRANCHES)) for i in (1, 2))], names=["node", "cid", "parent"]
         )
 
 
-def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of cells, sorted by cell: cell, side, cid, n, sketch in; pairs a < b out.
-    Held between batches: the rows of the open cell, two blocks at most."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, the cell, as a table for each.  Held between
+    batches: the rows of the open cell, two blocks at most."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
         cells = table.column(0).to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(lo, hi - lo)
         rest = table.slice(edges[-1])
-        yield from _pairs_of(table.slice(0, edges[-1]), edges)
     if rest is not None:
-        yield from _pairs_of(rest, np.array([0, len(rest)]))
-
-
-def _pairs_of(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(table):
-        return
-    side, cid, n = (table.column(i).to_numpy() for i in (1, 2, 3))
-    sketch = _sketches(table.column(4).combine_chunks())
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        for i in range(lo, hi - 1):
-            later = slice(i + 1, hi)
-            fits = np.minimum(n[i], n[later]) >= THRESHOLD * np.maximum(n[i], n[later])
-            fits &= (cid[later] != cid[i]) & ((side[i] == 0) | (side[later] != side[i]))
-            at = np.flatnonzero(fits) + i + 1
-            at = at[(sketch[at] == sketch[i]).sum(1) * 2 >= COORDINATES]
+        yield rest
+
+
+class Forest:
+    """Grows a spanning forest over the rows of a cell."""
+
+    def __init__(self, cid: np.ndarray):
+        self.cid, self.tree = cid, np.arange(len(cid))
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        found, first = np.unique(self.tree[others], return_index=True)
+        for tree, at in zip(found, first, strict=True):
+            if tree != self.tree[i]:
+                self.edges.append((self.cid[i], self.cid[others[at]]))
+                self.tree[self.tree == tree] = self.tree[i]
+
+
+def _fits(side: np.ndarray, cid: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
+    """Later rows of the cell to compare with row i: of the other block, if there are two, and of fitting size."""
+    later = slice(i + 1, None)
+    fits = np.minimum(n[i], n[later]) >= THRESHOLD * np.maximum(n[i], n[later])
+    return np.flatnonzero(fits & (cid[later] != cid[i]) & ((side[i] == 0) | (side[later] != side[i]))) + i + 1
+
+
+def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cell, side, cid, n, sketch in; a spanning forest of the pairs with close sketches out."""
+    held: list[tuple[int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        edges = np.array(held, np.int64).reshape(-1, 2)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], names=["a", "b"])
+
+    for cell in _cells(batches):
+        side, cid, n = (cell.column(i).to_numpy() for i in (1, 2, 3))
+        sketch = _sketches(cell.column(4))
+        forest = Forest(cid)
+        for i in range(len(cid) - 1):
+            at = _fits(side, cid, n, i)
+            at = at[forest.tree[at] != forest.tree[i]]  # what hangs together needs no more edges
             if len(at):
-                left.append(np.minimum(cid[i], cid[at]))
-                right.append(np.maximum(cid[i], cid[at]))
-    if left:
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                forest.join(i, at[(sketch[at] == sketch[i]).sum(1) >= CLOSE * COORDINATES])
+        held += forest.edges
+        if len(held) > 10_000:
+            yield out()
+    yield out()
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common members of all pairs of sets, over a few thousand members at a time."""
+    member, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(member, kind="stable")
+    member, which = member[order], which[order]
+    edge = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1], [True]]))
+    shared = np.diff(edge) > 1
+    column = np.repeat(np.cumsum(shared) - 1, np.diff(edge))
+    keep = np.repeat(shared, np.diff(edge))
+    column, which = column[keep], which[keep]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[which[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cell, side, cid, set in; per class its number of links in this cell (b null), and a
+    spanning forest of the links (n null)."""
+    for cell in _cells(batches):
+        side, cid = cell.column(1).to_numpy(), cell.column(2).to_numpy()
+        if len(cid) < 2:
+            continue
+        sets = [np.frombuffer(x.as_buffer(), _U64) for x in cell.column(3).chunk(0)]
+        n = np.array([len(x) for x in sets])
+        both = common(sets)
+        degree, forest = np.zeros(len(cid), np.int64), Forest(cid)
+        for i in range(len(cid) - 1):
+            at = _fits(side, cid, n, i)
+            at = at[both[i, at] >= THRESHOLD * (n[i] + n[at] - both[i, at]) - 1e-9]
+            degree[i] += len(at)
+            degree[at] += 1
+            forest.join(i, at)
+        some = np.flatnonzero(degree)
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        gap = [np.ones(len(x), bool) for x in (some, edges)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([cid[some], edges[:, 0]])),
+                pa.array(np.concatenate([cid[some], edges[:, 1]]), mask=np.concatenate([gap[0], ~gap[1]])),
+                pa.array(np.concatenate([degree[some], edges[:, 0]]), mask=np.concatenate([~gap[0], gap[1]])),
+            ],
+            names=["a", "b", "n"],
+        )
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,49 +268,39 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and their sets in; the pairs that reach THRESHOLD out."""
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            one, two = np.frombuffer(x.as_buffer(), _U64), np.frombuffer(y.as_buffer(), _U64)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep[i] = both >= THRESHOLD * (len(one) + len(two) - both) - 1e-9
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+def _in_blocks(rows: DataFrame, group: str, m: str, limit: int, *more: str) -> DataFrame:
+    """Rows of groups with ``m`` members as cells of one block, or of two different ones."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(m) / limit).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid", group), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "cid", *more)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """(node, cid, m): the buckets to compare, with their numbers of classes."""
-    rows = written(classes.select("cid", "sketch").mapInArrow(first_nodes, "node long, cid long"), "paths")
+    rows = written(classes.select("cid", "tokens").mapInArrow(first_nodes, "node long, cid long, parent long"), "paths")
     ready = []
     for depth in range(MAX_DEPTH):
         count = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         met = written(rows.join(count, "node"), "met")
-        last = depth == MAX_DEPTH - 1
-        ready.append(met if last else met.where(F.col("m") <= LIMIT))
-        if last or met.where(F.col("m") > LIMIT).isEmpty():
+        split = (F.col("m") > LIMIT) & (F.col("m") < ALIKE * F.col("parent")) & F.lit(depth < MAX_DEPTH - 1)
+        ready.append(met.where(~split).select("node", "cid", "m"))
+        large = met.where(split)
+        if large.isEmpty():
             break
-        large = met.where(F.col("m") > LIMIT).join(classes.select("cid", "sketch"), "cid").select("node", "cid", "sketch")
-        rows = written(large.mapInArrow(next_nodes, "node long, cid long"), "paths")
+        large = large.join(classes.select("cid", "sketch"), "cid").select("node", "cid", "m", "sketch")
+        rows = written(large.mapInArrow(next_nodes, "node long, cid long, parent long"), "paths")
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
     return out
 
 
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of class names."""
-    blocks = F.ceil(F.col("m") / LIMIT).cast("int")
-    rows = _buckets(classes).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid", "node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select(
-        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-        "cid",
-    )
-    cells = cells.join(classes.select("cid", "n", "sketch"), "cid").select("cell", "side", "cid", "n", "sketch")
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """(node, root): classes that may have links, grouped so that no link leaves a group."""
+    cells = _in_blocks(_buckets(classes), "node", "m", LIMIT).join(classes.select("cid", "n", "sketch"), "cid").select("cell", "side", "cid", "n", "sketch")
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(close_pairs, "a long, b long")
-    return found.distinct()
+    return written(roots(written(found.distinct(), "close")), "groups")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,19 +308,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is linked with, directly or through others), copy_id (smallest id with the same set),
     n_copies, n_links (classes it is directly linked with)."""
     texts = docs.select(order_key(id_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(features, "doc long, cid long, n int, sketch binary"), "features")
+    rows = written(texts.mapInArrow(features, _FEATURES), "features")
     full = rows.where("n > 0")
-    classes = written(
-        full.groupBy("cid").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
-    )
-    pairs = written(similar_classes(classes), "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "rep"), "cid")
-    sets = texts.join(wanted, texts["doc"] == wanted["rep"]).select("doc", "text", "cid").mapInArrow(shingle_sets, "cid long, held binary")
-    sets = written(sets.dropDuplicates(["cid"]), "sets")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("held").alias("y")), "b")
-    links = written(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
-    reach = written(roots(links), "roots")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes = full.groupBy("cid").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
+    classes = written(classes, "classes")
+    groups = candidate_groups(classes)
+    wanted = groups.join(classes.select(F.col("cid").alias("node"), "rep"), "node").select(F.col("node").alias("cid"), "rep")
+    sets = texts.join(wanted, texts["doc"] == wanted["rep"]).dropDuplicates(["doc", "cid"]).select("doc", "text", "cid").mapInArrow(shingle_sets, "cid long, held binary")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
+    cells = _in_blocks(groups.join(sizes, "root").withColumnRenamed("node", "cid"), "root", "m", SET_BLOCK)
+    cells = cells.join(sets, "cid").select("cell", "side", "cid", "held")
+    told = written(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(exact_links, "a long, b long, n long"), "links")
+    reach = written(roots(told.where("b is not null").select("a", "b")), "roots")
+    degree = told.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     label = reach.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     told = reach.join(label, "root").join(degree, "node").select(F.col("node").alias("cid"), "class_id", "n_links")
     told = classes.select("cid", "rep", "n_copies").join(told, "cid", "left")

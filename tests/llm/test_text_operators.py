@@ -131,6 +131,7 @@ def near_rows(seed=3, families=12, copies=12):
 def test_jaccard_join_equals_brute_force(docs_of, monkeypatch, limit):
     # With small buckets every level of the paths, and blocks against blocks, are used.
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
+    monkeypatch.setattr(jaccard_join, "SET_BLOCK", limit)
     monkeypatch.setattr(jaccard_join, "MAX_DEPTH", 4)
     rows = near_rows()
     got = jaccard_join.jaccard_join(docs_of(rows).repartition(3)).collect()
