@@ -1,7 +1,7 @@
 """Words of whole texts as numbers: one pass over the bytes of an Arrow column.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``, compared byte for byte.  Texts are taken in
-slices of a few megabytes, so memory follows the longest text and not the batch.
+slices of half a megabyte, so memory follows the longest text and not the batch.
 Hashes of word sequences are polynomials over prefix sums: any run of words is hashed
 in constant time from two prefixes.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 # Odd multipliers that are 3 modulo 8, so that differences of powers keep few factors of two.
 BYTE_BASE = 0x9E3779B97F4A7C1B
 BASES = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD3)
