@@ -46,10 +46,27 @@ REQUESTS = ["r", "req", "request"]
 COUNTERS = ["src", "log"]
 
 
+# What the one-letter escapes of a quoted literal stand for.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _unescaped(piece: Column) -> Column:
+    """One piece of a quoted literal: an escape, or a run of plain characters."""
+    letter, digits = F.substring(piece, 2, 1), F.substr(piece, F.lit(3))
+    code = F.when(letter.isin("x", "u", "U"), F.conv(digits, 16, 10)).when(F.rlike(piece, F.lit(r"\A\\[0-7]{3}\z")), F.conv(F.substr(piece, F.lit(2)), 8, 10)).cast("long")
+    valid = (code < 0xD800) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    out = F.when(code.isNotNull(), char)
+    for name, value in ESCAPES.items():
+        out = out.when(letter == name, F.lit(value))
+    return F.when(F.startswith(piece, F.lit("\\")), out.otherwise(letter)).otherwise(piece)
+
+
 def literal(text: Column) -> Column:
-    """Value of a string token; the usual escapes of the quoted form are undone."""
+    """Value of a string token; escapes of the quoted form are undone from left to right."""
     inner = F.substr(text, F.lit(2), F.length(text) - 2)
-    plain = F.regexp_replace(F.regexp_replace(inner, r"\\([\\\"'])", "$1"), r"\\n", "\n")
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[0-7]{3}|.)|[^\\]+"), F.lit(0))
+    plain = F.when(F.contains(inner, F.lit("\\")), F.array_join(F.transform(pieces, _unescaped), "")).otherwise(inner)
     return F.when(F.startswith(text, F.lit("`")), inner).otherwise(plain)
 
 
@@ -71,6 +88,16 @@ def _flags() -> dict[str, Column]:
     return {"src": source, "log": (kind == "ident") & names.go_log_name(text)}
 
 
+def _os_name() -> Column:
+    """On the path of an import of package os, its local name.  A string that begins a
+    statement, or follows a name that does, can only stand in an import."""
+    p1, p2, p3 = F.col("p1"), F.col("p2"), F.col("p3")
+    path = (F.col("kind") == "string") & F.col("text").isin('"os"', "`os`")
+    plain = p1.isin("import", ";") | ((p1 == "(") & (p2 == "import"))
+    named = (F.col("pk1") == "ident") & (p2.isin("import", ";") | ((p2 == "(") & (p3 == "import")))
+    return F.when(path & plain, F.lit("os")).when(path & named, p1)
+
+
 class GoTables(TableSet):
     """Tables derived from Go files; built on demand, shared by all rules."""
 
@@ -95,21 +122,13 @@ class GoTables(TableSet):
 
         return self._once("pieces", make, kept=True)
 
-    @property
-    def os_names(self) -> DataFrame:
-        """Local name of the package os, read from the text before it is cut."""
-        decl = r"(?m)^[ \t]*(?:import[ \t]+)?(?:([\p{L}_][\p{L}\p{Nd}_]*)[ \t]+)?\"os\"[ \t]*(?:;|//|$)"
-        has = F.rlike(F.col("content"), F.lit(decl))
-        alias = F.regexp_extract(F.col("content"), decl, 1)
-        return self.files.where(has).select("file_id", F.when(alias == "", F.lit("os")).otherwise(alias).alias("os_name"))
-
     @property
     def rows(self) -> DataFrame:
         def make() -> DataFrame:
             solid = self.pieces.where(F.col("kind") != "comment").drop("breaks")
             solid = solid.withColumn("idx", (F.row_number().over(tk.by_file()) - 1).cast("int"))
             base = st.neighbours(solid, back=6, ahead=5, kinds_ahead=2)
-            base = base.join(self.os_names, "file_id", "left").withColumn("os_name", F.coalesce("os_name", F.lit("")))
+            base = base.withColumn("os_name", F.coalesce(F.max(_os_name()).over(Window.partitionBy("file_id")), F.lit("")))
             flags = _flags()
             base = base.withColumns({f"f_{k}": v for k, v in flags.items()}).drop("os_name")
             return st.keyed(st.nested(base, {k: F.col(f"f_{k}") for k in flags}))

@@ -339,7 +339,14 @@ class ScriptTables(TableSet):
             ).withColumn("is_barrier", F.lit(False))
             bare = ids.where(F.col("eq").isNull())
             told = F.col("p1").isin("const", "let", "var") | (F.col("n1") == "=>")
-            as_param = bare.where(~told & F.col("p1").isin("(", ",", "...") & (F.col("grp_text") == "(")).join(
+            # A parameter stands in the parentheses themselves or in a pattern of brackets there.
+            lists = self.tokens.where((F.col("text") == "[") & (F.col("grp_text") == "(") & F.col("p1").isin("(", ",")).select(
+                "file_id", F.col("idx").alias("grp"), F.col("grp").alias("outer")
+            )
+            params = bare.where(~told & F.col("p1").isin("(", ",", "..."))
+            direct = params.where(F.col("grp_text") == "(")
+            listed = params.where(F.col("grp_text") == "[").join(lists, ["file_id", "grp"]).drop("grp").withColumnRenamed("outer", "grp")
+            as_param = direct.unionByName(listed.select(*direct.columns)).join(
                 self.brackets, ["file_id", "grp"]
             ).where(
                 (F.col("after") == "=>")

@@ -87,17 +87,14 @@ def ranked(found: DataFrame, within_repo: bool = True) -> DataFrame:
     return found.orderBy(*(["repo"] if within_repo else []), *order_of_findings())
 
 
-def top_findings(found: DataFrame, k: int) -> DataFrame:
-    """The first k findings of the corpus: a per-task top-k, then one merge."""
-    return found.orderBy(*order_of_findings(), "repo").limit(k)
-
-
-def summarize(found: DataFrame) -> DataFrame:
-    """Counts per repo: total, per verdict, and per severity among confirmed."""
+def summarize(found: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Counts per repo: total, per verdict, and per severity among confirmed; of all
+    ``repos`` if given, else of those with findings."""
     verdict, confirmed = F.col("verdict"), F.col("verdict") == "confirmed"
     counts = [F.count_if(verdict == v).alias(v) for v in VERDICT_RANK]
     levels = [F.count_if(confirmed & (F.col("severity") == s)).alias(f"severity_{s}") for s in SEVERITY_RANK]
-    return found.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), *counts, *levels)
+    out = found.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), *counts, *levels)
+    return out if repos is None else repos.join(out, "repo", "left").na.fill(0)
 
 
 def by_severity(summary: DataFrame) -> DataFrame:

@@ -57,8 +57,6 @@ PIPE_TO_SHELL = (
 PR_MIX = ["pull_request_target:", "actions/checkout", "github.event.pull_request.head"]
 
 SALTS = 8
-# File systems allow no longer name, so a script name cannot be longer either.
-NAME_MAX = 255
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -171,9 +169,9 @@ def _script_candidates(entrypoint: Column) -> Column:
     stretch cut after such an extension: the theta join becomes an equi-join.
     """
     def heads(part: Column) -> Column:
-        # The stretch up to each extension in it, as far back as a name can reach.
+        # The stretch up to each extension in it.
         cuts = F.split(part, r"(?<=\.(?:sh|bash|zsh|ps1))")
-        upto = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda n: F.right(F.array_join(F.slice(cuts, F.lit(1), n), ""), F.lit(NAME_MAX)))
+        upto = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda n: F.array_join(F.slice(cuts, F.lit(1), n), ""))
         return F.filter(upto, lambda head: F.rlike(head, F.lit(r"\.(?:sh|bash|zsh|ps1)\z")))
 
     ends = F.flatten(F.transform(F.split(entrypoint, "/"), heads))

@@ -22,7 +22,7 @@ class TableSet:
         self._locks: dict[str, threading.RLock] = {}
         self._guard = threading.Lock()
 
-    def _once(self, name: str, make: Callable[[], DataFrame], kept: bool = False, key: str = "file_id") -> DataFrame:
+    def _once(self, name: str, make: Callable[[], DataFrame], kept: bool = False, key: str | None = "file_id") -> DataFrame:
         with self._guard:
             lock = self._locks.setdefault(name, threading.RLock())
         with lock:

@@ -26,7 +26,8 @@ Pack = Callable[["Audit"], DataFrame]
 
 
 class Audit(TableSet):
-    """Tables of one corpus.  Everything is lazy; shared tables are written once."""
+    """Tables of one corpus.  Tables that several results share are written when first asked
+    for, which runs jobs; results themselves are lazy."""
 
     label = "audit"
 
@@ -55,7 +56,7 @@ class Audit(TableSet):
 
     def all_of(self, makers):
         with ThreadPoolExecutor(len(makers)) as pool:
-            jobs = [pool.submit(self._once, name, make, True, "path") for name, make in makers.items()]
+            jobs = [pool.submit(self._once, name, make, True, None) for name, make in makers.items()]
             return [job.result() for job in jobs]
 
     @property
@@ -64,11 +65,11 @@ class Audit(TableSet):
 
     @property
     def findings(self) -> DataFrame:
-        return self._once("findings", lambda: fd.findings([self.raw_findings]))
+        return self._once("findings", lambda: fd.findings([self.raw_findings]), True, None)
 
     @property
     def counts(self) -> DataFrame:
-        return self._once("counts", lambda: cov.file_counts(self.kept), True, "repo")
+        return self._once("counts", lambda: cov.file_counts(self.kept), True, None)
 
     @property
     def coverage(self) -> DataFrame:
@@ -76,7 +77,8 @@ class Audit(TableSet):
 
     @property
     def summary(self) -> DataFrame:
-        return fd.summarize(self.findings)
+        """One row per repo of the corpus, with zeros where nothing was found."""
+        return fd.summarize(self.findings, self.projects.select("repo"))
 
     @property
     def projects(self) -> DataFrame:
@@ -89,12 +91,20 @@ PACKS: dict[str, Pack] = {
     "javascript-typescript": lambda a: js_pack(a.kept, tables=a.scripts),
 }
 
-_AUDITS: dict[tuple[str, str], Audit] = {}
+_AUDITS: dict[tuple[str, str, str], Audit] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """Changes when a file of the input does."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    ).distinct()
+    return str(files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0])
 
 
 def corpus_audit(spark: SparkSession, sf_dir: str) -> Audit:
     """The audit of the corpus derived from ``sf_dir``, shared within a session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _version(spark, sf_dir))
     if key not in _AUDITS:
         _AUDITS[key] = Audit(code_files(spark, sf_dir))
     return _AUDITS[key]

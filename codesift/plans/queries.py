@@ -116,9 +116,8 @@ def dedup_findings(spark, sf_dir):
 
 
 def ranked_findings(spark, sf_dir):
-    """The report's first hundred rows per corpus (a top-k report)."""
-    top = fd.top_findings(corpus_audit(spark, sf_dir).findings, 100)
-    return top.select("repo", "rule_id", "verdict", "path", "line")
+    """Every finding in report order."""
+    return fd.ranked(corpus_audit(spark, sf_dir).findings, within_repo=False).select("repo", "rule_id", "verdict", "path", "line")
 
 
 def summary_by_repo(spark, sf_dir):
@@ -156,11 +155,12 @@ def matrix_summary(spark, sf_dir):
 def report_parts(spark, sf_dir):
     from codesift.sinks import report_documents
 
-    docs = report_documents(corpus_audit(spark, sf_dir))
-    return docs.select(
-        "repo", "part", "parts", F.get_json_object("document", "$.schema_version").alias("schema_version"),
-        F.get_json_object("document", "$.summary.total").cast("bigint").alias("total"),
-        F.size(F.from_json(F.get_json_object("document", "$.findings"), "array<struct<rule_id:string>>")).cast("bigint").alias("in_part"),
+    doc = F.col("document")
+    return report_documents(corpus_audit(spark, sf_dir)).select(
+        "repo", "kind", F.get_json_object(doc, "$.schema_version").alias("schema_version"),
+        F.get_json_object(doc, "$.summary.total").cast("bigint").alias("total"), F.get_json_object(doc, "$.project.files").cast("bigint").alias("files"),
+        *[F.get_json_object(doc, f"$.finding.{c}").alias(c) for c in ("rule_id", "fingerprint", "verdict", "evidence")],
+        F.get_json_object(doc, "$.finding.location.path").alias("path"),
     )
 
 
@@ -234,14 +234,14 @@ def documents_secret_scan(spark, sf_dir):
     docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
     gated = docs.where(F.rlike("content", F.lit(r"(?i)key|token|secret|passw")))
     lines = to_lines(gated, "doc_id")
-    hits = lines.where(F.rlike("text", F.lit(_INLINE))).withColumn("value", F.regexp_extract("text", _INLINE, 1))
+    hits = lines.where(F.rlike("text", F.lit(_INLINE))).withColumn("value", F.explode(F.regexp_extract_all("text", F.lit(_INLINE), F.lit(1))))
     return hits.where(looks_like_secret(unquoted(F.col("value")))).select("doc_id", "line", redact(F.col("value")).alias("evidence"))
 
 
 def page_script_tokens(spark, sf_dir):
     """Tokens of the scripts inside the pages."""
     pages = configure(spark).read.parquet(f"{sf_dir}/pages.parquet")
-    scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<script[^>]*>([\s\S]*?)</script>"), F.lit(1))).alias("no", "content"))
+    scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<script[^>]*>([\s\S]*?)</script>"), F.lit(1))).alias("no", "content"))
     files = scripts.select(
         F.col("page_id").cast("string").alias("repo"), F.concat(F.lit("script"), F.col("no").cast("string"), F.lit(".js")).alias("path"), "content"
     ).withColumn("file_id", file_key(F.col("repo"), F.col("path")))
@@ -292,15 +292,18 @@ def oracles() -> dict[str, str]:
         "project_summary": f"WITH {inv} SELECT repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files, CAST(coalesce(sum(size) FILTER (WHERE skip_reason IS NULL), 0) AS BIGINT) AS total_bytes, count(*) FILTER (WHERE skip_reason IS NOT NULL) AS skipped_files, CAST(count(DISTINCT lang) FILTER (WHERE skip_reason IS NULL) AS INT) AS n_languages, count(*) FILTER (WHERE skip_reason IS NULL AND lang = 'go') AS go_files FROM inv GROUP BY repo",
         "fingerprints": f"WITH {found} SELECT rule_id, fingerprint, count(*) AS rows, count(DISTINCT repo) AS repos FROM printed GROUP BY ALL",
         "dedup_findings": f"WITH {found} SELECT repo, fingerprint, rule_id, analyzer, attack_class, final_verdict AS verdict, confidence, path, CAST(line AS INT) AS line, CAST(column_no AS INT) AS column_no, evidence FROM found",
-        "ranked_findings": f"WITH {found} SELECT repo, rule_id, final_verdict AS verdict, path, CAST(line AS INT) AS line FROM found ORDER BY CASE final_verdict WHEN 'needs_validation' THEN 0 ELSE 1 END, path, line, rule_id, analyzer, column_no, repo LIMIT 100",
-        "summary_by_repo": f"WITH {found} SELECT repo, count(*) AS total, CAST(0 AS BIGINT) AS confirmed, count(*) FILTER (WHERE final_verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE final_verdict = 'hardening') AS hardening, "
-        + ", ".join(f"CAST(0 AS BIGINT) AS severity_{s}" for s in fd.SEVERITY_RANK) + " FROM found GROUP BY repo",
+        "ranked_findings": f"WITH {found} SELECT repo, rule_id, final_verdict AS verdict, path, CAST(line AS INT) AS line FROM found",
+        "summary_by_repo": f"WITH {found} SELECT repo, count(fingerprint) AS total, CAST(0 AS BIGINT) AS confirmed, count(*) FILTER (WHERE final_verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE final_verdict = 'hardening') AS hardening, "
+        + ", ".join(f"CAST(0 AS BIGINT) AS severity_{s}" for s in fd.SEVERITY_RANK) + " FROM (SELECT DISTINCT repo FROM inv) LEFT JOIN found USING (repo) GROUP BY repo",
         "accepted_by_analyzer": f"WITH {found} SELECT repo, analyzer, count(*) AS accepted FROM found GROUP BY ALL",
         "coverage_rows": f"WITH {coverage} SELECT repo, analyzer, attack_class, status, files FROM coverage",
         "coverage_status": f"WITH {coverage} SELECT repo, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'not_automated') AS not_automated, count(*) FILTER (WHERE status = 'not_applicable') AS not_applicable, count(*) FILTER (WHERE status = 'blocked') AS blocked, bool_or(status <> 'not_applicable') AS incomplete FROM coverage GROUP BY repo",
         "documents_secret_scan": documents_sql(),
         "page_script_tokens": pages_sql(),
-        "report_parts": f"WITH {found} SELECT repo, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, '1' AS schema_version, count(*) AS total, count(*) AS in_part FROM found GROUP BY repo",
+        "report_parts": f"""WITH {found}, repos AS (SELECT repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files FROM inv GROUP BY repo)
+SELECT repo, 'header' AS kind, '1' AS schema_version, (SELECT count(*) FROM found f WHERE f.repo = r.repo) AS total, files,
+  NULL AS rule_id, NULL AS fingerprint, NULL AS verdict, NULL AS evidence, NULL AS path FROM repos r
+UNION ALL SELECT repo, 'line', '1', NULL, NULL, rule_id, fingerprint, final_verdict, evidence, path FROM found""",
     }
     cells = f"""WITH {found}, {matrix}, per_rule AS (SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id),
 cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_id) AS n_rules, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS findings
@@ -326,12 +329,12 @@ def documents_sql() -> str:
     pattern = r"""(?i)(?:api[_-]?key|token|secret|password|passwd)["'']?\s*[:=]\s*["'']?([A-Za-z0-9_./+=:@%!?$~,-]{16,256})"""
     return f"""WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM split),
-hits AS (SELECT doc_id, line, regexp_extract(text, '{pattern}', 1) AS value FROM lines WHERE regexp_matches(text, '{pattern}'))
+hits AS (SELECT doc_id, line, unnest(regexp_extract_all(text, '{pattern}', 1)) AS value FROM lines WHERE regexp_matches(text, '{pattern}'))
 SELECT doc_id, CAST(line AS INT) AS line, {checks._redact('value')} AS evidence FROM hits WHERE {checks._secret('value')}"""
 
 
 def pages_sql() -> str:
-    return r"""WITH bodies AS (SELECT page_id, regexp_extract_all(html, '<script[^>]*>((?:.|\n)*?)</script>', 1) AS bs FROM pages),
+    return r"""WITH bodies AS (SELECT page_id, regexp_extract_all(html, '(?i)<script[^>]*>((?:.|\n)*?)</script>', 1) AS bs FROM pages),
 scripts AS (SELECT page_id, unnest(bs) AS body, unnest(range(len(bs))) AS no FROM bodies),
 cut AS (SELECT page_id, no, regexp_extract_all(body, '\s+|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|[0-9]+|[A-Za-z_$][A-Za-z0-9_$]*|.') AS ps FROM scripts),
 pieces AS (SELECT page_id, no, unnest(ps) AS text, unnest(range(len(ps))) AS pos, ps FROM cut),

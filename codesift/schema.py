@@ -42,165 +42,222 @@ RAW_COLUMNS = [
     "phase", "pos", "rule_no",
 ]
 
-# rule, variant, analyzer, class, verdict, confidence, title, remediation, blocker
-_ROWS = [
-    ("G001", "", GENERIC, SECRETS, NV, "high", "Environment file present in the tree",
-     "Remove the file from version control and packages, rotate real values, keep a template only.",
-     "Confirm that the file is distributed and holds live credentials."),
-    ("G002", "", GENERIC, SECRETS, NV, "high", "Private key material in the tree",
-     "Take secrets out of source, use a secret store, and rotate anything that was shared.",
-     "Confirm that the value is distributed and still valid."),
-    ("G003", "", GENERIC, SECRETS, NV, "high", "AWS access key shape in text",
-     "Take secrets out of source, use a secret store, and rotate anything that was shared.",
-     "Confirm that the value is distributed and still valid."),
-    ("G004", "", GENERIC, SECRETS, NV, "high", "GitHub token shape in text",
-     "Take secrets out of source, use a secret store, and rotate anything that was shared.",
-     "Confirm that the value is distributed and still valid."),
-    ("G005", "", GENERIC, SECRETS, NV, "high", "Slack token shape in text",
-     "Take secrets out of source, use a secret store, and rotate anything that was shared.",
-     "Confirm that the value is distributed and still valid."),
-    ("G006", "", GENERIC, SECRETS, NV, "high", "Stripe live key shape in text",
-     "Take secrets out of source, use a secret store, and rotate anything that was shared.",
-     "Confirm that the value is distributed and still valid."),
-    ("G007", "", GENERIC, SECRETS, NV, "medium", "Sensitive setting with a varied literal value",
-     "Move real credentials out of configuration; use unmistakable dummies in examples.",
-     "Confirm that the literal is a real, distributed and active credential."),
-    ("G008", "", GENERIC, OBVIOUS, HARD, "medium", "Open to-do about a security control",
-     "Resolve it, or record why the present control suffices, and add a regression test.", ""),
-    ("G009", "", GENERIC, SUPPLY, HARD, "high", "Action referenced by a movable tag or branch",
-     "Pin third-party actions to a reviewed full commit id and automate updates.", ""),
-    ("G010", "", GENERIC, SUPPLY, HARD, "high", "Workflow with write access to everything",
-     "Declare the least permissions per workflow or job.", ""),
-    ("G011", "", GENERIC, SUPPLY, NV, "medium", "Event field interpolated in a workflow",
-     "Pass untrusted fields through quoted environment variables.",
-     "Confirm that the expression reaches a shell step, and with which permissions."),
-    ("G012", "", GENERIC, SUPPLY, NV, "high", "Pull request code mixed with a privileged trigger",
-     "Do not run pull request code under a privileged trigger; split the jobs.",
-     "Confirm which ref is checked out, what runs next, and which secrets it can read."),
-    ("G013", "", GENERIC, CLOUD, NV, "medium", "Secret set while building an image",
-     "Inject secrets at run time or with the builder's secret mounts.",
-     "Confirm that the value is real and reaches layers, history or configuration."),
-    ("G014", "", GENERIC, SUPPLY, HARD, "high", "Download piped into a shell during a build",
-     "Fetch a fixed version, verify its digest, then run it as a separate step.", ""),
-    ("G015", "", GENERIC, CLOUD, HARD, "high", "Final image stage without an explicit user",
-     "Select an unprivileged user in the final stage unless privileges are justified.", ""),
-    ("G016", "", GENERIC, SUPPLY, HARD, "high", "Script pipes a download into a shell",
-     "Fetch a fixed version, verify its digest, then run it as a separate step.", ""),
-    ("GO001", "", GO, SECRETS, NV, "high", "TLS verification switched off",
-     "Verify normally, or configure roots and names explicitly.",
-     "Confirm where the configuration is used and what the connection protects."),
-    ("GO002", "", GO, INJECTION, NV, "high", "Shell command from a dynamic expression",
-     "Avoid the shell and pass separate arguments.",
-     "Trace the expression and confirm that a less trusted party controls it."),
-    ("GO003", "", GO, INJECTION, NV, "medium", "Query text built dynamically",
-     "Use placeholders; use a closed list for identifiers.",
-     "Trace the operands and confirm that one of them is less trusted."),
-    ("GO004", "", GO, FILES, NV, "medium", "Joined path with an unproven component",
-     "Check the component against a closed list, or verify that the result stays below the root.",
-     "Confirm who controls the component and whether confinement is enforced."),
-    ("GO005", "", GO, SECRETS, NV, "high", "Sensitive value from a predictable generator",
-     "Use the operating system's cryptographic generator.",
-     "Confirm that the value guards a security boundary."),
-    ("GO006", "", GO, EXHAUSTION, NV, "high", "Whole body read without a visible limit",
-     "Limit the reader before reading everything.",
-     "Confirm the nearest limit upstream and who can send this body."),
-    ("GO007", "", GO, EXHAUSTION, HARD, "medium", "Shared HTTP client without a total timeout",
-     "Use a client with a timeout and pass deadlines.", ""),
-    ("GO008", "", GO, EXHAUSTION, HARD, "medium", "HTTP client literal without a timeout",
-     "Set a total timeout, or document the equivalent control.", ""),
-    ("GO009", "", GO, CLIENT, NV, "high", "Dynamic value marked as trusted HTML",
-     "Keep the value as text, or sanitise it under an explicit policy.",
-     "Confirm that the value can hold less trusted data and is rendered to others."),
-    ("GO010", "", GO, SECRETS, NV, "medium", "Sensitive name passed to logging",
-     "Log identifiers that are not sensitive, or redacted forms.",
-     "Confirm what the value holds and who reads the output."),
-    ("GO011", "", GO, FILES, HARD, "high", "World-writable mode requested",
-     "Use the narrowest mode and set the owner explicitly.", ""),
-    ("GO012", "", GO, EXHAUSTION, NV, "medium", "Process exit inside reusable code",
-     "Return an error and let the caller decide.",
-     "Confirm that less trusted input reaches this path in a shared process."),
-    ("GO013", "", GO, OBVIOUS, NV, "medium", "Profiling handlers registered by an import",
-     "Serve profiling on a separate, protected listener.",
-     "Confirm that the default handler is reachable by less trusted clients."),
-    ("GO014", "", GO, EXHAUSTION, HARD, "medium", "HTTP server literal without timeouts",
-     "Set the header and other timeouts, or document the outer control.", ""),
-    ("GO015", "", GO, OBVIOUS, HARD, "high", "Open to-do about a security control",
-     "Resolve it, or record why the present control suffices, and add a regression test.", ""),
-    ("GO016", "", GO, FILES, NV, "high", "Outgoing request to a caller-chosen address",
-     "Allow only known schemes and hosts; block internal ranges; check redirects.",
-     "Confirm who controls the value and which targets remain possible."),
-    ("GO017", "", GO, INJECTION, NV, "high", "Redirect to a caller-chosen address",
-     "Accept known relative paths or check scheme and host.",
-     "Confirm the normalisation before this call and the reachable targets."),
-    ("GO018", "", GO, SECRETS, HARD, "high", "Sensitive cookie without both protections",
-     "Set both protections and restrict path and domain.", ""),
-    ("GO019", "", GO, INJECTION, NV, "high", "Program chosen by a less trusted value",
-     "Map outside values to a closed list of programs.",
-     "Confirm who makes the request and what the process may run."),
-    ("GO021", "", GO, SECRETS, NV, "medium", "Weak digest over a sensitive name",
-     "Use a password KDF, or a modern keyed digest.",
-     "Confirm what the value is and whether the digest guards anything."),
-    ("GO022", "", GO, CLIENT, NV, "high", "Reflected origin together with credentials",
-     "Check the origin against an exact list before reflecting it.",
-     "Confirm that both headers belong to one response with protected state."),
-    ("JS001", "option", JS, SECRETS, NV, "high", "TLS verification switched off",
-     "Keep verification on and configure private authorities explicitly.",
-     "Confirm which client uses the option and whether it crosses a trust boundary."),
-    ("JS001", "global", JS, SECRETS, NV, "high", "TLS verification switched off for the process",
-     "Remove the setting and configure trust per client.",
-     "Confirm that the assignment runs in a real environment."),
-    ("JS002", "", JS, INJECTION, NV, "high", "Shell command from a dynamic expression",
-     "Use a call without a shell and pass separate arguments.",
-     "Trace the first argument and confirm that a less trusted party controls it."),
-    ("JS003", "dynamic", JS, INJECTION, NV, "high", "Dynamic code evaluation",
-     "Parse data instead of evaluating code.",
-     "Trace the expression and confirm that it can hold less trusted data."),
-    ("JS003", "static", JS, INJECTION, HARD, "medium", "Evaluation of a constant string",
-     "Prefer plain code or a table of functions.", ""),
-    ("JS004", "source", JS, CLIENT, NV, "high", "Less trusted value reaches an HTML sink",
-     "Use text or DOM calls, or sanitise under an explicit policy.",
-     "Confirm that no effective sanitiser or closed list applies before the sink."),
-    ("JS004", "dynamic", JS, CLIENT, HARD, "medium", "Dynamic value reaches an HTML sink",
-     "Use text or DOM calls, or sanitise under an explicit policy.", ""),
-    ("JS005", "", JS, SECRETS, NV, "high", "Sensitive value from a predictable generator",
-     "Use the platform's cryptographic generator.",
-     "Confirm that the value is a credential or must not be guessed."),
-    ("JS006", "", JS, INJECTION, NV, "medium", "Query text built dynamically",
-     "Use parameters; use a closed list for identifiers; avoid raw interfaces.",
-     "Trace the expression and confirm that it is a database call with less trusted parts."),
-    ("JS007", "", JS, FILES, NV, "medium", "Dynamic path reaches the file system",
-     "Check segments against a closed list, or verify that the result stays below the root.",
-     "Confirm who controls the component and whether confinement is enforced."),
-    ("JS008", "", JS, FILES, NV, "high", "Outgoing request to a caller-chosen address",
-     "Allow only known schemes and hosts; block internal ranges; check redirects.",
-     "Confirm the boundary, the policy on targets and the behaviour on redirects."),
-    ("JS009", "", JS, CLIENT, NV, "high", "Browser navigation to a caller-chosen address",
-     "Limit schemes, origins and paths before navigating.",
-     "Confirm who controls the value and which schemes remain possible."),
-    ("JS010", "", JS, CLIENT, HARD, "high", "Sensitive name posted to any origin",
-     "Name the exact target origin and send less.", ""),
-    ("JS011", "", JS, SECRETS, HARD, "high", "Sensitive key kept in web storage",
-     "Do not keep reusable credentials where every script can read them.", ""),
-    ("JS012", "", JS, INJECTION, NV, "high", "Redirect to a caller-chosen address",
-     "Use known relative paths or check scheme and host.",
-     "Confirm that the receiver is a response and which targets remain possible."),
-    ("JS013", "", JS, SECRETS, NV, "medium", "Sensitive name passed to logging",
-     "Log identifiers that are not sensitive, or redacted forms.",
-     "Confirm what the value holds and who reads the output."),
-    ("JS014", "", JS, INJECTION, NV, "high", "Module chosen by a less trusted value",
-     "Map outside values to a closed list of modules.",
-     "Confirm the loader, the reachable modules and the process's authority."),
-    ("JS015", "", JS, INJECTION, NV, "high", "Dynamic code compiled in a VM context",
-     "Process data instead of compiling text.",
-     "Trace the expression and confirm which capabilities the code gets."),
-    ("JS016", "", JS, INJECTION, NV, "high", "Program chosen by a less trusted value",
-     "Map outside values to a closed list of programs.",
-     "Confirm which programs are reachable and with which authority."),
-    ("JS017", "", JS, CLIENT, NV, "high", "Reflected origin together with credentials",
-     "Check the origin against an exact list before reflecting it.",
-     "Confirm that both headers belong to one response with protected state."),
+# What to change, and what to find out before a finding counts; several rules share a subject.
+_ADVICE = {
+    "env": (
+        "Delete the file from this tree and its history, issue new values, and commit a sample with blanks instead.",
+        "Does anyone outside the team receive this tree, and does a listed value still work?",
+    ),
+    "token": (
+        "Revoke the value where it was issued; read its successor from the environment at start-up.",
+        "Ask the issuer whether this value is live, and find out who can read the tree.",
+    ),
+    "setting": (
+        "Replace the literal by a reference that deployment fills in; write samples so that nobody takes them for real.",
+        "Try to find the system this value opens; a fixture or sample closes the finding.",
+    ),
+    "todo": (
+        "Turn the note into a ticket with an owner, or write the missing check and delete the note.",
+        "",
+    ),
+    "pin": (
+        "Write the 40-digit commit after the @ sign and let a bot propose newer ones.",
+        "",
+    ),
+    "perms": (
+        "List the few scopes that the steps use; everything unlisted is then denied.",
+        "",
+    ),
+    "event": (
+        "Assign the field to an env entry and read it as a quoted shell variable.",
+        "Look at the step that holds the expression: does a shell parse it, and what may its token do?",
+    ),
+    "prtarget": (
+        "Build the proposed code in a workflow without secrets; hand only its artifacts to the privileged one.",
+        "Which commit does the checkout take, and do later steps execute files from it?",
+    ),
+    "layer": (
+        "Mount the secret for the one RUN line that needs it, or set it when the container starts.",
+        "Inspect the image history: is the value there, and does it open anything?",
+    ),
+    "pipe": (
+        "Download to a file, compare its checksum with a recorded one, and only then execute it.",
+        "",
+    ),
+    "root": (
+        "Add a USER line after the last COPY, or drop privileges at the start of the entrypoint.",
+        "",
+    ),
+    "tls": (
+        "Give the connection the certificate it should trust; leave checking switched on.",
+        "Which peer does this connection talk to, and who sits on the network between?",
+    ),
+    "shell": (
+        "Start the program itself with a list of arguments, so that no shell reads the text.",
+        "Follow each part of the text to where it enters the program.",
+    ),
+    "sql": (
+        "Put values into placeholders, and pick column or table names from a list in the code.",
+        "Follow each joined part to its origin, and check that the receiver is a database handle.",
+    ),
+    "path": (
+        "Compare the cleaned result with the root folder, or look the name up in a fixed set.",
+        "Can the name hold a separator or two dots by the time it arrives here?",
+    ),
+    "random": (
+        "Draw the bytes from the system's secure source.",
+        "What could somebody do who predicts the next value?",
+    ),
+    "readall": (
+        "Wrap the reader so that it stops after the largest size you expect.",
+        "Who sends this body, and does a proxy or handler before this line bound it?",
+    ),
+    "timeout": (
+        "Bound how long one exchange may last, headers included.",
+        "",
+    ),
+    "html": (
+        "Insert the value as text; where markup is wanted, run it through one audited filter.",
+        "Which user wrote the value, and in whose browser is it shown?",
+    ),
+    "html_hint": (
+        "Insert the value as text; where markup is wanted, run it through one audited filter.",
+        "",
+    ),
+    "log": (
+        "Drop the argument, or print a short digest that tells two values apart.",
+        "Print the value in a test run: is it the secret or only something about it?",
+    ),
+    "mode": (
+        "Grant access to the owner, and to a group only where one exists for this purpose.",
+        "",
+    ),
+    "exit": (
+        "Hand the error up, and end the process in main alone.",
+        "Can a request or message drive execution to this line while others are being served?",
+    ),
+    "pprof": (
+        "Register the handlers on a mux of their own that listens on the loopback address.",
+        "Does the default mux listen on an address that clients reach?",
+    ),
+    "fetch": (
+        "Resolve the host first and refuse private ranges; permit a short list of hosts, on every hop.",
+        "Which addresses are left after the checks before this call?",
+    ),
+    "redirect": (
+        "Redirect to route names of your own, and treat absolute addresses as an error.",
+        "Send a foreign absolute address: does the response carry it?",
+    ),
+    "cookie": (
+        "Switch on Secure and HttpOnly, and narrow the path.",
+        "",
+    ),
+    "program": (
+        "Let the input select an entry of a table whose values are programs.",
+        "List the programs that the input can name, and the account they run under.",
+    ),
+    "digest": (
+        "Use a slow salted function for passwords, an HMAC with SHA-256 for the rest.",
+        "Is the digest compared or stored to protect something, or only a cache key?",
+    ),
+    "origin": (
+        "Look the origin up in a set of your own sites; send no header if it isn't there.",
+        "Request the page with a foreign origin and a session: are both headers in one answer?",
+    ),
+    "eval": (
+        "Replace the evaluation by a parser, or by a table from names to functions.",
+        "Follow the text back: does a request, message or file write any part of it?",
+    ),
+    "eval_const": (
+        "Write the code where it is evaluated now.",
+        "",
+    ),
+    "location": (
+        "Accept paths of this site alone, and compare the scheme before setting a location.",
+        "Open the page with a javascript: address in that field: what happens?",
+    ),
+    "post": (
+        "Pass the origin of the frame you talk to, and leave the secret out of the message.",
+        "",
+    ),
+    "storage": (
+        "Keep the session in a cookie that scripts can't read.",
+        "",
+    ),
+    "module": (
+        "Keep a map from accepted names to import functions.",
+        "Which files can the loader reach from this folder?",
+    ),
+    "vm": (
+        "Treat the text as data; a VM context does not confine it.",
+        "Follow the text back, and list the objects that the context exposes.",
+    ),
+}
+
+# rule, variant, analyzer, class, verdict, confidence, title, subject of the advice
+_CATALOGUE = [
+    ("G001", "", GENERIC, SECRETS, NV, "high", "A file of environment settings is in the tree", "env"),
+    ("G002", "", GENERIC, SECRETS, NV, "high", "Text has the header of a private key", "token"),
+    ("G003", "", GENERIC, SECRETS, NV, "high", "Text has the shape of an AWS key id", "token"),
+    ("G004", "", GENERIC, SECRETS, NV, "high", "Text has the shape of a GitHub token", "token"),
+    ("G005", "", GENERIC, SECRETS, NV, "high", "Text has the shape of a Slack token", "token"),
+    ("G006", "", GENERIC, SECRETS, NV, "high", "Text has the shape of a live Stripe key", "token"),
+    ("G007", "", GENERIC, SECRETS, NV, "medium", "A credential-like setting holds a literal", "setting"),
+    ("G008", "", GENERIC, OBVIOUS, HARD, "medium", "A note asks for work on a security control", "todo"),
+    ("G009", "", GENERIC, SUPPLY, HARD, "high", "A workflow step can change under its name", "pin"),
+    ("G010", "", GENERIC, SUPPLY, HARD, "high", "A workflow may write to everything", "perms"),
+    ("G011", "", GENERIC, SUPPLY, NV, "medium", "Text from an event is pasted into a workflow", "event"),
+    ("G012", "", GENERIC, SUPPLY, NV, "high", "A privileged trigger checks out proposed code", "prtarget"),
+    ("G013", "", GENERIC, CLOUD, NV, "medium", "A secret is an image build argument", "layer"),
+    ("G014", "", GENERIC, SUPPLY, HARD, "high", "An image build runs what it downloads", "pipe"),
+    ("G015", "", GENERIC, CLOUD, HARD, "high", "The last image stage runs as root", "root"),
+    ("G016", "", GENERIC, SUPPLY, HARD, "high", "A script runs what it downloads", "pipe"),
+    ("GO001", "", GO, SECRETS, NV, "high", "Certificates are not checked", "tls"),
+    ("GO002", "", GO, INJECTION, NV, "high", "A shell reads computed text", "shell"),
+    ("GO003", "", GO, INJECTION, NV, "medium", "A query is put together from parts", "sql"),
+    ("GO004", "", GO, FILES, NV, "medium", "A file path has an unchecked part", "path"),
+    ("GO005", "", GO, SECRETS, NV, "high", "A secret comes from math/rand", "random"),
+    ("GO006", "", GO, EXHAUSTION, NV, "high", "A body is read to its end, however long", "readall"),
+    ("GO007", "", GO, EXHAUSTION, HARD, "medium", "The default client waits without limit", "timeout"),
+    ("GO008", "", GO, EXHAUSTION, HARD, "medium", "A client is made without a time limit", "timeout"),
+    ("GO009", "", GO, CLIENT, NV, "high", "A computed value is declared safe markup", "html"),
+    ("GO010", "", GO, SECRETS, NV, "medium", "A secret-sounding name is printed", "log"),
+    ("GO011", "", GO, FILES, HARD, "high", "A file mode lets everyone write", "mode"),
+    ("GO012", "", GO, EXHAUSTION, NV, "medium", "A library ends the process", "exit"),
+    ("GO013", "", GO, OBVIOUS, NV, "medium", "Profiling handlers come with an import", "pprof"),
+    ("GO014", "", GO, EXHAUSTION, HARD, "medium", "A server is made without time limits", "timeout"),
+    ("GO015", "", GO, OBVIOUS, HARD, "high", "A note asks for work on a security control", "todo"),
+    ("GO016", "", GO, FILES, NV, "high", "The caller picks the address of a request", "fetch"),
+    ("GO017", "", GO, INJECTION, NV, "high", "The caller picks the target of a redirect", "redirect"),
+    ("GO018", "", GO, SECRETS, HARD, "high", "A session cookie lacks a protection", "cookie"),
+    ("GO019", "", GO, INJECTION, NV, "high", "The caller picks the program to run", "program"),
+    ("GO021", "", GO, SECRETS, NV, "medium", "An old digest covers a secret", "digest"),
+    ("GO022", "", GO, CLIENT, NV, "high", "Any origin may read with credentials", "origin"),
+    ("JS001", "option", JS, SECRETS, NV, "high", "Certificates are not checked", "tls"),
+    ("JS001", "global", JS, SECRETS, NV, "high", "Certificates are not checked", "tls"),
+    ("JS002", "", JS, INJECTION, NV, "high", "A shell reads computed text", "shell"),
+    ("JS003", "dynamic", JS, INJECTION, NV, "high", "Text is evaluated as code", "eval"),
+    ("JS003", "static", JS, INJECTION, HARD, "medium", "Text is evaluated as code", "eval_const"),
+    ("JS004", "source", JS, CLIENT, NV, "high", "A value becomes markup", "html"),
+    ("JS004", "dynamic", JS, CLIENT, HARD, "medium", "A value becomes markup", "html_hint"),
+    ("JS005", "", JS, SECRETS, NV, "high", "A secret comes from Math.random", "random"),
+    ("JS006", "", JS, INJECTION, NV, "medium", "A query is put together from parts", "sql"),
+    ("JS007", "", JS, FILES, NV, "medium", "A file path has an unchecked part", "path"),
+    ("JS008", "", JS, FILES, NV, "high", "The caller picks the address of a request", "fetch"),
+    ("JS009", "", JS, CLIENT, NV, "high", "The caller picks where the browser goes", "location"),
+    ("JS010", "", JS, CLIENT, HARD, "high", "A secret is posted to any origin", "post"),
+    ("JS011", "", JS, SECRETS, HARD, "high", "A secret is kept in web storage", "storage"),
+    ("JS012", "", JS, INJECTION, NV, "high", "The caller picks the target of a redirect", "redirect"),
+    ("JS013", "", JS, SECRETS, NV, "medium", "A secret-sounding name is printed", "log"),
+    ("JS014", "", JS, INJECTION, NV, "high", "The caller picks the module to load", "module"),
+    ("JS015", "", JS, INJECTION, NV, "high", "Text is compiled in a VM context", "vm"),
+    ("JS016", "", JS, INJECTION, NV, "high", "The caller picks the program to run", "program"),
+    ("JS017", "", JS, CLIENT, NV, "high", "Any origin may read with credentials", "origin"),
 ]
 
+# rule, variant, analyzer, class, verdict, confidence, title, remediation, blocker
+_ROWS = [(*row[:7], *_ADVICE[row[7]]) for row in _CATALOGUE]
+
 RULE_IDS = sorted({row[0] for row in _ROWS})
 RULE_COLUMNS = [
     "rule_id", "variant", "analyzer", "attack_class", "verdict", "confidence", "title", "remediation", "blocker",

@@ -53,33 +53,39 @@ def local_session(cores: str = "8", app: str = "codesift") -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder is used only where that setting is absent,
-    which is the case in tests.
+    Only a local session may do without that setting, as tests do: driver and
+    executors are one process there.  Any other master must name a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="codesift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}"
 
 
 def buckets(spark: SparkSession) -> int:
-    """How many pieces token-level tables have: the session's shuffle width, but
-    not more than a few per core, so that a small session writes no tiny files."""
+    """How many pieces token-level tables have: the session's shuffle width, which is
+    set for the data and not for the cores, up to what Spark allows for a table."""
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(wide, max(8, 4 * spark.sparkContext.defaultParallelism))
+    return min(wide, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
 
-def keep(df: DataFrame, key: str = "file_id", label: str = "t") -> DataFrame:
-    """Write an intermediate table to the shared folder, bucketed by ``key``.
+def keep(df: DataFrame, key: str | None = "file_id", label: str = "t") -> DataFrame:
+    """Write an intermediate table to the shared folder, bucketed by ``key`` if given.
 
     Reading it back is column-pruned, needs no exchange for windows and joins
     inside a file, starts a fresh short plan, and survives the loss of any
-    executor because the files are in the shared folder.
+    executor because the files are in the shared folder.  Tables that are only
+    scanned or exchanged again anyway are written as they come, without buckets.
     """
     spark = df.sparkSession
     plain = "".join(c if c.isalnum() else "_" for c in label)
     name = f"codesift_{plain}_{uuid.uuid4().hex[:12]}"
     path = shared_dir(spark, name)
+    if key is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).mode("overwrite").saveAsTable(name)
     return spark.table(name)
