@@ -171,7 +171,7 @@ def inventory(
         .when(F.col("is_test") & F.lit(not include_tests), F.lit("tests_excluded"))
     )
     return out.select(
-        "repo", "path", "ext", "size", "is_test", "lang", reason.alias("skip_reason"), "content",
+        "repo", "path", "ext", "size", "is_test", "lang", reason.alias("skip_reason"), "content", flag("read_error").alias("read_error"),
         file_key(F.col("repo"), path).alias("file_id"),
     )
 

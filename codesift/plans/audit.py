@@ -65,7 +65,18 @@ class Audit(TableSet):
 
     @property
     def findings(self) -> DataFrame:
-        return self._once("findings", lambda: fd.findings([self.raw_findings]), True, None)
+        """Deduplicated findings; those of an analyzer that a read failure stopped are left out."""
+
+        def make() -> DataFrame:
+            found = fd.findings([self.raw_findings])
+            return cov.drop_blocked(found, self.unreadable) if "read_error" in self.files.columns else found
+
+        return self._once("findings", make, True, None)
+
+    @property
+    def unreadable(self) -> DataFrame:
+        """(repo, read_errors) of the repos with files that could not be read."""
+        return self.kept.where("read_error").groupBy("repo").agg(F.count(F.lit(1)).alias("read_errors"))
 
     @property
     def counts(self) -> DataFrame:

@@ -19,7 +19,8 @@ from codesift.operators.rules_generic import generic_pack
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.plans import checks
-from codesift.plans.audit import corpus_audit
+from codesift.plans.audit import Audit, corpus_audit
+from codesift.plans.corpus import code_files
 from codesift.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +133,13 @@ def coverage_rows(spark, sf_dir):
     return corpus_audit(spark, sf_dir).coverage.select("repo", "analyzer", "attack_class", "status", "files")
 
 
+def blocked_analyzers(spark, sf_dir):
+    """Coverage of the corpus as if the files of some documents could not be read."""
+    files = code_files(configure(spark), sf_dir).withColumn("read_error", F.pmod("doc_id", F.lit(97)) == 5)
+    counts = cov.file_counts(Audit(files).kept, with_tokens=False)
+    return cov.coverage_rows(counts).where(F.col("status") == "blocked").select("repo", "analyzer", "status", "detail")
+
+
 def coverage_status(spark, sf_dir):
     return cov.status_histogram(corpus_audit(spark, sf_dir).coverage)
 
@@ -271,7 +279,7 @@ QUERIES: dict[str, Query] = {
     **{name: partial(js_rule, rule) for name, rule in JS_QUERIES.items()},
     "fingerprints": fingerprints, "dedup_findings": dedup_findings, "ranked_findings": ranked_findings,
     "summary_by_repo": summary_by_repo, "accepted_by_analyzer": accepted_by_analyzer, "coverage_rows": coverage_rows,
-    "coverage_status": coverage_status, "coverage_matrix": coverage_matrix, "matrix_summary": matrix_summary,
+    "blocked_analyzers": blocked_analyzers, "coverage_status": coverage_status, "coverage_matrix": coverage_matrix, "matrix_summary": matrix_summary,
     "report_parts": report_parts, "event_log": event_log,
     "js_tokens": js_tokens, "brace_depth": brace_depth, "call_args": call_args, "script_imports": script_imports,
     "tainted_bindings": tainted_bindings, "go_bindings": go_bindings,
@@ -297,6 +305,7 @@ def oracles() -> dict[str, str]:
         + ", ".join(f"CAST(0 AS BIGINT) AS severity_{s}" for s in fd.SEVERITY_RANK) + " FROM (SELECT DISTINCT repo FROM inv) LEFT JOIN found USING (repo) GROUP BY repo",
         "accepted_by_analyzer": f"WITH {found} SELECT repo, analyzer, count(*) AS accepted FROM found GROUP BY ALL",
         "coverage_rows": f"WITH {coverage} SELECT repo, analyzer, attack_class, status, files FROM coverage",
+        "blocked_analyzers": f"WITH {inv} SELECT DISTINCT repo, 'generic' AS analyzer, 'blocked' AS status, 'a file could not be read' AS detail FROM kept WHERE doc_id % 97 = 5",
         "coverage_status": f"WITH {coverage} SELECT repo, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'not_automated') AS not_automated, count(*) FILTER (WHERE status = 'not_applicable') AS not_applicable, count(*) FILTER (WHERE status = 'blocked') AS blocked, bool_or(status <> 'not_applicable') AS incomplete FROM coverage GROUP BY repo",
         "documents_secret_scan": documents_sql(),
         "page_script_tokens": pages_sql(),
