@@ -19,6 +19,7 @@ from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.operators.tables import TableSet
 from codesift.plans.corpus import code_files
+from codesift.session import size_pieces
 
 # The extension point: a pack maps an audit to raw findings.  Custom packs may
 # add the columns analyzer, severity, tags and blocker.
@@ -41,13 +42,19 @@ class Audit(TableSet):
     def kept(self) -> DataFrame:
         return analysed(self.inventory)
 
+    def _code(self) -> DataFrame:
+        """Files that the code packs look at; tells the storage how much text there is."""
+        code = self.kept.where(~F.col("is_test"))
+        size_pieces(code.sparkSession, code.agg(F.sum("size")).first()[0] or 0)
+        return code
+
     @property
     def scripts(self) -> ScriptTables:
-        return self._once("scripts", lambda: ScriptTables(self.kept.where(~F.col("is_test"))))
+        return self._once("scripts", lambda: ScriptTables(self._once("code", self._code)))
 
     @property
     def go(self) -> GoTables:
-        return self._once("go", lambda: GoTables(self.kept.where(~F.col("is_test"))))
+        return self._once("go", lambda: GoTables(self._once("code", self._code)))
 
     def raw(self, *names: str) -> DataFrame:
         """Raw findings of the named packs (all by default), each written once."""

@@ -65,11 +65,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+# Text of one piece of a token-level table; its tokens take several times that.
+PIECE_BYTES = 32 << 20
+LEAST_PIECES = 8
+_PIECES = "codesift.pieces"
+
+
+def size_pieces(spark: SparkSession, text_bytes: int) -> None:
+    """Set the number of pieces of token-level tables from the bytes of text to cut."""
+    spark.conf.set(_PIECES, str(max(LEAST_PIECES, -(-text_bytes // PIECE_BYTES))))
+
+
 def buckets(spark: SparkSession) -> int:
-    """How many pieces token-level tables have: the session's shuffle width, which is
-    set for the data and not for the cores, up to what Spark allows for a table."""
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(wide, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    """How many pieces token-level tables have: by the volume of text if it was told, else
+    the session's shuffle width; never more than Spark allows for a table."""
+    told = spark.conf.get(_PIECES, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    return min(int(told), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
 
 def keep(df: DataFrame, key: str | None = "file_id", label: str = "t") -> DataFrame:

@@ -92,3 +92,18 @@ def test_tree_source_reads_hidden_files(spark, tmp_path):
     assert got == {("one", ".env", False), ("one", ".github/workflows/ci.yml", False), ("two", "_a.go", False), ("two", "link.go", True)}
     found = Audit(files).raw("generic").select("rule_id").collect()
     assert sorted(r.rule_id for r in found) == ["G001", "G010"]
+
+
+def test_pieces_follow_the_volume_of_text(spark):
+    from codesift import session
+
+    told = spark.conf.get("codesift.pieces", None)
+    try:
+        session.size_pieces(spark, 1000)
+        assert session.buckets(spark) == session.LEAST_PIECES
+        session.size_pieces(spark, 1000 * session.PIECE_BYTES + 1)
+        assert session.buckets(spark) == 1001
+        spark.conf.unset("codesift.pieces")
+        assert session.buckets(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("codesift.pieces", told) if told else spark.conf.unset("codesift.pieces")
