@@ -58,7 +58,7 @@ _U64, _U32 = np.uint64, np.uint32
 _numbers = np.random.default_rng(SEED)
 _FACTOR = _numbers.integers(0, 1 << 32, RUNS + COORDINATES, dtype=_U32) | _U32(1)
 _SHIFT = _numbers.integers(0, 1 << 32, RUNS + COORDINATES, dtype=_U32)
-_FEATURES = "doc long, cid long, n int, tokens binary, sketch binary"
+_FEATURES = "doc long, tag long, cid long, n int, tokens binary, sketch binary"
 
 
 def distinct_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def set_names(texts: int, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarra
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text in; _FEATURES out: the token of each run in 64 bits, the sketch in 16."""
+    """doc, text, tag in; _FEATURES out: the token of each run in 64 bits, the sketch in 16."""
     for batch in batches:
         for a, b, words in word_slices(batch.column(1)):
             doc, value = distinct_shingles(words)
@@ -106,8 +106,11 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         sketch[held, c - RUNS] = mix(least.astype(_U64)) & _U64(0xFFFF)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(name), pa.array(size.astype(np.int32)), _rows(tokens), _rows(sketch)],
-                names=["doc", "cid", "n", "tokens", "sketch"],
+                [
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(name),
+                    pa.array(size.astype(np.int32)), _rows(tokens), _rows(sketch),
+                ],
+                names=["doc", "tag", "cid", "n", "tokens", "sketch"],
             )
 
 
@@ -307,14 +310,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc (its id), class_id (smallest id of all documents it
     is linked with, directly or through others), copy_id (smallest id with the same set),
     n_copies, n_links (classes it is directly linked with)."""
-    texts = docs.select(order_key(id_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(order_key(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     rows = written(texts.mapInArrow(features, _FEATURES), "features")
     full = rows.where("n > 0")
-    classes = full.groupBy("cid").agg(F.min("doc").alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
-    classes = written(classes, "classes")
+    classes = full.groupBy("cid").agg(F.min(F.struct("doc", "tag")).alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
+    classes = written(classes.select("cid", F.col("rep.doc").alias("rep"), F.col("rep.tag").alias("tag"), "n_copies", "n", "tokens", "sketch"), "classes")
     groups = candidate_groups(classes)
-    wanted = groups.join(classes.select(F.col("cid").alias("node"), "rep"), "node").select(F.col("node").alias("cid"), "rep")
-    sets = texts.join(wanted, texts["doc"] == wanted["rep"]).dropDuplicates(["doc", "cid"]).select("doc", "text", "cid").mapInArrow(shingle_sets, "cid long, held binary")
+    # An id may have many texts (no id has), so a class fetches its own by id and tag; repeated
+    # rows, and texts whose tags collide, are told apart only after the set has been checked.
+    wanted = groups.join(classes.select(F.col("cid").alias("node"), F.col("rep").alias("doc"), "tag"), "node").select(F.col("node").alias("cid"), "doc", "tag")
+    sets = texts.join(wanted, ["doc", "tag"]).select("doc", "text", "cid").mapInArrow(shingle_sets, "cid long, held binary").dropDuplicates(["cid"])
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     cells = _in_blocks(groups.join(sizes, "root").withColumnRenamed("node", "cid"), "root", "m", SET_BLOCK)
     cells = cells.join(sets, "cid").select("cell", "side", "cid", "held")

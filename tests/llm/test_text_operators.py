@@ -148,6 +148,17 @@ def test_jaccard_join_of_odd_rows(docs_of, odd_rows, with_clashes):
     assert {(r["doc"], r["class_id"], r["n_links"]) for r in got if r["doc"] in (1, 2, 3)} == {(1, 1, 0), (2, 2, 0), (3, 3, 0)}
 
 
+def test_jaccard_join_of_many_texts_under_one_id(docs_of):
+    # Families of three near copies: three without id, and two that share their ids.
+    near = [[" ".join([*(f"{f}{i}" for i in range(60)), f"tail{k}"]) for k in range(3)] for f in "uvwxy"]
+    rows = [(None, text) for family in near[:3] for text in family]
+    rows += [(100 + k, text) for family in near[3:] for k, text in enumerate(family)]
+    rows += [rows[0], rows[-1]]
+    got = jaccard_join.jaccard_join(docs_of(rows).repartition(3)).collect()
+    assert collections.Counter((r["doc"], r["class_id"], r["n_copies"], r["n_links"]) for r in got) == brute_links(rows)
+    assert {r["n_links"] for r in got} == {2}
+
+
 def test_one_of_each_near_group_stays(docs_of):
     rows = near_rows(families=4)
     kept = jaccard_join.keep_one_of_each_group(docs_of(rows))
