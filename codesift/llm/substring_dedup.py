@@ -20,8 +20,9 @@ Two independent 64-bit hashes identify a sequence of words.
 
 Defined cases: a null text has no words; texts under WINDOW words stay whole; a row
 without id counts as later than every other; equal ids are never smaller than each
-other, and rows with one id but different texts are handled separately; repeated rows
-give repeated results; an empty table gives an empty table.
+other, and rows with one id (or none) but different texts are handled separately, told
+apart by a 64-bit hash of the text and its length; repeated rows give repeated results;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,57 +44,65 @@ ANCHOR = WINDOW - PERIOD + 1
 REACH = WINDOW - ANCHOR
 COMBINE_WORDS = 2_000_000
 
-ROWS = "h long, ctx long, doc long, at long"
-SPANS = "kind int, doc long, tag int, lo int, hi int"
+ROW = ["doc", "tag", "size"]  # tells the rows of a table apart, except repeated ones
+ROWS = "h long, ctx long, doc long, tag long, size int, at long"
+SPANS = "kind int, doc long, tag long, size int, lo int, hi int"
 _U64 = np.uint64
 
 
-def _pack(pos: np.ndarray, tag: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (pos << 28) | (tag << 12) | (left << 6) | right
+def _pack(pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (pos << 12) | (left << 6) | right
 
 
-def _spans(kind: int, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    pos, left, right = at >> 28, (at >> 6) & 63, at & 63
+def _numbers(batch: pa.RecordBatch, columns: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in columns)
+
+
+def _spans(kind: int, doc: np.ndarray, tag: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    pos, left, right = at >> 12, (at >> 6) & 63, at & 63
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(doc), kind, np.int32)),
             pa.array(doc),
-            pa.array(((at >> 12) & 0xFFFF).astype(np.int32)),
+            pa.array(tag),
+            pa.array(size),
             pa.array((pos - left).astype(np.int32)),
             pa.array((pos + ANCHOR + right).astype(np.int32)),
         ],
-        names=["kind", "doc", "tag", "lo", "hi"],
+        names=["kind", *ROW, "lo", "hi"],
     )
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Rows to exchange.  Of equal (h, ctx) in these texts only those of the smallest
     document go on as candidates; the others are covered, and say so by a null ctx."""
-    h, ctx, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, ctx, doc, tag, size, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, ctx, h))
-    h, ctx, doc, at = h[order], ctx[order], doc[order], at[order]
+    h, ctx, doc, tag, size, at = (x[order] for x in (h, ctx, doc, tag, size, at))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
     covered = doc > doc[new][np.cumsum(new) - 1]
-    h = np.where(covered, mix(doc.astype(_U64)), h)
+    h = np.where(covered, mix(doc.astype(_U64) ^ mix(tag.view(_U64))), h)
     for i in range(0, len(h), 50_000):
         part = slice(i, i + 50_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h[part].view(np.int64)), pa.array(ctx[part].view(np.int64), mask=covered[part]), pa.array(doc[part]), pa.array(at[part])],
-            names=["h", "ctx", "doc", "at"],
+            [
+                pa.array(h[part].view(np.int64)), pa.array(ctx[part].view(np.int64), mask=covered[part]),
+                *(pa.array(x[part]) for x in (doc, tag, size, at)),
+            ],
+            names=["h", "ctx", *ROW, "at"],
         )
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of whole texts: columns doc, tag, text in; ROWS out."""
+    """Anchors of whole texts: columns doc, tag, size, text in; ROWS out."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     parts: list[tuple[np.ndarray, ...]] = []
     held = 0
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        tags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b, words in word_slices(batch.column(2)):
+        row = _numbers(batch, (0, 1, 2))
+        for a, b, words in word_slices(batch.column(3)):
             if not len(words.start):
                 continue
             hashes = words.hashes()
@@ -106,7 +115,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi, doc = lo[at], hi[at], doc[at]
             left, right = at - lo, hi - at - ANCHOR
             ctx = mix(run_hash(two, BASES[1], lo, hi) ^ (left * 64 + right).astype(_U64))
-            parts.append((run_hash(one, BASES[0], at, at + ANCHOR), ctx, docs[a:b][doc], _pack(pos[at], tags[a:b][doc], left, right)))
+            parts.append((run_hash(one, BASES[0], at, at + ANCHOR), ctx, *(x[a:b][doc] for x in row), _pack(pos[at], left, right)))
             held += len(hashes)
             if held >= COMBINE_WORDS:
                 yield from _combined(parts)
@@ -116,14 +125,13 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole windows that start inside the given ranges: doc, tag, text, lo, hi in."""
+    """Whole windows that start inside the given ranges: doc, tag, size, text, lo, hi in."""
     parts: list[tuple[np.ndarray, ...]] = []
     held = 0
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        tags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        los, his = batch.column(3), batch.column(4)
-        for a, b, words in word_slices(batch.column(2)):
+        row = _numbers(batch, (0, 1, 2))
+        los, his = batch.column(4), batch.column(5)
+        for a, b, words in word_slices(batch.column(3)):
             hashes = words.hashes()
             one, two = prefix_sums(hashes, BASES[0]), prefix_sums(hashes, BASES[1])
             for d in range(a, b):
@@ -136,7 +144,7 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = np.zeros(len(pos), np.int64)
                 parts.append((
                     run_hash(one, BASES[0], start, start + WINDOW), run_hash(two, BASES[1], start, start + WINDOW),
-                    flat + docs[d], _pack(pos, flat + tags[d], flat, flat + REACH),
+                    *(np.full(len(pos), x[d], x.dtype) for x in row), _pack(pos, flat, flat + REACH),
                 ))
                 held += len(pos)
             if held >= COMBINE_WORDS // 4:
@@ -154,14 +162,15 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document, never the group."""
     open_h = open_ctx = open_doc = None
     classes = 0
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         told = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        h, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+        h, *row = _numbers(batch, (0, 2, 3, 4, 5))  # row: doc, tag, size, at
         if told.any():
-            yield _spans(0, doc[told], at[told])
+            yield _spans(0, *(x[told] for x in row))
         ctx = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-        h, ctx, doc, at = h[~told], ctx[~told], doc[~told], at[~told]
+        h, ctx, row = h[~told], ctx[~told], [x[~told] for x in row]
+        doc = row[0]
         if not len(h):
             continue
         goes_on = open_h is not None and h[0] == open_h
@@ -178,7 +187,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total[0] += classes
         many = total[group] > 1
         if covered.any():
-            yield _spans(0, doc[covered], at[covered])
+            yield _spans(0, *(x[covered] for x in row))
         if goes_on and total[0] > 1:
             for part in waiting:
                 yield _spans(1, *part)
@@ -186,10 +195,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
         out = ~covered & many
         if out.any():
-            yield _spans(1, doc[out], at[out])
+            yield _spans(1, *(x[out] for x in row))
         if total[group[-1]] == 1:
             rest = ~covered & (group == group[-1])
-            waiting.append((doc[rest], at[rest]))
+            waiting.append(tuple(x[rest] for x in row))
         open_h, open_ctx, open_doc, classes = h[-1], ctx[-1], smallest[-1], int(total[group[-1]])
 
 
@@ -239,20 +248,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(
         order_key(id_col).alias("doc"),
         F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int").alias("tag"),
+        F.xxhash64(text_col).alias("tag"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"),
     )
-    anchors = texts.select("doc", "tag", "text").mapInArrow(anchor_rows, ROWS)
+    anchors = texts.select(*ROW, "text").mapInArrow(anchor_rows, ROWS)
     found = written(_compared(anchors), "anchors")
     ranges = (
-        found.where("kind = 1").groupBy("doc", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        found.where("kind = 1").groupBy(*ROW).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     )
     # Repeated rows have one set of windows; one of them is enough.
-    once = texts.join(ranges, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("doc", "tag", "text", "lo", "hi")
+    once = texts.join(ranges, ROW).dropDuplicates(ROW).select(*ROW, "text", "lo", "hi")
     extended = written(_compared(once.mapInArrow(window_rows, ROWS)).where("kind = 0"), "windows")
     covered = (
-        found.where("kind = 0").unionByName(extended).select("doc", "tag", "lo", "hi").distinct()
-        .groupBy("doc", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        found.where("kind = 0").unionByName(extended).select(*ROW, "lo", "hi").distinct()
+        .groupBy(*ROW).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     )
-    out = texts.join(covered, ["doc", "tag"], "left").select("doc", "text", "lo", "hi")
+    out = texts.join(covered, ROW, "left").select("doc", "text", "lo", "hi")
     out = out.mapInArrow(cut, "doc long, n_words long, n_removed long, kept string")
     return out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))

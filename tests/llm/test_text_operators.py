@@ -71,6 +71,27 @@ def test_substring_dedup_equals_brute_force(docs_of, odd_rows, with_clashes, kin
     assert collections.Counter((r["doc"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows)
 
 
+def test_substring_dedup_of_many_texts_under_one_id(docs_of):
+    # 3,000 texts are enough for some of them to share 16 bits of any hash; lengths differ.
+    rnd = random.Random(6)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(3)]
+    rows = [(k, " ".join(p)) for k, p in enumerate(passages)]
+    for i in range(3000):
+        w = [f"r{rnd.randint(0, 999)}" for _ in range(rnd.randint(0, 40))]
+        rows.append((None if i % 3 else 7, " ".join([f"n{i}", *w, *rnd.choice(passages)[rnd.randint(0, 10) :], *w[:5]])))
+    got = substring_dedup(docs_of(rows).repartition(3)).collect()
+    assert collections.Counter((r["doc"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows)
+
+
+def test_substring_dedup_with_a_narrow_hash(docs_of, monkeypatch):
+    # Even if all hashes were equal, texts of different length are told apart.
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(1, " ".join(shared)), *((None, " ".join([f"n{'x' * k}"] * k + shared + ["end"] * (k % 4))) for k in range(40))]
+    got = substring_dedup(docs_of(rows).repartition(3)).collect()
+    assert collections.Counter((r["doc"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows)
+
+
 def test_exact_dedup_decisions(docs_of, odd_rows):
     # Two slots only: every row passes the filter, and the result is the same.
     for slots in (exact_dedup.FILTER_SLOTS, 2):
