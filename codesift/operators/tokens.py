@@ -1,16 +1,25 @@
 """Tokens: source text as rows.
 
-A text is cut by one regular expression into pieces that join back to the text
-exactly.  Positions come from running sums over the pieces, so nothing is parsed
-in Python and a file never leaves its task: files are hash-partitioned by
-``file_id`` before they are exploded, and every later window and join uses that
-partitioning.
+A text is cut into pieces that join back to the text exactly: Go by one regular
+expression; scripts by one pass in Python, because what a slash or a brace means
+depends on the token before it and on the templates that are open.  Positions
+come from running sums over the pieces, and a file never leaves its task: files
+are hash-partitioned by ``file_id`` before they are exploded, and every later
+window and join uses that partitioning.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from codesift.session import buckets
 
@@ -45,51 +54,76 @@ def _op(words: list[str]) -> str:
     return "|".join("".join("\\" + c for c in w) for w in words)
 
 
-_SPACE = r"[\s\u00a0\ufeff\u2028\u2029]++"
+_SPACE = r"[ \t\n\x0b\f\r\u00a0\ufeff\u2028\u2029]++"
 _BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 _JS_STRING = r"\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*+'"
-_JS_REGEX = r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/[\p{L}\p{N}_$]*+"
-_REGEX_AFTER = (
-    r"(?<=(?:[(\[{,:;!&|?^~%*=]|=>|>>|<<|(?<!\+)\+|(?<!-)-|(?<![\p{L}\p{N}_$])(?:"
-    + "|".join(JS_BEFORE_REGEX)
-    + r"))\s{0,64})"
+_JS_REGEX = r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/[\w$]*+"
+# Tokens after which a slash starts a regular expression; so it does at the start and after ``${``.
+_REGEX_AFTER = frozenset(
+    ["(", "[", "{", ",", ":", ";", "?", "=>", *JS_BEFORE_REGEX, *(o for o in JS_OPERATORS if o not in ("?.", "++", "--", "<", ">", "/"))]
 )
-_TEXT = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+"
-
-
-def _template(depth: int) -> str:
-    """A whole template literal whose substitutions nest up to ``depth`` levels."""
-    return rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|\$\{{{_code(depth)}\}})*+`"
-
-
-def _code(depth: int) -> str:
-    """Brace-balanced code inside a substitution."""
-    parts = [r"[^`'\"{}/]++", _JS_STRING, r"//[^\r\n]*+", _BLOCK, "(?=/)" + _REGEX_AFTER + _JS_REGEX, "/"]
-    if depth > 0:
-        parts += [rf"\{{{_code(depth - 1)}\}}", _template(depth - 1)]
-    return "(?:" + "|".join(parts) + ")*+"
-
-
-TEMPLATE_DEPTH = 3
+_TEXT = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(?:\$\{|`)"
 _NUMBER = (
     r"0[xX][0-9a-fA-F_]++n?|0[bB][01_]++n?|0[oO][0-7_]++n?|"
     r"(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9_]++)?n?"
 )
-_JS_NAME = r"#?[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}$]*+"
 
 
-def _js_pattern(at_start: bool) -> str:
-    # The slash is tested first: looking behind from every token would be slow.
-    first = r"(?=/)(?:" + _REGEX_AFTER + (r"|(?<=\A\s{0,64})" if at_start else "") + ")" + _JS_REGEX
-    return "|".join(
-        [_SPACE, r"//[^\r\n]*+", _BLOCK, r"<!--[^\r\n]*+", _template(TEMPLATE_DEPTH), _JS_STRING, first,
-         _NUMBER, _JS_NAME, r"\?\.(?![0-9])", r"=>|\.\.\.", _op([o for o in JS_OPERATORS if o != "?."]),
-         r"[{}()\[\].;,?:]", r"[\s\S]"]
+def _of_categories(*wanted: str) -> str:
+    """The inside of a character class: all characters of these Unicode categories."""
+    runs = groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c)) in wanted)
+    ends = ((run[0], run[-1]) for run in (list(of) for held, of in runs if held))
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in ends)
+
+
+@cache
+def _js_patterns() -> tuple[re.Pattern, ...]:
+    """Template chunk from a back quote, from a closing brace, regular expression, anything else."""
+    letters = ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl")
+    name = rf"#?[{_of_categories(*letters)}$_][{_of_categories(*letters, 'Mn', 'Mc', 'Nd', 'Pc')}$]*+"
+    skip = "|".join([_SPACE, r"//[^\r\n]*+", _BLOCK, r"<!--[^\r\n]*+"])
+    token = "|".join(
+        [_JS_STRING, _NUMBER, name, r"\?\.(?![0-9])", r"=>|\.\.\.", _op([o for o in JS_OPERATORS if o != "?."]), r"[{}()\[\].;,?:]"]
     )
+    return tuple(re.compile(x) for x in ("`" + _TEXT, r"\}" + _TEXT, _JS_REGEX, f"(?P<skip>{skip})|(?P<token>{token})|[\\s\\S]"))
+
+
+def js_cut(text: str) -> list[str]:
+    """The pieces of a script.  Held: for each open brace whether it opened a substitution."""
+    opening, closing, literal, other = (x.match for x in _js_patterns())
+    out: list[str] = []
+    braces: list[bool] = []
+    at, regex_may_start = 0, True
+    while at < len(text):
+        first = text[at]
+        chunk = found = None
+        if first == "`":
+            chunk = opening(text, at)
+        elif first == "}" and braces and braces.pop():
+            chunk = closing(text, at)
+        elif first == "/" and regex_may_start:
+            found = literal(text, at)
+        found = chunk or found or other(text, at)
+        piece = found.group()
+        if chunk:
+            regex_may_start = piece.endswith("${")
+            if regex_may_start:
+                braces.append(True)
+        elif found.lastgroup == "token":
+            regex_may_start = piece in _REGEX_AFTER
+            if piece == "{":
+                braces.append(False)
+        elif found.re.groups == 0:
+            regex_may_start = False
+        out.append(piece)
+        at = found.end()
+    return out
+
 
+@F.arrow_udf(ArrayType(StringType()))
+def _js_cuts(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else js_cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-_SUBSTITUTED = rf"\A`{_TEXT}\$\{{[\s\S]*`\z"
-_CHUNKS = rf"\A`{_TEXT}\$\{{|\}}{_TEXT}(?:\$\{{|`\z)|{_code(TEMPLATE_DEPTH)[:-2]}++"
 
 GO_PATTERN = "|".join(
     [r"\s++", r"//[^\n]*+", _BLOCK, r"`[^`]*+`", r"\"(?:[^\"\\\n]|\\.)*+\"", r"'(?:[^'\\\n]|\\.)++'",
@@ -99,30 +133,14 @@ GO_PATTERN = "|".join(
 
 
 def js_pieces(files: DataFrame) -> DataFrame:
-    """Adds ``pieces``; templates with substitutions are split level by level.
-
-    Each level is its own projection, so the array is computed once per level.
-    """
+    """Adds ``pieces``; templates with substitutions are split, however deep they nest."""
     content = F.col("content")
     blanked = F.when(
         F.startswith(content, F.lit("#!")),
         F.concat(F.regexp_replace(F.regexp_extract(content, r"^[^\r\n]*", 0), r"[\s\S]", " "),
                  F.regexp_replace(content, r"^[^\r\n]*", "")),
     ).otherwise(content)
-    out = files.withColumn("pieces", F.regexp_extract_all(blanked, F.lit(_js_pattern(True)), F.lit(0)))
-
-    # Chunks of a template alternate with code; the code is cut again.
-    def split(piece: Column) -> Column:
-        chunks = F.regexp_extract_all(piece, F.lit(_CHUNKS), F.lit(0))
-        return F.flatten(F.transform(chunks, lambda c, i: F.when(
-            (i == 0) | F.rlike(c, F.lit(r"\A\}[\s\S]*(?:\$\{|`)\z")), F.array(c)
-        ).otherwise(F.regexp_extract_all(c, F.lit(_js_pattern(False)), F.lit(0)))))
-
-    substituted = F.contains(content, F.lit("${"))
-    for _ in range(TEMPLATE_DEPTH + 1):
-        opened = F.flatten(F.transform("pieces", lambda p: F.when(p.rlike(_SUBSTITUTED), split(p)).otherwise(F.array(p))))
-        out = out.withColumn("pieces", F.when(substituted, opened).otherwise(F.col("pieces")))
-    return out
+    return files.withColumn("pieces", _js_cuts(blanked))
 
 
 def go_pieces(files: DataFrame) -> DataFrame:

@@ -20,6 +20,35 @@ def test_regex_or_divide_and_positions(spark):
     assert got[0] == ("ident", "a", 2, 1) and ("regex", "/[/]x/g", 2, 21) in got
 
 
+def test_regex_after_blanks_and_comments(spark):
+    for gap in ("/* c */ ", " " * 70, "// c\n", "/* a */ // b:\n /* c */", ""):
+        got = [(k, t) for k, t, *_ in shown(spark, f'const q = {gap}/["(]/; eval(z); const s = "x";')]
+        assert ("regex", '/["(]/') in got and ("ident", "eval") in got and ("string", '"x"') in got, gap
+        # After a name it stays a division, whatever the comment ends with.
+        assert "regex" not in [k for k, *_ in shown(spark, f"a {gap}/ b / c")], gap
+
+
+def test_regex_after_a_comment_hides_no_finding(spark):
+    from codesift.plans.audit import Audit
+
+    gaps = ("/* c */", " " * 70)
+    rows = [(f"r{i}", "a.js", f'const q = {gap} /["(]/; eval(z); const s = "x";\n') for i, gap in enumerate(gaps)]
+    deep = "eval(z)"
+    for _ in range(8):
+        deep = f"`a${{ {deep} }}b`"
+    rows.append(("deep", "a.js", f"const q = {deep};\n"))
+    found = Audit(spark.createDataFrame(rows, "repo string, path string, content string")).raw("javascript-typescript")
+    assert {r["repo"] for r in found.where("rule_id = 'JS003'").collect()} == {"r0", "r1", "deep"}
+
+
+def test_templates_of_any_depth(spark):
+    text = "x"
+    for i in range(40):
+        text = f"`{i}${{ {{a: {text}}}.a }}z`"
+    got = [k for k, *_ in shown(spark, text)]
+    assert got.count("tstart") == got.count("tend") == 40 and got.count("template") == 0 and got.count("ident") == 81
+
+
 def test_nested_templates(spark):
     got = [(k, t) for k, t, *_ in shown(spark, "`a${b + `c${d}` + {e: '}'}.e}f`")]
     assert got[0] == ("tstart", "`a${") and got[-1] == ("tend", "}f`") and ("tstart", "`c${") in got
