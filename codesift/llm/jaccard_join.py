@@ -306,10 +306,9 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return written(roots(written(found.distinct(), "close")), "groups")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc (its id), class_id (smallest id of all documents it
-    is linked with, directly or through others), copy_id (smallest id with the same set),
-    n_copies, n_links (classes it is directly linked with)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``jaccard_join`` with tag (hash of the text) and group (one value for all
+    rows that are linked or copies, null for texts without words); doc is the order key."""
     texts = docs.select(order_key(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     rows = written(texts.mapInArrow(features, _FEATURES), "features")
     full = rows.where("n > 0")
@@ -327,19 +326,40 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = written(roots(told.where("b is not null").select("a", "b")), "roots")
     degree = told.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     label = reach.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    told = reach.join(label, "root").join(degree, "node").select(F.col("node").alias("cid"), "class_id", "n_links")
+    told = reach.join(label, "root").join(degree, "node").select(F.col("node").alias("cid"), "root", "class_id", "n_links")
     told = classes.select("cid", "rep", "n_copies").join(told, "cid", "left")
-    out = full.select("doc", "cid").join(told, "cid").select(
-        "doc", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    out = full.select("doc", "tag", "cid").join(told, "cid").select(
+        "doc", "tag", F.coalesce("root", "cid").alias("group"),
+        F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     one = F.lit(1).cast("long")
-    empty = rows.where("n = 0").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), one.alias("n_copies"), (one - 1).alias("n_links"))
-    return out.unionByName(empty).withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
+    empty = rows.where("n = 0").select(
+        "doc", "tag", F.lit(None).cast("long").alias("group"),
+        F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), one.alias("n_copies"), (one - 1).alias("n_links"),
+    )
+    return out.unionByName(empty)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc (its id), class_id (smallest id of all documents it
+    is linked with, directly or through others), copy_id (smallest id with the same set),
+    n_copies, n_links (classes it is directly linked with)."""
+    return _grouped(docs, id_col, text_col).drop("tag", "group").withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller id, columns
-    unchanged.  Rows without id stay; repeated rows stay or go together."""
-    found = jaccard_join(docs, id_col, text_col)
-    gone = written(found.where("doc is not null and doc != class_id").select(F.col("doc").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+    """``docs`` with one row of each group of near copies, columns unchanged: of the smallest
+    id, rows without id last.  Texts without words are in no group and stay."""
+    own = F.struct("doc", "tag")
+    found = written(_grouped(docs, id_col, text_col).where("group is not null").select("doc", "tag", "group"), "grouped")
+    firsts = found.groupBy("group").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Rows of one id and text are in one group; more than one such row may come first.
+    told = found.join(firsts, "group").groupBy("doc", "tag").agg(F.max(F.col("first") == own).alias("first"), F.count("*").alias("n"))
+    told = written(told.where("not first or n > 1").select("doc", "tag", "first"), "gone")
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)), order_key(id_col).alias("doc"), F.xxhash64(text_col).alias("tag"))
+    rows = rows.join(told, ["doc", "tag"], "left")
+    kept = rows.where("first is null")
+    if not told.where("first").isEmpty():
+        kept = kept.unionByName(rows.where("first").dropDuplicates(["doc", "tag"]))
+    return kept.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(names)))

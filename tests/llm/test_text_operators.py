@@ -187,6 +187,19 @@ def test_one_of_each_near_group_stays(docs_of):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_one_row_of_each_near_group_stays_without_unique_ids(docs_of):
+    near = [[" ".join([*(f"{f}{i}" for i in range(60)), f"tail{k}"]) for k in range(3)] for f in "uvwxyz"]
+    rows = [(None, t) for t in near[0]]  # no ids
+    rows += [(1, near[1][0]), (None, near[1][1]), (None, near[1][2])]  # beside a row with id
+    rows += [(2, t) for t in near[2]]  # one id for all
+    rows += [(3, near[3][0]), (4, near[3][1]), (4, near[4][0])]  # one of two texts of an id is a copy
+    rows += [(5, near[5][0]), (5, near[5][0]), (6, near[5][1]), (5, None), (None, ""), (None, None)]  # repeated rows; no words
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one_of_each_group(docs_of(rows).repartition(3)).collect()]
+    full = [(i, t) for i, t in kept if t]
+    assert sorted((i is None, i or 0, t[0]) for i, t in full) == [(False, 1, "v"), (False, 2, "w"), (False, 3, "x"), (False, 4, "y"), (False, 5, "z"), (True, 0, "u")]
+    assert collections.Counter(r for r in kept if not r[1]) == collections.Counter([(5, None), (None, ""), (None, None)])
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = {(min(e), max(e)) for e in ((rnd.randint(-40, 400), rnd.randint(-40, 400)) for _ in range(220)) if e[0] != e[1]}
