@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.llm import ann, exact_dedup, hilbert_shards, mixing, quality
+from codesift.llm import ann, blob_ledger, exact_dedup, filter_audit, hilbert_shards, mixing, quality, spelling
 from codesift.llm.bpe import encode_decode
 from codesift.llm.jaccard_join import jaccard_join
 from codesift.llm.quotes import format_chats
+from codesift.llm.store import shared_folder
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.token_counts import token_counts
 
@@ -207,6 +209,113 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op11_sql() -> str:
+    """Step by step over all orders: the Shapley sum is counted here, not solved for."""
+    steps = ", ".join(f"('{order}', {step}, {before}, {after}, {after - before})" for order, step, _, before, after in filter_audit.steps("ABCDE"))
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {SQL_WORDS} AS w FROM documents),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS t FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(q, 0) AS q, coalesce(t, 0) AS t,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM texts LEFT JOIN told USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(q) AS q, sum(t) AS t FROM masks GROUP BY ALL),
+steps(filter_order, step, b, a, f) AS (VALUES {steps}),
+counted AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (mask & a = 0) AS kept, sum(n) FILTER (mask & b = 0 AND mask & f <> 0) AS removed,
+    sum(n) FILTER (mask & b <> 0 AND mask & f <> 0) AS redundant, sum(n) FILTER (mask = f) AS unique_fails,
+    sum(q) FILTER (mask & b = 0 AND mask & f <> 0) AS good_lost, sum(t) FILTER (mask & b = 0 AND mask & f <> 0) AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a ledger of its own, as in the first run over a corpus."""
+    out = blob_ledger.scan(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger_{uuid.uuid4().hex}")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = (count(r.name) for r in blob_ledger.RULES)
+    spans = blob_ledger.joined(F.col("spans"))
+    return out.select(F.col("doc").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op12_sql() -> str:
+    """Where matches lie follows from the texts between them."""
+
+    def matches(no: int, kind: str, pattern: str, least: str) -> str:
+        p = "'" + pattern.replace("'", "''") + "'"
+        return f"""
+  SELECT doc_id, key, {no} AS no, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    'a': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'v': {least}}})) AS s
+  FROM (SELECT doc_id, key, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, 2) AS v FROM texts)""" if kind == "assign" else f"""
+  SELECT doc_id, key, {no}, '{kind}', unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    'a': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'v': {least}}}))
+  FROM (SELECT doc_id, key, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m FROM texts)"""
+
+    assign, access, hexes = blob_ledger.RULES
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS key, coalesce(text, '') AS text FROM documents),
+found AS ({matches(0, "assign", assign.pattern, "length(v[i]) >= 8")}
+  UNION ALL {matches(1, "access", access.pattern, "length(m[i]) >= 16")}
+  UNION ALL {matches(2, "hex", f"[0-9a-f]{{{hexes.least},}}", "true")}),
+kept AS (SELECT key, no, kind, s.a::BIGINT AS a, (s.a + s.n)::BIGINT AS b FROM found WHERE s.v),
+lists AS (SELECT key, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) AS spans, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2 FROM kept GROUP BY key)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN lists USING (key)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of a text in SQL; ``remainder`` must hold ``crc32_table``."""
+    return f"""xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT)),
+      lambda a, b: xor(a >> 8, remainder[((xor(a, b) & 255) + 1)::BIGINT])))"""
+
+
+def op13_sql() -> str:
+    """Near words meet where one letter of either is left out, at equal places for a
+    replaced one; every deletion is made."""
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS said, count(*) AS n, {crc32_table()}::UBIGINT[] AS remainder FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {sql_crc32("said")} AS h FROM counted),
+cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT DISTINCT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT DISTINCT words.word, gaps.word FROM gaps JOIN words ON rest = words.word
+  UNION SELECT DISTINCT gaps.word, words.word FROM gaps JOIN words ON rest = words.word),
+ranked AS (SELECT a, b, words.n, row_number() OVER (PARTITION BY a ORDER BY words.n DESC, encode(b)) AS r, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN words ON b = word),
+best AS (SELECT * FROM ranked WHERE r = 1),
+held AS (
+  SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 2 * words.n THEN b END AS form, CASE WHEN best.n >= 2 * words.n THEN best.n END AS form_n
+  FROM words LEFT JOIN best ON a = word),
+ways AS (SELECT word, word AS at FROM held UNION ALL SELECT ways.word, held.form FROM ways JOIN held ON ways.at = held.word WHERE held.form IS NOT NULL),
+ends AS (SELECT ways.word, ways.at AS root FROM ways JOIN held ON ways.at = held.word WHERE held.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM held JOIN ends USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ann": op2_ann,
@@ -218,10 +327,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_blob_ledger": op12_blob_ledger,
+    "op13_spelling": op13_spelling,
 }
 
 
 def oracles() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL, "op4_mix": OP4_SQL, "op6_hilbert_shards": op6_sql(), "op7_exact_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL,
+        "op11_filter_audit": op11_sql(), "op12_blob_ledger": op12_sql(), "op13_spelling": op13_sql(),
     }
