@@ -6,11 +6,12 @@ place on the Hilbert curve through that cube.  Rows are ordered by cell, and run
 row counts are the shards (law ``rows``), so each shard covers a compact block of all three
 dimensions and a reader can skip it by the minima and maxima of any of them.
 
-No row count is taken in one task.  Cells are counted (at most 2**(3 * BITS)), a cell of
-more than PIECE_ROWS rows is dealt over pieces by a hash, pieces are counted and their
-counts added up; a row's position is its piece's offset plus its rank within the piece.
+No row count is taken in one task.  Rows are cut into pieces by ranges of the whole order,
+one per PIECE_ROWS rows, so a piece may begin inside a cell, even inside a group of equal
+texts; pieces are counted and their counts added up; a row's position is its piece's offset
+plus its rank within the piece.  The order is the same at any size.
 
-Inside a piece rows are ordered by the CRC-32 of the text, then id, so equal texts with
+Inside a cell rows are ordered by the CRC-32 of the text, then id, so equal texts with
 equal metadata stand side by side.  Nulls: a null text has no bytes, size 1; null names
 are a level of their own, before all others; rows without id come first.  Repeated rows
 get neighbouring slots.  An empty table gives an empty table.
@@ -103,15 +104,19 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     )
     levelled = _with_level(_with_level(rows, "one", "level_one"), "two", "level_two")
     by_size = F.least(F.length(F.bin("size")) - 1, F.lit((1 << BITS) - 1))
-    celled = written(levelled.select("doc", "size", "crc", hilbert_index([by_size, F.col("level_one"), F.col("level_two")]).alias("cell")), "cells")
-    cells = celled.groupBy("cell").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("pieces"))  # 2**(DIMS * BITS) rows at most
-    pieced = celled.join(F.broadcast(cells), "cell").withColumn("piece", F.pmod(F.xxhash64("doc", "crc"), F.col("pieces"))).drop("pieces")
-    counts = pieced.groupBy("cell", "piece").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("cell", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = written(counts.select("cell", "piece", (F.sum("n").over(upto) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total")), "offsets")
-    inside = Window.partitionBy("cell", "piece").orderBy("crc", F.col("doc").asc_nulls_first(), "size")
-    placed = pieced.withColumn("rank", F.row_number().over(inside) - 1)
-    placed = join_small(placed, offsets, ["cell", "piece"], offsets.count())
+    celled = levelled.select(
+        "doc", "size", "crc", hilbert_index([by_size, F.col("level_one"), F.col("level_two")]).alias("cell"),
+        F.monotonically_increasing_id().alias("row"),  # tells rows apart that are equal in all else
+    )
+    celled = written(celled, "cells")
+    order = ["cell", "crc", F.col("doc").asc_nulls_first(), "size", "row"]
+    pieces = max(1, -(-celled.count() // PIECE_ROWS))
+    pieced = written(celled.repartitionByRange(pieces, *order).withColumn("piece", F.spark_partition_id()), "pieces")
+    counts = pieced.groupBy("piece").agg(F.count("*").alias("n"))
+    upto = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = written(counts.select("piece", (F.sum("n").over(upto) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total")), "offsets")
+    placed = pieced.withColumn("rank", F.row_number().over(Window.partitionBy("piece").orderBy(*order)) - 1)
+    placed = join_small(placed, offsets, ["piece"], offsets.count())
     at = F.col("offset") + F.col("rank")
     shard = F.expr(f"cast((offset + rank) * {parts} div total as int)")
     first = F.expr(f"(shard * total + {parts - 1}) div {parts}")

@@ -128,7 +128,7 @@ def crc32_table() -> list[int]:
 
 
 def op6_sql() -> str:
-    """No cell of the small tables is large enough to be dealt over pieces, so the order is cell, CRC, id."""
+    """The order is cell, CRC, id, size at any size."""
     steps = hilbert_shards.curve_steps()
     to, digit = [s for s, _ in steps], [d for _, d in steps]
     chain = "placed AS (SELECT *, 0 AS state, 0 AS cell FROM levelled)"
