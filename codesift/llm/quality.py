@@ -13,8 +13,8 @@ length, edges, symbols, whether they repeat the one before) and pairs of such sh
 it also ranks documents between the bounds.
 
 Defined cases: a document without words, or a null text, gets score 0 and is rejected;
-repeated rows get equal scores; an empty table, or one without any words, gives rows of
-score 0.  Extra columns are not looked at.
+repeated rows get equal scores; rows without id are drawn by their texts; an empty table,
+or one without any words, gives rows of score 0.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -213,7 +213,9 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """The scorer's weights and bias."""
-    texts = docs.select(F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("h"), F.col(text_col).alias("text"))
+    # A row without id is drawn by its text.
+    h = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+    texts = docs.select(h.alias("h"), F.col(text_col).alias("text"))
     told = texts.select("text").mapInArrow(_vote_rows, "vote long").groupBy("vote").agg(F.count("*").alias("n")).collect()
     told = [(r["vote"], r["n"]) for r in told if r["vote"] >= 0]
     if not told:
@@ -222,10 +224,13 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts), strict=True))
     # Ids hash evenly, so this many of the smallest hashes are expected; at most ``sample`` are used.
     bound = min((1 << 63) - 1, int(min(1.0, 0.95 * sample / counts.sum()) * (1 << 64)) - (1 << 63))
-    drawn = texts.where(F.col("h") <= F.lit(bound).cast("long")).mapInArrow(_sample_rows, "h long, vote long, features binary, shares binary").where("vote >= 0")
-    rows = drawn.orderBy("h", "features", "shares").limit(sample).collect()
-    if not rows:
-        return np.zeros(FEATURES), 0.0
+
+    def smallest(some: DataFrame) -> list:
+        drawn = some.mapInArrow(_sample_rows, "h long, vote long, features binary, shares binary").where("vote >= 0")
+        return drawn.orderBy("h", "features", "shares").limit(sample).collect()
+
+    # Of few ids or texts, repeated often, none may lie below the bound; then all are looked at.
+    rows = smallest(texts.where(F.col("h") <= F.lit(bound).cast("long"))) or smallest(texts)
     held = [(np.frombuffer(r["features"], "<u2").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(float)) for r in rows]
     return train(held, np.array([posterior[r["vote"]] for r in rows]))
 

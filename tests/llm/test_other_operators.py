@@ -42,6 +42,16 @@ def test_shards_are_runs_of_equal_counts(docs_of, odd_rows, with_clashes, monkey
     assert in_order == sorted(in_order)
 
 
+def test_shards_have_one_order_at_any_size(docs_of, odd_rows, monkeypatch):
+    rows = [(i % 11 if i % 7 else None, t, s) for i, ((_, t), s) in enumerate(zip(odd_rows * 6, ["b", "a", "a"] * 32, strict=True))]
+    docs = docs_of(rows).repartition(3)
+    got = []
+    for piece in (100_000, 40, 2):
+        monkeypatch.setattr(hilbert_shards, "PIECE_ROWS", piece)
+        got.append(collections.Counter(tuple(r) for r in hilbert_shards.shards(docs).collect()))
+    assert got[0] == got[1] == got[2]
+
+
 def test_shards_of_no_rows(docs_of):
     assert hilbert_shards.shards(docs_of([])).count() == 0
 
@@ -162,6 +172,16 @@ def test_quality_of_odd_rows(docs_of, odd_rows, with_clashes):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_of_rows_without_ids_at_any_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bare = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for sample in (100, 10_000):
+        weights, _ = quality.fit(bare, sample=sample)
+        assert np.abs(weights).sum() > 0
+    one = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    assert np.abs(quality.fit(one, sample=100)[0]).sum() > 0
+
+
 def test_em_recovers_labellers_it_was_not_told_about():
     rng = np.random.default_rng(3)
     n, m = 40_000, len(quality.LABELLERS)
