@@ -106,7 +106,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words.start):
                 continue
             hashes = words.hashes()
-            one, two = prefix_sums(hashes, BASES[0]), prefix_sums(hashes, BASES[1])
+            one, two = prefix_sums(hashes, BASES[0]), prefix_sums(words.hashes(1), BASES[1])
             doc = words.doc
             first, last = words.first[doc], words.first[doc + 1]
             pos = np.arange(len(hashes)) - first
@@ -133,7 +133,7 @@ def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         los, his = batch.column(4), batch.column(5)
         for a, b, words in word_slices(batch.column(3)):
             hashes = words.hashes()
-            one, two = prefix_sums(hashes, BASES[0]), prefix_sums(hashes, BASES[1])
+            one, two = prefix_sums(hashes, BASES[0]), prefix_sums(words.hashes(1), BASES[1])
             for d in range(a, b):
                 first = words.first[d - a]
                 steps = np.zeros(words.first[d - a + 1] - first + 1, np.int64)

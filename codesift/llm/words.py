@@ -2,8 +2,9 @@
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``, compared byte for byte.  Texts are taken in
 slices of half a megabyte, so memory follows the longest text and not the batch.
-Hashes of word sequences are polynomials over prefix sums: any run of words is hashed
-in constant time from two prefixes.
+A word is hashed eight bytes at a time, each block mixed with what came before; long words
+are hashed one by one.  Hashes of word sequences are polynomials over prefix sums of these:
+any run of words is hashed in constant time from two prefixes.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 # Odd multipliers that are 3 modulo 8, so that differences of powers keep few factors of two.
-BYTE_BASE = 0x9E3779B97F4A7C1B
 BASES = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD3)
+LONG_WORD = 64
 _U64 = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -74,9 +76,22 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        sums = prefix_sums(self.data.astype(_U64) + _U64(1), BYTE_BASE)
-        return run_hash(sums, BYTE_BASE, self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; other seeds give independent ones."""
+        size = self.end - self.start
+        out = mix(size.astype(_U64) + _U64(seed) * _U64(BASES[0]))
+        held = np.zeros(len(self.data) + 8, np.uint8)
+        held[: len(self.data)] = self.data
+        blocks = np.ndarray(len(self.data) + 1, "<u8", held, strides=(1,))  # the eight bytes from each place on
+        rest = np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            rest = rest[size[rest] > at]
+            spare = np.maximum(0, 8 - (size[rest] - at)).astype(_U64)
+            block = blocks[self.start[rest] + at] << (spare * _U64(8))
+            out[rest] = mix(out[rest] ^ mix(block + _U64(at + 1)))
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed=seed)
+        return out
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:

@@ -71,6 +71,38 @@ def test_substring_dedup_equals_brute_force(docs_of, odd_rows, with_clashes, kin
     assert collections.Counter((r["doc"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows)
 
 
+def thue_morse(n):
+    """Two strings that every polynomial modulo a power of two takes for equal, if long enough."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(docs_of):
+    for n in (32, 64, 1024, 4096):
+        one, two = thue_morse(n)
+        rest = " ".join(f"w{i}" for i in range(60))
+        rows = [(1, f"{one} {rest}"), (2, f"{two} " + " ".join(f"w{i} {two}" for i in range(60))), (3, f"{rest[:90]} {one} {rest[90:]}"), (4, f"{rest[:90]} {two} {rest[90:]}")]
+        got = substring_dedup(docs_of(rows)).collect()
+        assert collections.Counter((r["doc"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows)
+        pair = [(1, f"{one} " + " ".join(f"w{i}" for i in range(60))), (2, f"{two} " + " ".join(f"w{i}" for i in range(60)))]
+        linked = {r["doc"]: (r["n_copies"], r["n_links"]) for r in jaccard_join.jaccard_join(docs_of(pair)).collect()}
+        assert linked == {1: (1, 1), 2: (1, 1)}
+
+
+def test_hashes_follow_the_word_alone():
+    import numpy as np
+
+    from codesift.llm.words import split_words
+
+    said = [b"a", b"ab", b"a\0", b"\0", b"\0\0", b"x" * 8, b"x" * 9, b"x" * 64, b"x" * 65, "é".encode(), b"abcdefgh", b"abcdefghabcdefgh"]
+    text = b" ".join(said) + b"  " + b"\n".join(reversed(said))
+    words = split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for seed in (0, 1):
+        h = words.hashes(seed).tolist()
+        assert h[: len(said)] == h[len(said) :][::-1] and len(set(h)) == len(said)
+    assert set(words.hashes(0).tolist()).isdisjoint(words.hashes(1).tolist())
+
+
 def test_substring_dedup_of_many_texts_under_one_id(docs_of):
     # 3,000 texts are enough for some of them to share 16 bits of any hash; lengths differ.
     rnd = random.Random(6)
