@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codesift.functions import names
 from codesift.operators import flow
 from codesift.operators import structure as st
+from codesift.operators import sweeps
 from codesift.operators import tokens as tk
 from codesift.operators.tables import TableSet
 from codesift.schema import local_table
@@ -107,16 +108,21 @@ class GoTables(TableSet):
         super().__init__()
         self.files = files.where(F.col("ext") == ".go")
 
+    @property
+    def cuts(self) -> DataFrame:
+        """Every Go file, tests too, cut once: (file_id, repo, path, ext, is_test, pieces, errors)."""
+        return self._once("cuts", lambda: tk.go_pieces(tk.placed(
+            self.files.select("file_id", "repo", "path", "ext", "is_test", "content")
+        )).drop("content"), kept=True)
+
     @property
     def pieces(self) -> DataFrame:
         """Readable pieces including comments, with positions."""
 
         def make() -> DataFrame:
-            rows = tk.go_pieces_with_ends(self.files)
-            bad = Window.partitionBy("file_id")
             # A file with unreadable characters counts as a parse failure.
-            rows = rows.withColumn("broken", F.max(F.when(F.col("kind") == "error", 1).otherwise(0)).over(bad))
-            return rows.where((F.col("kind") != "trivia") & (F.col("broken") == 0)).select(
+            rows = tk.go_pieces_with_ends(self.cuts.where(~F.col("is_test") & (F.col("errors") == 0)))
+            return rows.where(F.col("kind") != "trivia").select(
                 "file_id", "repo", "path", "pos", "kind", "text", "line", "col", "off", "size", "breaks"
             )
 
@@ -280,12 +286,8 @@ class GoTables(TableSet):
 
     @property
     def scope_openers(self) -> DataFrame:
-        return self.grouped.where("scope_opens").select("file_id", "idx", "sl")
-
-    @property
-    def function_bodies(self) -> DataFrame:
-        """(file_id, scope): braces that open a function body."""
-        return self._once("function_bodies", lambda: self.grouped.where(F.col("head") == "func").select("file_id", F.col("idx").alias("scope")))
+        is_fn = F.coalesce(F.col("head") == "func", F.lit(False)).alias("is_fn")
+        return self.grouped.where("scope_opens").select("file_id", "idx", "sl", is_fn)
 
     @property
     def declared(self) -> DataFrame:
@@ -307,15 +309,6 @@ class GoTables(TableSet):
     def levels(self) -> DataFrame:
         return self._once("levels", lambda: self.grouped.select("file_id", "idx", "sl"))
 
-    def scopes_of(self, points: DataFrame) -> DataFrame:
-        """points(file_id, idx, sl, ...) → one row per scope inside the innermost function."""
-        rows = st.enclosing(points, self.scope_openers, "sl")
-        rows = rows.join(self.function_bodies.withColumn("is_fn", F.lit(True)), ["file_id", "scope"], "left")
-        others = [c for c in points.columns if c not in ("file_id",)]
-        w = Window.partitionBy("file_id", *others)
-        level = F.max(F.when(F.col("is_fn"), F.col("scope_level"))).over(w)
-        return rows.withColumn("fn_level", level).where(F.col("scope_level") >= F.col("fn_level")).drop("is_fn", "fn_level")
-
     # ---- statements and bindings ----------------------------------------------------
 
     @property
@@ -393,16 +386,17 @@ class GoTables(TableSet):
 
     @property
     def bindings(self) -> DataFrame:
-        """bindings(file_id, pos, name, scope, is_barrier, s, e, ...) inside functions.
+        """bindings(file_id, pos, name, at, scope_level, is_barrier, s, e, ...) inside functions.
 
-        ``pos`` is where the binding takes effect; ``decl`` where it is written.
+        ``decl`` is where the binding is written and ``pos`` where it takes effect; from
+        ``at`` on it is seen, in the scope then open at ``scope_level``.
         """
 
         def make() -> DataFrame:
             inner = self.assigned.withColumn("decl", F.col("pos"))
-            placed = st.enclosing(
+            placed = st.enclosing_at(
                 inner.select("file_id", F.col("pos").alias("idx"), "sl", "name"), self.scope_openers, "sl"
-            ).where(F.col("scope_level") == F.col("sl")).select("file_id", F.col("idx").alias("decl"), "name", "scope")
+            ).select("file_id", F.col("idx").alias("decl"), "name", "scope")
             out = inner.join(placed, ["file_id", "decl", "name"])
             # The post statement of a for: it follows the second ; of the header.
             heads = self.grouped.where(F.col("head") == "for").select("file_id", F.col("grp"), F.col("head_idx").alias("scope"), F.col("idx").alias("body"))
@@ -417,13 +411,10 @@ class GoTables(TableSet):
                 "post", F.coalesce((F.col("decl") > F.col("second")) & (F.col("decl") < F.col("body")) & (F.col("first_semi") < F.col("second")), F.lit(False))
             )
             defined = out.where(F.col("first_semi").isNotNull() & (F.col("decl") < F.col("first_semi"))).select("file_id", "scope", "name").distinct()
-            own = out.where(~F.col("post"))
-            post = out.where("post").join(defined, ["file_id", "scope", "name"], "left_anti").drop("scope")
-            up = st.enclosing(post.select("file_id", F.col("decl").alias("idx"), "sl", "name"), self.scope_openers, "sl").where(
-                F.col("scope_level") == F.col("sl") - 1
-            ).select("file_id", F.col("idx").alias("decl"), "name", "scope")
-            post = post.join(up, ["file_id", "decl", "name"]).withColumn("pos", F.col("end"))
-            cols = ["file_id", "pos", "decl", "name", "sl", "scope", F.col("s").isNull().alias("is_barrier"), "s", "e", "n", "plus", "x_src", "first", "first_kind"]
+            own = out.where(~F.col("post")).withColumn("scope_level", F.col("sl"))
+            # It runs behind the body, and what it sets is seen behind the loop.
+            post = out.where("post").join(defined, ["file_id", "scope", "name"], "left_anti").withColumns({"pos": F.col("end"), "scope_level": F.col("sl") - 1})
+            cols = ["file_id", "pos", "decl", "name", "sl", F.col("pos").alias("at"), "scope_level", F.col("s").isNull().alias("is_barrier"), "s", "e", "n", "plus", "x_src", "first", "first_kind"]
             return own.select(*cols).unionByName(post.select(*cols)).unionByName(self._range_barriers(), allowMissingColumns=True)
 
         return self._once("bindings", make, kept=True)
@@ -434,7 +425,7 @@ class GoTables(TableSet):
 
         def make() -> DataFrame:
             e = self.elements.where((F.col("ranged") == 1) & F.col("op_idx").isNotNull())
-            bodies = self.grouped.where(F.col("head") == "for").select("file_id", "grp", F.col("idx").alias("body"), F.col("head_idx").alias("word"))
+            bodies = self.grouped.where(F.col("head") == "for").select("file_id", "grp", F.col("idx").alias("body"), F.col("head_idx").alias("word"), F.col("sl").alias("body_sl"))
             starts = self.grouped.where((F.col("text") == "for") & (F.col("kind") == "keyword")).select("file_id", "grp", "stmt", F.col("idx").alias("word"))
             closes = self.grouped.where(F.col("closes") == "for").select("file_id", F.col("closes_open").alias("body"), F.col("idx").alias("close_idx"))
             where = starts.join(bodies, ["file_id", "grp", "word"]).join(closes, ["file_id", "body"])
@@ -448,12 +439,13 @@ class GoTables(TableSet):
 
     def _range_barriers(self) -> DataFrame:
         return self.ranges.select(
-            "file_id", "pos", F.col("pos").alias("decl"), "name", "sl", F.col("body").alias("scope"), F.lit(True).alias("is_barrier")
+            "file_id", "pos", F.col("pos").alias("decl"), "name", "sl", F.col("body").alias("at"), (F.col("body_sl") + 1).alias("scope_level"),
+            F.lit(True).alias("is_barrier"),
         )
 
     def see(self, points: DataFrame) -> DataFrame:
         """points(file_id, idx, sl, point_id, name) → visible bindings of the function."""
-        return flow.visible(self.scopes_of(points), self.bindings)
+        return sweeps.visible(points, self.bindings, self.scope_openers, "sl", in_function=True)
 
     def at(self, points: DataFrame) -> DataFrame:
         """Adds the scope level at ``idx``."""
@@ -470,20 +462,27 @@ class GoTables(TableSet):
 
     def used_names(self, spans: DataFrame) -> DataFrame:
         """Variables read in spans(file_id, start_idx, end_idx, ...)."""
-        inside = flow.span_tokens(spans, self.tokens.select("file_id", "idx", "text", "kind", "p1", "n1", "grp_text"))
-        kept = [c for c in spans.columns if c not in ("start_idx", "end_idx")]
-        return inside.where(self.is_reference()).select(*kept, F.col("text").alias("used")).distinct()
+        kept = [c for c in spans.columns if c not in ("file_id", "start_idx", "end_idx")]
+        used = sweeps.marks_in_spans(spans, self.mentions, "text", kept, ["text"])
+        return used.withColumnRenamed("text", "used").distinct()
+
+    @property
+    def mentions(self) -> DataFrame:
+        """Identifiers that read a variable, in files with a source."""
+        return self._once("mentions", lambda: self.tokens.where(self.is_reference()).join(self.source_files, "file_id", "left_semi").select("file_id", "idx", "text"))
 
     @property
     def tainted(self) -> DataFrame:
-        """(file_id, pos, decl) of bindings a lower-trust source can reach."""
+        """(file_id, pos, name) of bindings a lower-trust source can reach."""
 
         def make() -> DataFrame:
             values = self.bindings.where(~F.col("is_barrier")).join(self.source_files, "file_id", "left_semi")
-            used = self.used_names(values.select("file_id", "pos", "name", "decl", F.col("s").alias("start_idx"), F.col("e").alias("end_idx")))
+            used = self.used_names(values.select("file_id", "pos", "name", F.col("s").alias("start_idx"), F.col("e").alias("end_idx")))
             points = self.at(used.select("file_id", F.col("pos").alias("idx"), F.col("pos").alias("point_id"), F.col("used").alias("name")).distinct())
-            seen = self.see(points).where(~F.col("is_barrier"))
-            edges = seen.select("file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos"))
+            seen = self.see(points).where(~F.col("is_barrier")).select(
+                "file_id", F.col("point_id").alias("pos"), F.col("name").alias("used"), F.col("pos").alias("to_pos"), F.col("name").alias("to_name")
+            )
+            edges = used.join(seen, ["file_id", "pos", "used"]).drop("used")
             return flow.tainted_bindings(
                 values.select("file_id", "pos", "name", (F.col("x_src") > 0).alias("has_source")), edges
             ).distinct()
@@ -498,26 +497,27 @@ class GoTables(TableSet):
         )
         used = self.used_names(spans)
         points = self.at(used.select("file_id", F.col("at").alias("idx"), F.col("sink_id").alias("point_id"), F.col("used").alias("name")).distinct())
-        seen = self.see(points).where(~F.col("is_barrier")).select("file_id", "point_id", "pos")
-        via = seen.join(self.tainted, ["file_id", "pos"], "left_semi").select("file_id", F.col("point_id").alias("sink_id"))
+        seen = self.see(points).where(~F.col("is_barrier")).select("file_id", "point_id", "pos", "name")
+        via = seen.join(self.tainted, ["file_id", "pos", "name"], "left_semi").select("file_id", F.col("point_id").alias("sink_id"))
         return direct.unionByName(via).distinct()
 
     @property
     def alias_values(self) -> DataFrame:
-        """Alias chains followed: (file_id, pos, s, e, plus, first, first_kind, x_src)."""
+        """Alias chains followed: (file_id, pos, name, s, e, plus, first, first_kind, x_src)."""
 
         def make() -> DataFrame:
             held = self.bindings.where(~F.col("is_barrier"))
             plain = held.where((F.col("s") == F.col("e")) & (F.col("first_kind") == "ident"))
             points = self.at(plain.select("file_id", F.col("pos").alias("idx"), F.col("pos").alias("point_id"), F.col("first").alias("name")).distinct())
             seen = self.see(points).where(~F.col("is_barrier")).select(
-                "file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos"), F.col("name").alias("to_name")
+                "file_id", F.col("point_id").alias("pos"), F.col("name").alias("first"), F.col("pos").alias("to_pos"), F.col("name").alias("to_name")
             )
-            links = plain.select("file_id", "pos", "name").join(seen, ["file_id", "pos"]).where(F.col("name") != F.col("to_name"))
+            links = plain.select("file_id", "pos", "name", "first").join(seen, ["file_id", "pos", "first"]).where(F.col("name") != F.col("to_name"))
             ends = flow.alias_ends(links)
-            first = held.select("file_id", "pos").distinct().join(ends, ["file_id", "pos"], "left").withColumn("end_pos", F.coalesce("end_pos", "pos"))
-            values = held.select("file_id", F.col("pos").alias("end_pos"), "s", "e", "plus", "first", "first_kind", "x_src")
-            return first.join(values, ["file_id", "end_pos"]).drop("end_pos")
+            first = held.select("file_id", "pos", "name").distinct().join(ends, ["file_id", "pos", "name"], "left")
+            first = first.withColumns({"end_pos": F.coalesce("end_pos", "pos"), "end_name": F.coalesce("end_name", "name")})
+            values = held.select("file_id", F.col("pos").alias("end_pos"), F.col("name").alias("end_name"), "s", "e", "plus", "first", "first_kind", "x_src")
+            return first.join(values, ["file_id", "end_pos", "end_name"]).drop("end_pos", "end_name")
 
         return self._once("alias_values", make, kept=True)
 
@@ -529,9 +529,9 @@ class GoTables(TableSet):
         """
         single = spans.where((F.col("s") == F.col("e")) & (F.col("first_kind") == "ident"))
         points = self.at(single.select("file_id", "idx", F.col("ref_id").alias("point_id"), F.col("first").alias("name")).distinct())
-        seen = self.see(points).where(~F.col("is_barrier")).select("file_id", F.col("point_id").alias("ref_id"), "pos")
+        seen = self.see(points).where(~F.col("is_barrier")).select("file_id", F.col("point_id").alias("ref_id"), "pos", "name")
         fields = ["s", "e", "plus", "first", "first_kind", "x_src"]
-        found = seen.join(self.alias_values, ["file_id", "pos"]).select(
+        found = seen.join(self.alias_values, ["file_id", "pos", "name"]).select(
             "file_id", "ref_id", *[F.col(c).alias(f"to_{c}") for c in fields], F.lit(True).alias("aliased")
         )
         out = spans.join(found, ["file_id", "ref_id"], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codesift.functions import names
 from codesift.operators import flow
 from codesift.operators import structure as st
+from codesift.operators import sweeps
 from codesift.operators import tokens as tk
 from codesift.operators.inventory import SCRIPT_EXTENSIONS
 from codesift.operators.tables import TableSet
@@ -38,7 +39,7 @@ TYPE_REACH = 32
 # Query words that mark text as SQL.
 SQL_WORDS = ["select ", "insert ", "update ", "delete ", " from ", " where ", " order by ", " group by ", " union "]
 
-COUNTERS = ["str", "non", "tpl", "tstart", "plus", "src", "sql", "sens", "log", "san", "pid", "solid"]
+COUNTERS = ["str", "non", "tpl", "tstart", "plus", "src", "sens", "log", "san", "pid", "solid"]
 
 
 def unquote(text: Column) -> Column:
@@ -56,11 +57,6 @@ def _flags() -> dict[str, Column]:
         | ((text == "data") & p2.isin("event", "messageEvent"))
         | (text.isin("search", "hash", "href") & (p2 == "location"))
     )
-    # Literal texts are joined by blanks before the words are looked for; two
-    # literals joined by + are tested together at the second one.
-    shown = F.concat(F.lit(" "), F.lower(unquote(text)))
-    both = F.when((p1 == "+") & F.col("pk2").isin("string", "template"), F.concat(F.lit(" "), F.lower(unquote(p2)), shown)).otherwise(shown)
-    sql = (string | template) & F.rlike(both, F.lit("(?:" + "|".join(SQL_WORDS) + ")"))
     ident = kind == "ident"
     return {
         "str": string,
@@ -69,7 +65,6 @@ def _flags() -> dict[str, Column]:
         "tstart": kind == "tstart",
         "plus": text == "+",
         "src": source,
-        "sql": sql,
         "sens": ident & names.js_value_name(text),
         "log": ident & names.js_log_name(text),
         "san": (text == "(") & F.lower(p1).isin(names.LOG_SANITIZERS),
@@ -91,12 +86,19 @@ class ScriptTables(TableSet):
         super().__init__()
         self.files = script_files(files)
 
+    @property
+    def cuts(self) -> DataFrame:
+        """Every script, tests too, cut once: (file_id, repo, path, ext, is_test, pieces, errors)."""
+        return self._once("cuts", lambda: tk.js_pieces(tk.placed(
+            self.files.select("file_id", "repo", "path", "ext", "is_test", "content")
+        )).drop("content"), kept=True)
+
     @property
     def rows(self) -> DataFrame:
         """Tokens by level and role (see ``structure.keyed``); read many times, so kept."""
 
         def make() -> DataFrame:
-            base = st.neighbours(tk.js_tokens(self.files), back=5, ahead=6, kinds_ahead=3)
+            base = st.neighbours(tk.js_tokens_of(self.cuts.where(~F.col("is_test"))), back=5, ahead=6, kinds_ahead=3)
             w = tk.by_file()
             base = base.withColumn("pk2", F.coalesce(F.lag("kind", 2).over(w), F.lit("")))
             flags = _flags()
@@ -255,17 +257,18 @@ class ScriptTables(TableSet):
         marked token at the expression's own depth ends it; a round or square
         group that closes first is left behind, a brace is handled by ``hard``.
         """
-        marks = self.rows.where(F.col("role") != "open").where(hard | brk).select(
-            "file_id", F.col("grp").alias("scope"), "idx",
+        marks = self.rows.where(F.col("role") != "open").where(hard | brk)
+        closers = self.tokens.where(st.is_closer()).select("file_id", "idx", "lv")
+        inner = marks.where(F.col("role") == "close").select("file_id", "idx", F.lit(True).alias("inner"))
+        closers = closers.join(inner, ["file_id", "idx"], "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        found = sweeps.next_marks(starts.select("file_id", "idx", "lv"), marks.where(F.col("role") == "self").select("file_id", "idx", "lv"), closers)
+        at = self.tokens.select(
+            "file_id", F.col("idx").alias("next_idx"), F.col("pk1").alias("z_last"),
             *[(F.col(f"c_{c}") - F.col(f"f_{c}").cast("int")).alias(f"z_{c}") for c in COUNTERS],
-            F.col("pk1").alias("z_last"),
         )
-        openers = self.tokens.where(st.is_opener()).select("file_id", "idx", "lv")
-        scopes = st.enclosing(starts.select("file_id", "idx", "lv"), openers, "lv").select("file_id", "idx", "scope", F.lit(1).alias("ask"))
-        rows = scopes.unionByName(marks, allowMissingColumns=True)
-        w = Window.partitionBy("file_id", "scope").orderBy(F.col("idx").desc(), F.col("ask").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        nx = F.last(F.when(F.col("ask").isNull(), F.struct("idx", "z_last", *[f"z_{c}" for c in COUNTERS])), ignorenulls=True).over(w)
-        return rows.withColumn("nx", nx).where(F.col("ask") == 1).groupBy("file_id", "idx").agg(F.min("nx").alias("nx"))
+        return found.join(at, ["file_id", "next_idx"]).select(
+            "file_id", "idx", F.struct(F.col("next_idx").alias("idx"), "z_last", *[f"z_{c}" for c in COUNTERS]).alias("nx")
+        )
 
     @property
     def file_ends(self) -> DataFrame:
@@ -276,7 +279,7 @@ class ScriptTables(TableSet):
 
     def _spans(self, starts: DataFrame, ends: DataFrame) -> DataFrame:
         """Adds s, e and the flag counts x_* to the start tokens."""
-        joined = starts.join(ends, ["file_id", "idx"]).join(self.file_ends, "file_id")
+        joined = starts.join(ends, ["file_id", "idx"], "left").join(self.file_ends, "file_id")
         return joined.withColumns({
             "s": F.col("idx") + 1,
             "e": F.coalesce(F.col("nx.idx") - 1, F.col("eof.idx")),
@@ -324,7 +327,7 @@ class ScriptTables(TableSet):
 
     @property
     def bindings(self) -> DataFrame:
-        """bindings(file_id, pos, name, bl, scope, eq, is_barrier)."""
+        """bindings(file_id, pos, name, bl, eq, is_barrier); each lives in the block around it."""
 
         def make() -> DataFrame:
             stops = ["=", ";", ",", "{", "}", "=>"]
@@ -339,16 +342,10 @@ class ScriptTables(TableSet):
             ).withColumn("is_barrier", F.lit(False))
             bare = ids.where(F.col("eq").isNull())
             told = F.col("p1").isin("const", "let", "var") | (F.col("n1") == "=>")
-            # A parameter stands in the parentheses themselves or in a pattern of brackets there.
-            lists = self.tokens.where((F.col("text") == "[") & (F.col("grp_text") == "(") & F.col("p1").isin("(", ",")).select(
-                "file_id", F.col("idx").alias("grp"), F.col("grp").alias("outer")
-            )
-            params = bare.where(~told & F.col("p1").isin("(", ",", "..."))
-            direct = params.where(F.col("grp_text") == "(")
-            listed = params.where(F.col("grp_text") == "[").join(lists, ["file_id", "grp"]).drop("grp").withColumnRenamed("outer", "grp")
-            as_param = direct.unionByName(listed.select(*direct.columns)).join(
-                self.brackets, ["file_id", "grp"]
-            ).where(
+            params = bare.where(~told & F.col("p1").isin("(", ",", "...")).drop("grp")
+            limits = self.tokens.where(F.col("text").isin("(", ")", "{", "}", ";")).select("file_id", "idx", "text")
+            lists = sweeps.param_lists(limits, params.select("file_id", "idx"))
+            as_param = params.join(lists, ["file_id", "idx"]).join(self.brackets, ["file_id", "grp"]).where(
                 (F.col("after") == "=>")
                 | ((F.col("after") == "{") & ~F.col("b1").isin("if", "for", "while", "switch", "with") & (
                     F.col("b1").isin("function", "catch")
@@ -359,20 +356,25 @@ class ScriptTables(TableSet):
             out = named.select(*cols)
             for part in (bare.where(told), as_param):
                 out = out.unionByName(part.withColumn("is_barrier", F.lit(True)).select(*cols))
-            placed = st.enclosing(out.withColumnRenamed("pos", "idx"), self.braces, "bl").where(F.col("scope_level") == F.col("bl"))
-            return keep(placed.withColumnRenamed("idx", "pos").drop("scope_level"))
+            return keep(out)
 
         return self._once("bindings", make)
 
     def see(self, points: DataFrame) -> DataFrame:
         """points(file_id, idx, bl, point_id, name) → visible bindings."""
-        return flow.visible(st.enclosing(points, self.braces, "bl"), self.bindings)
+        bound = self.bindings.withColumns({"at": F.col("pos"), "scope_level": F.col("bl")})
+        return sweeps.visible(points, bound, self.braces, "bl")
 
-    @staticmethod
-    def is_reference(first_idx: Column) -> Column:
-        """An identifier that reads a variable (``first_idx``: start of its span)."""
-        key = (F.col("n1") == ":") & ((F.col("idx") == first_idx) | F.col("p1").isin("{", ","))
-        return (F.col("kind") == "ident") & ((F.col("p1") != ".") | (F.col("idx") == first_idx)) & ~key
+    @property
+    def mentions(self) -> DataFrame:
+        """Identifiers that read a variable, at the start of an expression or behind it."""
+
+        def make() -> DataFrame:
+            key = (F.col("n1") == ":") & F.col("p1").isin("{", ",")
+            named = self.tokens.where(F.col("kind") == "ident").join(self.source_files, "file_id", "left_semi")
+            return named.select("file_id", "idx", "text", (F.col("n1") != ":").alias("as_first"), ((F.col("p1") != ".") & ~key).alias("as_inner"))
+
+        return self._once("mentions", make)
 
     @property
     def source_files(self) -> DataFrame:
@@ -386,13 +388,14 @@ class ScriptTables(TableSet):
             spans = self.assigned.select("file_id", "eq", F.col("s").alias("start_idx"), F.col("e").alias("end_idx")).join(
                 self.source_files, "file_id", "left_semi"
             )
-            inside = flow.span_tokens(spans, self.tokens.select("file_id", "idx", "text", "kind", "p1", "n1"))
-            used = inside.where(self.is_reference(F.col("start_idx"))).select("file_id", "eq", F.col("text").alias("used")).distinct()
-            points = self.bindings.where(~F.col("is_barrier")).select("file_id", "eq", "pos", "bl").join(used, ["file_id", "eq"]).select(
+            used = sweeps.marks_in_spans(spans, self.mentions, "text", ["eq"], ["text"]).withColumnRenamed("text", "used").distinct()
+            values = self.bindings.where(~F.col("is_barrier"))
+            points = values.select("file_id", "eq", "pos", "bl").join(used, ["file_id", "eq"]).select(
                 "file_id", F.col("pos").alias("idx"), "bl", F.col("pos").alias("point_id"), F.col("used").alias("name")
             )
             seen = self.see(points).where(~F.col("is_barrier"))
-            return keep(seen.select("file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos")))
+            seen = seen.select("file_id", F.col("point_id").alias("pos"), F.col("pos").alias("to_pos"), F.col("name").alias("to_name"))
+            return keep(values.select("file_id", "pos", "name").join(seen, ["file_id", "pos"]))
 
         return self._once("edges", make)
 
@@ -404,7 +407,7 @@ class ScriptTables(TableSet):
             values = self.bindings.where(~F.col("is_barrier")).join(self.source_files, "file_id", "left_semi").join(
                 self.assigned.select("file_id", "eq", (F.col("x_src") > 0).alias("has_source")), ["file_id", "eq"]
             )
-            return keep(flow.tainted_bindings(values.select("file_id", "pos", "name", "has_source"), self.edges))
+            return keep(flow.tainted_bindings(values.select("file_id", "pos", "name", "has_source"), self.edges).select("file_id", "pos"))
 
         return self._once("tainted", make)
 
@@ -414,8 +417,8 @@ class ScriptTables(TableSet):
         spans = sinks.where(F.col("x_src") == 0).join(self.source_files, "file_id", "left_semi").select(
             "file_id", "sink_id", F.col("idx").alias("at"), "bl", F.col("s").alias("start_idx"), F.col("e").alias("end_idx")
         )
-        inside = flow.span_tokens(spans, self.tokens.select("file_id", "idx", "text", "kind", "p1", "n1"))
-        points = inside.where(self.is_reference(F.col("start_idx"))).select(
+        used = sweeps.marks_in_spans(spans, self.mentions, "text", ["sink_id", "at", "bl"], ["text"])
+        points = used.select(
             "file_id", F.col("at").alias("idx"), "bl", F.col("sink_id").alias("point_id"), F.col("text").alias("name")
         ).distinct()
         seen = self.see(points).where(~F.col("is_barrier")).select("file_id", "point_id", "pos")
@@ -424,7 +427,7 @@ class ScriptTables(TableSet):
 
     @property
     def alias_values(self) -> DataFrame:
-        """Alias chains followed: (file_id, pos, x_* of the value at the end)."""
+        """Alias chains followed: (file_id, pos, s, e and x_* of the value at the end)."""
 
         def make() -> DataFrame:
             held = self.bindings.where(~F.col("is_barrier")).join(self.assigned, ["file_id", "eq"])
@@ -439,8 +442,8 @@ class ScriptTables(TableSet):
             )
             links = plain.select("file_id", "pos", F.col("own").alias("name")).join(seen, ["file_id", "pos"])
             links = links.where(F.col("name") != F.col("to_name"))
-            ends = flow.alias_ends(links)
-            values = held.select("file_id", F.col("pos").alias("end_pos"), *[f"x_{c}" for c in COUNTERS])
+            ends = flow.alias_ends(links).select("file_id", "pos", "end_pos")
+            values = held.select("file_id", F.col("pos").alias("end_pos"), "s", "e", *[f"x_{c}" for c in COUNTERS])
             first = held.select("file_id", "pos").join(ends, ["file_id", "pos"], "left").withColumn("end_pos", F.coalesce("end_pos", "pos"))
             return keep(first.join(values, ["file_id", "end_pos"]))
 

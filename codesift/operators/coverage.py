@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesift.operators import tokens as tk
 from codesift.operators.code_js import script_files
 from codesift.operators.inventory import is_dockerfile, is_shell_like, is_workflow
 from codesift.operators.rules_generic import text_files
@@ -38,11 +37,13 @@ LANGUAGE_ALIASES = {
 }
 
 
-def file_counts(files: DataFrame, with_tokens: bool = True) -> DataFrame:
+def file_counts(files: DataFrame, scripts: DataFrame | None = None, go: DataFrame | None = None) -> DataFrame:
     """Per repo: files each pack looked at, and parse or lexical failures.
 
-    ``files`` are analysed inventory rows; an optional ``read_error`` column marks
-    files whose content could not be read.
+    ``files`` are analysed inventory rows; an optional ``read_error`` column marks files whose
+    content could not be read: the Go pack counts them as failures, the script pack leaves
+    them out.  ``scripts`` and ``go`` are the packs' cut files, which know their errors;
+    without them files count as free of errors.
     """
     has_error = "read_error" in files.columns
     read_error = F.coalesce("read_error", F.lit(False)) if has_error else F.lit(False)
@@ -54,19 +55,18 @@ def file_counts(files: DataFrame, with_tokens: bool = True) -> DataFrame:
     out = files.select("repo", F.lit(1).alias("files"), read_error.cast("int").alias("read_errors"))
     parts = [kinds, out]
     readable = files.where(~read_error)
-    script, go = script_files(readable), readable.where(F.col("ext") == ".go")
-    if with_tokens:
-        parts.append(tk.lexical_errors(script, tk.js_pieces, tk.js_kind).select(
-            "repo", F.lit(1).alias("js"),
-            # Text between tags is not an error in markup files.
-            F.when(F.col("ext").isin(".jsx", ".tsx"), 0).otherwise(F.col("errors")).alias("js_errors"),
-        ))
-        parts.append(tk.lexical_errors(go, tk.go_pieces, tk.go_kind).select(
-            "repo", (F.col("errors") == 0).cast("int").alias("go"), (F.col("errors") > 0).cast("int").alias("go_failures"),
-        ))
-    else:
-        parts.append(script.select("repo", F.lit(1).alias("js"), F.lit(0).alias("js_errors")))
-        parts.append(go.select("repo", F.lit(1).alias("go"), F.lit(0).alias("go_failures")))
+    lost = files.where(read_error)
+    if scripts is None:
+        scripts = script_files(readable).withColumn("errors", F.lit(0))
+    if go is None:
+        go = readable.where(F.col("ext") == ".go").withColumn("errors", F.lit(0))
+    # Text between tags is not an error in markup files.
+    lexical = F.when(F.col("ext").isin(".jsx", ".tsx"), 0).otherwise(F.col("errors"))
+    parts += [
+        scripts.select("repo", F.lit(1).alias("js"), lexical.alias("js_errors")),
+        go.select("repo", (F.col("errors") == 0).cast("int").alias("go"), (F.col("errors") > 0).cast("int").alias("go_failures")),
+        lost.where(F.col("ext") == ".go").select("repo", F.lit(0).alias("go"), F.lit(1).alias("go_failures")),
+    ]
     names = ["files", "read_errors", "text", "docker", "supply", "go", "go_failures", "js", "js_errors"]
     # Counted per part first: every branch combines map-side before the union.
     sums = [p.groupBy("repo").agg(*[F.sum(c).alias(c) for c in p.columns if c != "repo"]) for p in parts]

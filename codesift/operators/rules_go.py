@@ -11,6 +11,7 @@ from codesift.functions import names
 from codesift.functions.text import any_of_folded, clipped, is_shell_mode, safe_segment_pattern, world_writable
 from codesift.operators import flow
 from codesift.operators import structure as st
+from codesift.operators import sweeps
 from codesift.operators.code_go import GoTables, literal
 from codesift.schema import RAW_COLUMNS
 from codesift.session import keep
@@ -102,12 +103,12 @@ def sensitive_args(t: GoTables) -> DataFrame:
     spans = calls.join(t.args.where(F.col("x_log") > 0), ["file_id", "open_idx"]).select(
         "file_id", "rule_id", "anchor", "close_idx", "start_idx", "end_idx"
     )
-    named = flow.span_tokens(spans, t.tokens.where(F.col("f_log")).select("file_id", "idx"))
+    files = spans.select("file_id").distinct()
     shields = t.seps.where((F.col("role") == "open") & F.lower("p1").isin(names.LOG_SANITIZERS) & F.col("close_idx").isNotNull()).select(
         "file_id", (F.col("idx") - 1).alias("start_idx"), F.col("close_idx").alias("end_idx")
-    ).join(spans.select("file_id").distinct(), "file_id", "left_semi")
-    hidden = shields.select("file_id", F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
-    raw = named.join(hidden, ["file_id", "idx"], "left_anti")
+    ).join(files, "file_id", "left_semi")
+    named = t.tokens.where(F.col("f_log")).join(files, "file_id", "left_semi").select("file_id", "idx", "text")
+    raw = flow.first_in_span(spans, flow.not_covered(named, shields), "text")
     return raw.select("file_id", "rule_id", F.col("anchor").cast("int").alias("from_idx"), F.col("close_idx").cast("int").alias("to_idx")).distinct()
 
 
@@ -115,7 +116,7 @@ def fatal_calls(t: GoTables) -> DataFrame:
     """GO012: the process ends inside a function of a package other than main."""
     calls = _union([t.calls_of("log", "Fatal", "Fatalf", "Fatalln"), t.calls_of("os", "Exit")]).withColumn("idx", F.col("anchor").cast("int"))
     package = t.tokens.where((F.col("idx") == 0) & (F.col("text") == "package") & (F.col("n1") != "main")).select("file_id")
-    placed = st.enclosing(t.at(calls.join(package, "file_id", "left_semi")), t.scope_openers, "sl").where(F.col("scope_level") == 1)
+    placed = st.enclosing_at(t.at(calls.join(package, "file_id", "left_semi")), t.scope_openers, "sl", F.lit(1))
     inside = placed.join(t.declared.where(F.col("name") != "init").select("file_id", "scope"), ["file_id", "scope"], "left_semi")
     return _calls(inside, "GO012")
 
@@ -220,7 +221,7 @@ def tainted_args(t: GoTables) -> DataFrame:
     both = reached.where(F.col("rule_id") == "GO022").select("file_id", "idx", "close_idx", F.lit(False).alias("cred")).unionByName(
         allowed.select("file_id", F.col("anchor").cast("int").alias("idx"), "close_idx", F.lit(True).alias("cred"))
     )
-    placed = st.enclosing(t.at(both), t.scope_openers, "sl").where(F.col("scope_level") == 1).join(t.declared.select("file_id", "scope"), ["file_id", "scope"], "left_semi")
+    placed = st.enclosing_at(t.at(both), t.scope_openers, "sl", F.lit(1)).join(t.declared.select("file_id", "scope"), ["file_id", "scope"], "left_semi")
     cors = placed.groupBy("file_id", "scope").agg(
         F.max(F.when(~F.col("cred"), F.struct("idx", "close_idx"))).alias("at"), F.bool_or("cred").alias("cred")
     ).where(F.col("cred") & F.col("at").isNotNull())
@@ -271,11 +272,11 @@ def trusted_names(t: GoTables) -> DataFrame:
     targets = targets.join(lone.withColumn("listing", F.lit(True)), ["file_id", "grp", "stmt"], "left").select(
         "file_id", F.col("s").alias("idx"), "sl", F.col("text").alias("name"), (F.col("listing").isNotNull() & (F.col("no") == 0)).alias("listing")
     )
-    counted = st.enclosing(targets, t.scope_openers, "sl").where(F.col("scope_level") == 1).groupBy("file_id", "scope", "name").agg(
+    counted = st.enclosing_at(targets, t.scope_openers, "sl", F.lit(1)).groupBy("file_id", "scope", "name").agg(
         F.count(F.lit(1)).alias("times"), F.bool_or("listing").alias("listing")
     ).where((F.col("times") == 1) & F.col("listing"))
     over = firsts.where((F.col("s") == F.col("e")) & (F.col("first_kind") == "ident"))
-    over = st.enclosing(t.at(over.withColumn("idx", F.col("pos"))), t.scope_openers, "sl").where(F.col("scope_level") == 1)
+    over = st.enclosing_at(t.at(over.withColumn("idx", F.col("pos"))), t.scope_openers, "sl", F.lit(1))
     entries = over.join(counted.select("file_id", "scope", F.col("name").alias("first")), ["file_id", "scope", "first"], "left_semi").select(
         "file_id", "name", F.col("body").alias("scope"), F.lit(-1).alias("from_idx"), F.lit("entry").alias("form")
     )
@@ -370,8 +371,13 @@ def joined_paths(t: GoTables) -> DataFrame:
     )))
     points = t.at(asked.select("file_id", "idx", "ref_id", F.inline("names"))).distinct()
     trusted = t._once("trusted", lambda: trusted_names(t), kept=True)
-    seen = st.enclosing(points, t.scope_openers, "sl").join(trusted, ["file_id", "name", "form", "scope"])
-    proven = seen.where(F.col("idx") > F.col("from_idx")).select("file_id", "ref_id").distinct()
+    # Trust is a binding of the scope it holds in, from the place on that earned it.
+    said = F.concat_ws(":", "form", "name").alias("name")
+    held = trusted.join(t.scope_openers.select("file_id", F.col("idx").alias("scope"), F.col("sl").alias("outer")), ["file_id", "scope"]).select(
+        "file_id", said, F.greatest("scope", "from_idx").alias("at"), (F.col("outer") + 1).alias("scope_level"), F.col("scope").alias("pos"), F.lit(False).alias("is_barrier")
+    )
+    asks = points.select("file_id", "idx", "sl", F.col("ref_id").alias("point_id"), said)
+    proven = sweeps.visible(asks, held, t.scope_openers, "sl").select("file_id", F.col("point_id").alias("ref_id")).distinct()
     risky = shaped.join(proven, ["file_id", "ref_id"], "left_anti")
     return _calls(risky, "GO004").distinct()
 

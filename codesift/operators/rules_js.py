@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from codesift.functions import names
 from codesift.operators import flow
 from codesift.operators import structure as st
-from codesift.operators.code_js import COUNTERS, ScriptTables, TYPE_REACH, unquote
+from codesift.operators import sweeps
+from codesift.operators.code_js import COUNTERS, SQL_WORDS, ScriptTables, TYPE_REACH, unquote
 from codesift.schema import RAW_COLUMNS
 from codesift.session import keep
 
@@ -67,7 +68,7 @@ def tls(t: ScriptTables) -> DataFrame:
         (F.col("text") == "{") & (F.col("stop.idx") >= F.col("idx") - TYPE_REACH)
         & ((F.col("stop.text") == "interface") | ((F.col("stop.text") == "type") & (F.col("eq") > F.col("stop.idx"))))
     ).select("file_id", F.col("idx").alias("scope"))
-    inside = st.enclosing(option, t.braces, "bl").where(F.col("scope_level") == F.col("bl"))
+    inside = st.enclosing_at(option, t.braces, "bl")
     kept = inside.join(bodies, ["file_id", "scope"], "left_anti")
     zero = (F.col("n2") == "0") | (F.col("nk2").isin("string", "template") & (unquote(F.col("n2")) == "0"))
     globally = toks.where((F.col("text") == "NODE_TLS_REJECT_UNAUTHORIZED") & (F.col("n1") == "=") & zero)
@@ -160,9 +161,8 @@ def logging(t: ScriptTables) -> DataFrame:
     first = calls.join(raw, ["file_id", "open_idx"]).groupBy("file_id", "open_idx", "p1", "p3").agg(
         F.min(F.struct("arg_no", "start_idx", "end_idx")).alias("arg")
     ).select("file_id", "open_idx", "p1", "p3", "arg.start_idx", "arg.end_idx")
-    named = flow.span_tokens(first, t.tokens.where(F.col("f_log")).select("file_id", "idx", "text"))
-    one = named.groupBy("file_id", "open_idx", "p1", "p3").agg(F.min(F.struct("idx", "text")).alias("name"))
-    return _hits(one, "JS013", F.col("open_idx") - 3, F.concat("p3", F.lit("."), "p1", F.lit("("), F.col("name.text"), F.lit(")")))
+    one = flow.first_in_span(first, t.tokens.where(F.col("f_log")), "text")
+    return _hits(one, "JS013", F.col("open_idx") - 3, F.concat("p3", F.lit("."), "p1", F.lit("("), F.col("mark.text"), F.lit(")")))
 
 
 def vm_code(t: ScriptTables) -> DataFrame:
@@ -184,12 +184,26 @@ def dynamic_sql(t: ScriptTables) -> DataFrame:
     plain = calls.where(single).join(ids, ["file_id", "mid"])
     points = plain.select("file_id", (F.col("open_idx") - 1).alias("idx"), "bl", F.col("open_idx").alias("point_id"), "name")
     seen = t.see(points).where(~F.col("is_barrier")).select("file_id", F.col("point_id").alias("open_idx"), "pos")
-    kinds = ["non", "str", "tpl", "plus", "src", "sql"]
-    values = seen.join(t.alias_values, ["file_id", "pos"]).select("file_id", "open_idx", *[F.col(f"x_{c}").alias(f"v_{c}") for c in kinds])
-    out = calls.join(values, ["file_id", "open_idx"], "left").withColumns({f"x_{c}": F.coalesce(f"v_{c}", f"x_{c}") for c in kinds})
+    kinds = ["x_non", "x_str", "x_tpl", "x_plus", "x_src"]
+    held = [*((c, c) for c in kinds), ("s0", "s"), ("e0", "e")]
+    values = seen.join(t.alias_values, ["file_id", "pos"]).select("file_id", "open_idx", *[F.col(c).alias(f"v_{c}") for _, c in held])
+    out = calls.join(values, ["file_id", "open_idx"], "left").withColumns({own: F.coalesce(f"v_{c}", own) for own, c in held})
+    raw = F.col("p1").isin(RAW_SQL_METHODS)
     dynamic = (F.col("x_tpl") > 0) | (F.col("x_plus") > 0) | (F.col("x_src") > 0)
-    risky = ~is_static() & (F.col("p1").isin(RAW_SQL_METHODS) | (dynamic & (F.col("x_sql") > 0)))
-    return _hits(out.where(risky), "JS006", F.col("open_idx") - 1, F.concat("p1", F.lit("(dynamic SQL)")))
+    risky = out.where(~is_static() & (raw | dynamic)).withColumn("raw", raw)
+    told = says_sql(t, risky.where(~F.col("raw")).select("file_id", "open_idx", F.col("s0").alias("start_idx"), F.col("e0").alias("end_idx")))
+    found = risky.where("raw").unionByName(risky.where(~F.col("raw")).join(told, ["file_id", "open_idx"], "left_semi"))
+    return _hits(found, "JS006", F.col("open_idx") - 1, F.concat("p1", F.lit("(dynamic SQL)")))
+
+
+def says_sql(t: ScriptTables, spans: DataFrame) -> DataFrame:
+    """Calls (file_id, open_idx) in whose spans(file_id, open_idx, start_idx, end_idx) the
+    texts of all literals, joined by blanks, hold query words."""
+    texts = t.tokens.where(F.col("kind").isin("string", "template", "tstart", "tmid", "tend")).join(spans.select("file_id").distinct(), "file_id", "left_semi")
+    inside = sweeps.marks_in_spans(spans, texts.select("file_id", "idx", "text"), "idx", ["open_idx"], ["idx", "text"])
+    said = inside.groupBy("file_id", "open_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("texts"))
+    whole = F.array_join(F.transform("texts", lambda x: F.concat(F.lit(" "), F.lower(unquote(x["text"])))), "")
+    return said.where(F.rlike(whole, F.lit("(?:" + "|".join(SQL_WORDS) + ")"))).select("file_id", "open_idx")
 
 
 # ---- rules with taint ------------------------------------------------------------
@@ -266,15 +280,17 @@ def risky_paths(t: ScriptTables, sinks: DataFrame) -> DataFrame:
         F.when((F.col("start_idx") == F.col("end_idx")) & (F.col("first_kind") == "ident"), F.col("first")).alias("name"),
     )
     spans = sinks.select("file_id", "sink_id", F.col("idx").alias("at"), "bl", F.col("s").alias("start_idx"), F.col("e").alias("end_idx"))
-    held = flow.span_tokens(spans, loose)
+    held = sweeps.marks_in_spans(spans, loose, "part", ["sink_id", "at", "bl"], ["name"])
     trusted = t._once("trusted", lambda: trusted_names(t), kept=True)
     unnamed = held.where(F.col("name").isNull()).select("file_id", "sink_id")
-    points = held.where(F.col("name").isNotNull()).select("file_id", F.col("at").alias("idx"), "bl", "sink_id", "name").distinct()
+    points = held.where(F.col("name").isNotNull()).select("file_id", F.col("at").alias("idx"), "bl", F.col("sink_id").alias("point_id"), "name").distinct()
     points = points.join(trusted.where(F.col("scope").isNull()), ["file_id", "name"], "left_anti")
-    placed = st.enclosing(points, t.braces, "bl").join(
-        trusted.where(F.col("scope").isNotNull()).withColumn("ok", F.lit(True)), ["file_id", "name", "scope"], "left"
+    # A trusted loop variable is a binding of its loop's body.
+    bodies = trusted.join(t.braces.withColumnRenamed("idx", "scope"), ["file_id", "scope"]).select(
+        "file_id", "name", F.col("scope").alias("at"), (F.col("bl") + 1).alias("scope_level"), F.col("scope").alias("pos"), F.lit(False).alias("is_barrier")
     )
-    open_names = placed.groupBy("file_id", "sink_id", "name").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok")).where(~F.col("ok"))
+    proven = sweeps.visible(points, bodies, t.braces, "bl").select("file_id", "point_id", "name")
+    open_names = points.join(proven, ["file_id", "point_id", "name"], "left_anti").select("file_id", F.col("point_id").alias("sink_id"))
     return unnamed.unionByName(open_names.select("file_id", "sink_id")).distinct()
 
 
@@ -299,7 +315,7 @@ def cors(t: ScriptTables, origins: DataFrame) -> DataFrame:
         & (F.lower(unquote(F.col("first0"))) == "access-control-allow-credentials") & yes
     ).select("file_id", (F.col("open_idx") - 3).alias("idx"), "bl", F.lit(True).alias("cred"))
     rows = origins.select("file_id", "idx", "bl", F.lit(False).alias("cred")).unionByName(allowed)
-    blocks = st.enclosing(rows, t.braces, "bl").where((F.col("scope_level") == F.col("bl")) & (F.col("scope") >= 0))
+    blocks = st.enclosing_at(rows, t.braces, "bl").where(F.col("scope") >= 0)
     both = blocks.groupBy("file_id", "scope").agg(
         F.max(F.when(~F.col("cred"), F.col("idx"))).alias("idx"), F.bool_or("cred").alias("cred")
     ).where(F.col("cred") & F.col("idx").isNotNull())

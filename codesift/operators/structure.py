@@ -104,19 +104,21 @@ def args(seps: DataFrame, counters: list[str], extra: list[str] = []) -> DataFra
     ).where(F.col("start_idx") <= F.col("end_idx"))
 
 
-def enclosing(points: DataFrame, openers: DataFrame, level: str) -> DataFrame:
-    """All enclosing groups of each point: one row per point and level.
+def enclosing_at(points: DataFrame, openers: DataFrame, level: str, key: Column | None = None) -> DataFrame:
+    """The group around each point at one level: its innermost one, or the one at level ``key``.
 
-    points(file_id, idx, <level>, ...), openers(file_id, idx, <level>): an
-    opener at level d opens level d+1.  Adds ``scope`` (opener index, -1 = file).
-    Points are repeated once per nesting level, never paired with each other.
+    points(file_id, idx, <level>, ...), openers(file_id, idx, <level>): an opener at level d
+    opens level d+1.  Adds ``scope`` (opener index, -1 = file).  The last opener of the level
+    before a point is the one that is open there, so this is one window over one row per
+    point; points that are not that deep are left out.
     """
     names = [c for c in points.columns if c not in ("file_id", "idx")]
-    spread = points.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col(level), F.lit(0)))).alias("key"), F.lit(1).alias("is_point"))
+    asked = points.select("*", F.greatest(F.col(level), F.lit(0)).alias("own_level"), F.lit(1).alias("is_point"))
+    asked = asked.withColumn("key", F.col("own_level") if key is None else key).where(F.col("key").between(0, F.col("own_level")))
     marks = openers.select("file_id", "idx", (F.col(level) + 1).alias("key"), F.lit(0).alias("is_point"))
-    rows = spread.unionByName(marks, allowMissingColumns=True)
+    rows = asked.drop("own_level").unionByName(marks, allowMissingColumns=True)
     # A closing brace is a point of its own block, so openers sort first on ties only.
     w = Window.partitionBy("file_id", "key").orderBy("idx", "is_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.max(F.when(F.col("is_point") == 0, F.col("idx"))).over(w)
     out = rows.withColumn("scope", F.when(F.col("key") == 0, F.lit(-1)).otherwise(F.coalesce(at, F.lit(-1))))
-    return out.where(F.col("is_point") == 1).select("file_id", "idx", *names, F.col("key").alias("scope_level"), "scope")
+    return out.where(F.col("is_point") == 1).select("file_id", "idx", *names, "scope")

@@ -2,7 +2,8 @@
 
 A text is cut into pieces that join back to the text exactly: Go by one regular
 expression; scripts by one pass in Python, because what a slash or a brace means
-depends on the token before it and on the templates that are open.  Positions
+depends on the token before it and on the templates that are open.  The pass counts
+unreadable characters as it goes, so coverage reads its counts and cuts nothing again.  Positions
 come from running sums over the pieces, and a file never leaves its task: files
 are hash-partitioned by ``file_id`` before they are exploded, and every later
 window and join uses that partitioning.
@@ -13,13 +14,14 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from codesift.session import buckets
 
@@ -56,13 +58,14 @@ def _op(words: list[str]) -> str:
 
 _SPACE = r"[ \t\n\x0b\f\r\u00a0\ufeff\u2028\u2029]++"
 _BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-_JS_STRING = r"\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*+'"
-_JS_REGEX = r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/[\w$]*+"
+# The inside of quotes and of a regular expression, up to what may end it.
+_QUOTED = {q: rf"(?:[^{q}\\\r\n]|\\(?:\r\n|[\s\S]))*+" for q in "\"'"}
+_REGEX = {"plain": r"(?:[^\\/\[\r\n]|\\[^\r\n])*+", "class": r"\[(?:[^\]\\\r\n]|\\[^\r\n])*+", "flags": r"[\w$]*+"}
 # Tokens after which a slash starts a regular expression; so it does at the start and after ``${``.
 _REGEX_AFTER = frozenset(
     ["(", "[", "{", ",", ":", ";", "?", "=>", *JS_BEFORE_REGEX, *(o for o in JS_OPERATORS if o not in ("?.", "++", "--", "<", ">", "/"))]
 )
-_TEXT = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(?:\$\{|`)"
+_TEXT = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+"
 _NUMBER = (
     r"0[xX][0-9a-fA-F_]++n?|0[bB][01_]++n?|0[oO][0-7_]++n?|"
     r"(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9_]++)?n?"
@@ -77,52 +80,123 @@ def _of_categories(*wanted: str) -> str:
 
 
 @cache
-def _js_patterns() -> tuple[re.Pattern, ...]:
-    """Template chunk from a back quote, from a closing brace, regular expression, anything else."""
+def _js_patterns() -> dict[str, re.Pattern]:
     letters = ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl")
     name = rf"#?[{_of_categories(*letters)}$_][{_of_categories(*letters, 'Mn', 'Mc', 'Nd', 'Pc')}$]*+"
-    skip = "|".join([_SPACE, r"//[^\r\n]*+", _BLOCK, r"<!--[^\r\n]*+"])
-    token = "|".join(
-        [_JS_STRING, _NUMBER, name, r"\?\.(?![0-9])", r"=>|\.\.\.", _op([o for o in JS_OPERATORS if o != "?."]), r"[{}()\[\].;,?:]"]
-    )
-    return tuple(re.compile(x) for x in ("`" + _TEXT, r"\}" + _TEXT, _JS_REGEX, f"(?P<skip>{skip})|(?P<token>{token})|[\\s\\S]"))
+    skip = "|".join([_SPACE, r"//[^\r\n]*+", r"<!--[^\r\n]*+"])
+    token = "|".join([_NUMBER, name, r"\?\.(?![0-9])", r"=>|\.\.\.", _op([o for o in JS_OPERATORS if o != "?."]), r"[{}()\[\].;,?:]"])
+    parts = {**_QUOTED, **_REGEX, "text": _TEXT, "other": f"(?P<skip>{skip})|(?P<token>{token})|[\\s\\S]"}
+    return {key: re.compile(x) for key, x in parts.items()}
+
+
+class ScriptCut:
+    """Cuts one script into pieces, in one pass.
+
+    What has no end is looked for once: a search that fails says that nothing up to where
+    it stopped can succeed, since escapes are read alike from any later start.  So work is
+    linear in the text, whatever it holds.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.errors = 0
+        self.find = {k: p.match for k, p in _js_patterns().items()}
+        self.comments_end = self.templates_end = True
+        self.no_end: dict[str, int] = {}  # quote or class: none closes before here
+
+    def quoted(self, at: int) -> int | None:
+        quote = self.text[at]
+        if at < self.no_end.get(quote, 0):
+            return None
+        stop = self.find[quote](self.text, at + 1).end()
+        if self.text.startswith(quote, stop):
+            return stop + 1
+        self.no_end[quote] = stop
+        return None
+
+    def comment(self, at: int) -> int | None:
+        stop = self.text.find("*/", at + 2) if self.comments_end else -1
+        self.comments_end = stop >= 0
+        return stop + 2 if stop >= 0 else None
+
+    def template(self, at: int) -> tuple[int | None, bool]:
+        """End of the chunk that starts at a back quote or brace, and whether a substitution follows."""
+        if self.templates_end:
+            stop = self.find["text"](self.text, at + 1).end()
+            if self.text.startswith("${", stop):
+                return stop + 2, True
+            if self.text.startswith("`", stop):
+                return stop + 1, False
+            self.templates_end = False
+        return None, False
+
+    def regex(self, at: int) -> int | None:
+        stop = at + 1
+        if self.text.startswith(("*", "/"), stop):
+            return None
+        while True:
+            stop = self.find["plain"](self.text, stop).end()
+            if not self.text.startswith("[", stop):
+                break
+            if stop < self.no_end.get("[", 0):
+                return None
+            inside = self.find["class"](self.text, stop).end()
+            if not self.text.startswith("]", inside):
+                self.no_end["["] = inside
+                return None
+            stop = inside + 1
+        return self.find["flags"](self.text, stop + 1).end() if stop > at + 1 and self.text.startswith("/", stop) else None
+
+    def pieces(self) -> Iterator[str]:
+        text, other = self.text, self.find["other"]
+        braces: list[bool] = []  # for each open brace whether it opened a substitution
+        at, regex_may_start = 0, True
+        while at < len(text):
+            first, end, opens = text[at], None, False
+            if first == "`" or (first == "}" and braces and braces.pop()):
+                end, opens = self.template(at)
+                if end is not None:
+                    regex_may_start = opens
+                    if opens:
+                        braces.append(True)
+            elif first in "\"'":
+                end = self.quoted(at)
+                if end is not None:
+                    regex_may_start = False
+            elif first == "/" and text.startswith("/*", at):
+                end = self.comment(at)
+            elif first == "/" and regex_may_start:
+                end = self.regex(at)
+                if end is not None:
+                    regex_may_start = False
+            if end is None:
+                found = other(text, at)
+                end = found.end()
+                if found.lastgroup == "token":
+                    piece = found.group()
+                    regex_may_start = piece in _REGEX_AFTER
+                    if piece == "{":
+                        braces.append(False)
+                elif found.lastgroup is None:
+                    self.errors += 1
+            yield text[at:end]
+            at = end
 
 
 def js_cut(text: str) -> list[str]:
-    """The pieces of a script.  Held: for each open brace whether it opened a substitution."""
-    opening, closing, literal, other = (x.match for x in _js_patterns())
-    out: list[str] = []
-    braces: list[bool] = []
-    at, regex_may_start = 0, True
-    while at < len(text):
-        first = text[at]
-        chunk = found = None
-        if first == "`":
-            chunk = opening(text, at)
-        elif first == "}" and braces and braces.pop():
-            chunk = closing(text, at)
-        elif first == "/" and regex_may_start:
-            found = literal(text, at)
-        found = chunk or found or other(text, at)
-        piece = found.group()
-        if chunk:
-            regex_may_start = piece.endswith("${")
-            if regex_may_start:
-                braces.append(True)
-        elif found.lastgroup == "token":
-            regex_may_start = piece in _REGEX_AFTER
-            if piece == "{":
-                braces.append(False)
-        elif found.re.groups == 0:
-            regex_may_start = False
-        out.append(piece)
-        at = found.end()
-    return out
-
-
-@F.arrow_udf(ArrayType(StringType()))
+    return list(ScriptCut(text).pieces())
+
+
+@F.arrow_udf(StructType([StructField("pieces", ArrayType(StringType())), StructField("errors", IntegerType())]))
 def _js_cuts(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else js_cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    flat, ends, errors = [], [0], []
+    for text in texts:  # one text at a time in Python
+        cut = ScriptCut(text.as_py() or "")
+        flat.append(pa.array(list(cut.pieces()), pa.string()))
+        ends.append(ends[-1] + len(flat[-1]))
+        errors.append(cut.errors)
+    pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(flat) if flat else pa.array([], pa.string()))
+    return pa.StructArray.from_arrays([pieces, pa.array(errors, pa.int32())], names=["pieces", "errors"])
 
 
 GO_PATTERN = "|".join(
@@ -133,18 +207,21 @@ GO_PATTERN = "|".join(
 
 
 def js_pieces(files: DataFrame) -> DataFrame:
-    """Adds ``pieces``; templates with substitutions are split, however deep they nest."""
+    """Adds ``pieces`` and ``errors``, the number of characters that are no token; templates
+    with substitutions are split, however deep they nest."""
     content = F.col("content")
     blanked = F.when(
         F.startswith(content, F.lit("#!")),
         F.concat(F.regexp_replace(F.regexp_extract(content, r"^[^\r\n]*", 0), r"[\s\S]", " "),
                  F.regexp_replace(content, r"^[^\r\n]*", "")),
     ).otherwise(content)
-    return files.withColumn("pieces", _js_cuts(blanked))
+    return files.withColumn("cut", _js_cuts(blanked)).withColumns({"pieces": F.col("cut.pieces"), "errors": F.col("cut.errors")}).drop("cut")
 
 
 def go_pieces(files: DataFrame) -> DataFrame:
-    return files.withColumn("pieces", F.regexp_extract_all(F.col("content"), F.lit(GO_PATTERN), F.lit(0)))
+    """Adds ``pieces`` and ``errors``."""
+    cut = files.withColumn("pieces", F.regexp_extract_all(F.col("content"), F.lit(GO_PATTERN), F.lit(0)))
+    return cut.withColumn("errors", F.size(F.filter("pieces", lambda p: go_kind(p) == "error")))
 
 
 def js_kind(text: Column) -> Column:
@@ -192,15 +269,14 @@ def up_to():
     return by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _explode(files: DataFrame, cut, kind: Column, breaks: str) -> DataFrame:
-    """Files → pieces with byte offset, line and column.
+def placed(files: DataFrame) -> DataFrame:
+    """Moves each text once, hash-partitioned by file: the only exchange of texts."""
+    return files.repartition(buckets(files.sparkSession), "file_id")
 
-    The only exchange moves each (gated) text once, hash-partitioned by file.
-    """
-    placed = files.select("file_id", "repo", "path", "content").repartition(
-        buckets(files.sparkSession), "file_id"
-    )
-    rows = cut(placed).select("file_id", "repo", "path", F.posexplode("pieces").alias("pos", "text"))
+
+def _explode(cut: DataFrame, kind: Column, breaks: str) -> DataFrame:
+    """Files with their pieces, already placed → pieces with byte offset, line and column."""
+    rows = cut.select("file_id", "repo", "path", F.posexplode("pieces").alias("pos", "text"))
     rows = rows.withColumn("kind", kind).withColumn("size", F.octet_length("text"))
     wrapped = F.rlike(F.col("text"), F.lit(breaks))
     tail = F.octet_length(F.regexp_extract(F.col("text"), r"[^\r\n]*\z", 0))
@@ -218,16 +294,21 @@ def _explode(files: DataFrame, cut, kind: Column, breaks: str) -> DataFrame:
 
 def js_tokens(files: DataFrame) -> DataFrame:
     """tokens(file_id, repo, path, pos, idx, kind, text, line, col, off, size) of script files."""
-    rows = _explode(files, js_pieces, js_kind(F.col("text")), r"\r\n|\r|\n")
+    return js_tokens_of(js_pieces(placed(files.select("file_id", "repo", "path", "content"))))
+
+
+def js_tokens_of(cut: DataFrame) -> DataFrame:
+    """The same of files that are cut and placed already."""
+    rows = _explode(cut, js_kind(F.col("text")), r"\r\n|\r|\n")
     kept = rows.where(~F.col("kind").isin("trivia", "error"))
     return kept.select(
         "file_id", "repo", "path", "pos", (F.row_number().over(by_file()) - 1).alias("idx"), "kind", "text", "line", "col", "off", "size"
     )
 
 
-def go_pieces_with_ends(files: DataFrame) -> DataFrame:
+def go_pieces_with_ends(cut: DataFrame) -> DataFrame:
     """Go pieces; white space that ends a statement becomes a ``;`` of kind ``end``."""
-    rows = _explode(files, go_pieces, go_kind(F.col("text")), r"\n")
+    rows = _explode(cut, go_kind(F.col("text")), r"\n")
     solid = ~F.col("kind").isin("trivia", "comment")
     closing = F.col("kind").isin("ident", "number", "rune", "string") | F.col("text").isin(
         "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"
@@ -241,14 +322,8 @@ def go_pieces_with_ends(files: DataFrame) -> DataFrame:
 
 
 def go_tokens(files: DataFrame) -> DataFrame:
-    rows = go_pieces_with_ends(files)
+    rows = go_pieces_with_ends(go_pieces(placed(files.select("file_id", "repo", "path", "content"))))
     kept = rows.where(~F.col("kind").isin("trivia", "comment", "error"))
     return kept.select(
         "file_id", "repo", "path", "pos", (F.row_number().over(by_file()) - 1).alias("idx"), "kind", "text", "line", "col", "off", "size"
     )
-
-
-def lexical_errors(files: DataFrame, cut, kind) -> DataFrame:
-    """Unreadable characters per file, counted in the row: no explode, no shuffle."""
-    bad = F.filter("pieces", lambda p: kind(p) == "error")
-    return cut(files).select("repo", "path", "ext", F.size(bad).alias("errors"))

@@ -44,7 +44,9 @@ class Audit(TableSet):
 
     def _code(self) -> DataFrame:
         """Files that the code packs look at; tells the storage how much text there is."""
-        code = self.kept.where(~F.col("is_test"))
+        code = self.kept
+        if "read_error" in code.columns:
+            code = code.where(~F.coalesce("read_error", F.lit(False)))
         size_pieces(code.sparkSession, code.agg(F.sum("size")).first()[0] or 0)
         return code
 
@@ -87,7 +89,7 @@ class Audit(TableSet):
 
     @property
     def counts(self) -> DataFrame:
-        return self._once("counts", lambda: cov.file_counts(self.kept), True, None)
+        return self._once("counts", lambda: cov.file_counts(self.kept, self.scripts.cuts, self.go.cuts), True, None)
 
     @property
     def coverage(self) -> DataFrame:

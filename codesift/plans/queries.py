@@ -136,7 +136,7 @@ def coverage_rows(spark, sf_dir):
 def blocked_analyzers(spark, sf_dir):
     """Coverage of the corpus as if the files of some documents could not be read."""
     files = code_files(configure(spark), sf_dir).withColumn("read_error", F.pmod("doc_id", F.lit(97)) == 5)
-    counts = cov.file_counts(Audit(files).kept, with_tokens=False)
+    counts = cov.file_counts(Audit(files).kept)
     return cov.coverage_rows(counts).where(F.col("status") == "blocked").select("repo", "analyzer", "status", "detail")
 
 
@@ -226,7 +226,7 @@ def go_bindings(spark, sf_dir):
     t = corpus_audit(configure(spark), sf_dir).go
     where = t.tokens.select("file_id", F.col("idx").alias("decl"), "repo", "path", "line")
     hit = t.tainted.withColumn("hit", F.lit(True))
-    return t.bindings.join(hit, ["file_id", "pos"], "left").join(where, ["file_id", "decl"]).select(
+    return t.bindings.join(hit, ["file_id", "pos", "name"], "left").join(where, ["file_id", "decl"]).select(
         "repo", "path", "line", "name", "is_barrier", F.coalesce("hit", F.lit(False)).alias("tainted")
     )
 
