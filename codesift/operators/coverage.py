@@ -37,13 +37,15 @@ LANGUAGE_ALIASES = {
 }
 
 
-def file_counts(files: DataFrame, scripts: DataFrame | None = None, go: DataFrame | None = None) -> DataFrame:
+def file_counts(
+    files: DataFrame, scripts: DataFrame | None = None, go: DataFrame | None = None, repos: DataFrame | None = None
+) -> DataFrame:
     """Per repo: files each pack looked at, and parse or lexical failures.
 
     ``files`` are analysed inventory rows; an optional ``read_error`` column marks files whose
     content could not be read: the Go pack counts them as failures, the script pack leaves
     them out.  ``scripts`` and ``go`` are the packs' cut files, which know their errors;
-    without them files count as free of errors.
+    without them files count as free of errors.  ``repos`` adds those without analysed files.
     """
     has_error = "read_error" in files.columns
     read_error = F.coalesce("read_error", F.lit(False)) if has_error else F.lit(False)
@@ -67,6 +69,8 @@ def file_counts(files: DataFrame, scripts: DataFrame | None = None, go: DataFram
         go.select("repo", (F.col("errors") == 0).cast("int").alias("go"), (F.col("errors") > 0).cast("int").alias("go_failures")),
         lost.where(F.col("ext") == ".go").select("repo", F.lit(0).alias("go"), F.lit(1).alias("go_failures")),
     ]
+    if repos is not None:
+        parts.append(repos.select("repo", F.lit(0).alias("files")))
     names = ["files", "read_errors", "text", "docker", "supply", "go", "go_failures", "js", "js_errors"]
     # Counted per part first: every branch combines map-side before the union.
     sums = [p.groupBy("repo").agg(*[F.sum(c).alias(c) for c in p.columns if c != "repo"]) for p in parts]
@@ -83,6 +87,14 @@ def applies() -> Column:
     )
 
 
+def ran(counts: DataFrame) -> DataFrame:
+    """(repo, analyzer, failures) of the analyzers that looked at a repo; a read failure stops
+    the generic one."""
+    analyzers = counts.withColumn("analyzer", F.explode(F.array(F.lit(GENERIC), F.lit(GO), F.lit(JS))))
+    stopped = (F.col("analyzer") == GENERIC) & (F.col("read_errors") > 0)
+    return analyzers.where(applies()).select("repo", "analyzer", stopped.alias("stopped"), "read_errors", "go_failures", "js_errors")
+
+
 def coverage_rows(counts: DataFrame) -> DataFrame:
     """coverage(repo, analyzer, attack_class, status, detail, files).
 

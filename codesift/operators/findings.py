@@ -104,9 +104,13 @@ def by_severity(summary: DataFrame) -> DataFrame:
     return summary.withColumn("by_severity", present).drop(*[f"severity_{s}" for s in SEVERITY_RANK])
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Unique findings credited to each analyzer."""
-    return found.groupBy("repo", "analyzer").agg(F.count(F.lit(1)).alias("accepted"))
+def accepted(found: DataFrame, ran: DataFrame | None = None) -> DataFrame:
+    """Unique findings credited to each analyzer; of all that ``ran`` on a repo if given,
+    with 0 for those that found nothing new."""
+    counts = found.groupBy("repo", "analyzer").agg(F.count(F.lit(1)).alias("accepted"))
+    if ran is None:
+        return counts
+    return ran.select("repo", "analyzer").join(counts, ["repo", "analyzer"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)).cast("bigint"))
 
 
 def findings(packs: list[DataFrame]) -> DataFrame:

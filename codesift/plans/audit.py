@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,13 @@ from codesift.operators import coverage as cov
 from codesift.operators import findings as fd
 from codesift.operators.code_go import GoTables
 from codesift.operators.code_js import ScriptTables
-from codesift.operators.inventory import analysed, inventory, inventory_counts
+from codesift.operators.inventory import SCRIPT_EXTENSIONS, analysed, inventory, inventory_counts
 from codesift.operators.rules_generic import generic_pack
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.operators.tables import TableSet
 from codesift.plans.corpus import code_files
+from codesift.schema import GO, JS
 from codesift.session import size_pieces
 
 # The extension point: a pack maps an audit to raw findings.  Custom packs may
@@ -85,11 +86,36 @@ class Audit(TableSet):
     @property
     def unreadable(self) -> DataFrame:
         """(repo, read_errors) of the repos with files that could not be read."""
-        return self.kept.where("read_error").groupBy("repo").agg(F.count(F.lit(1)).alias("read_errors"))
+        return self.counts.where("read_errors > 0").select("repo", "read_errors")
+
+    @property
+    def ran(self) -> DataFrame:
+        """(repo, analyzer) that looked at the repo and finished."""
+        return cov.ran(self.counts).where(~F.col("stopped")).select("repo", "analyzer")
+
+    @property
+    def accepted(self) -> DataFrame:
+        return fd.accepted(self.findings, self.ran)
+
+    @property
+    def warnings(self) -> DataFrame:
+        """(repo, analyzer, path, message): what an analyzer could not look at.  The generic one
+        stops for the whole repo; the others leave the file out."""
+        said = F.concat(F.lit("could not read "), F.col("path"))
+        parts = [cov.ran(self.counts).where("stopped").select(
+            "repo", "analyzer", F.lit("").alias("path"), F.concat(F.col("read_errors").cast("string"), F.lit(" files could not be read, so the analyzer stopped")).alias("message")
+        )]
+        broken = self.go.cuts.where("errors > 0").select("repo", F.lit(GO).alias("analyzer"), "path", F.concat(F.lit("could not parse "), F.col("path")).alias("message"))
+        parts.append(broken)
+        if "read_error" in self.files.columns:
+            lost = self.kept.where(F.coalesce("read_error", F.lit(False)))
+            for analyzer, extensions in ((GO, [".go"]), (JS, SCRIPT_EXTENSIONS)):
+                parts.append(lost.where(F.col("ext").isin(extensions)).select("repo", F.lit(analyzer).alias("analyzer"), "path", said.alias("message")))
+        return reduce(DataFrame.unionByName, parts)
 
     @property
     def counts(self) -> DataFrame:
-        return self._once("counts", lambda: cov.file_counts(self.kept, self.scripts.cuts, self.go.cuts), True, None)
+        return self._once("counts", lambda: cov.file_counts(self.kept, self.scripts.cuts, self.go.cuts, self.projects), True, None)
 
     @property
     def coverage(self) -> DataFrame:
@@ -130,6 +156,14 @@ def corpus_audit(spark: SparkSession, sf_dir: str) -> Audit:
     return _AUDITS[key]
 
 
+def unreadable_audit(spark: SparkSession, sf_dir: str) -> Audit:
+    """The same corpus as if the files of some documents could not be read."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _version(spark, sf_dir) + ":unreadable")
+    if key not in _AUDITS:
+        _AUDITS[key] = Audit(code_files(spark, sf_dir).withColumn("read_error", F.pmod("doc_id", F.lit(97)) == 5))
+    return _AUDITS[key]
+
+
 def forget_audits() -> None:
     """Drop shared audits (benchmarks measure each build from scratch)."""
     _AUDITS.clear()

@@ -142,7 +142,8 @@ def coverage_sql() -> str:
 
 def coverage_part() -> str:
     classes = ", ".join(f"('{a}', {sql_text(c)}, '{s}', '{k}')" for a, c, s, k in _CLASS_ROWS)
-    return f"""n AS (SELECT k.repo, count(*) AS files, count(*) FILTER (WHERE ext = '.go') AS go, count(*) FILTER (WHERE ext IN {_list(SCRIPT_EXTENSIONS)}) AS js FROM kept k GROUP BY k.repo),
+    return f"""n AS (SELECT k.repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files, count(*) FILTER (WHERE skip_reason IS NULL AND ext = '.go') AS go,
+  count(*) FILTER (WHERE skip_reason IS NULL AND ext IN {_list(SCRIPT_EXTENSIONS)}) AS js FROM inv k GROUP BY k.repo),
 tn AS (SELECT repo, count(*) AS text, sum(docker::INT) AS docker, sum(docker::INT + workflow::INT + shell::INT) AS supply FROM texts GROUP BY repo),
 counts AS (SELECT n.*, coalesce(text, 0) AS text, coalesce(docker, 0) AS docker, coalesce(supply, 0) AS supply FROM n LEFT JOIN tn USING (repo)),
 classes(analyzer, attack_class, status, counted) AS (VALUES {classes}),

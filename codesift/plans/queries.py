@@ -13,13 +13,13 @@ from codesift.operators import coverage as cov
 from codesift.operators import findings as fd
 from codesift.operators import structure as st
 from codesift.operators import tokens as tk
-from codesift.operators.inventory import file_key
+from codesift.operators.inventory import SCRIPT_EXTENSIONS, file_key
 from codesift.operators.lines import to_lines
 from codesift.operators.rules_generic import generic_pack
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.plans import checks
-from codesift.plans.audit import Audit, corpus_audit
+from codesift.plans.audit import Audit, corpus_audit, unreadable_audit
 from codesift.plans.corpus import code_files
 from codesift.session import configure
 
@@ -126,7 +126,7 @@ def summary_by_repo(spark, sf_dir):
 
 
 def accepted_by_analyzer(spark, sf_dir):
-    return fd.accepted(corpus_audit(spark, sf_dir).findings)
+    return corpus_audit(spark, sf_dir).accepted
 
 
 def coverage_rows(spark, sf_dir):
@@ -173,9 +173,32 @@ def report_parts(spark, sf_dir):
 
 
 def event_log(spark, sf_dir):
+    """Every event by its number in the repo, with what it says."""
     from codesift.sinks import event_envelopes
 
-    return event_envelopes(corpus_audit(spark, sf_dir)).groupBy("repo", "type").agg(F.count(F.lit(1)).alias("events"))
+    return event_envelopes(corpus_audit(spark, sf_dir)).select(
+        "repo", F.col("seq").cast("bigint").alias("seq"), "type", "phase", "analyzer", "message", F.col("finding.fingerprint").alias("fingerprint"),
+        F.col("progress.total").alias("files"), F.col("summary.total").alias("total"),
+    )
+
+
+def unreadable_files(spark, sf_dir):
+    """Findings, coverage and warnings of the corpus as if the files of some documents could
+    not be read: what is left of the findings, what is blocked, and what is said."""
+    audit = unreadable_audit(configure(spark), sf_dir)
+    found = audit.findings.select("repo", F.lit("finding").alias("kind"), "analyzer", F.col("path").alias("place"), F.col("rule_id").alias("said"))
+    blocked = audit.coverage.where("status = 'blocked'").select("repo", F.lit("coverage").alias("kind"), "analyzer", F.lit("").alias("place"), F.col("detail").alias("said"))
+    told = audit.warnings.select("repo", F.lit("warning").alias("kind"), "analyzer", F.col("path").alias("place"), F.col("message").alias("said"))
+    return found.unionByName(blocked).unionByName(told)
+
+
+def skipped_repos(spark, sf_dir):
+    """Sorted coverage of a corpus in which some repos consist of dependencies alone."""
+    files = code_files(configure(spark), sf_dir)
+    vendored = F.when(F.col("repo").rlike("[37]$"), F.concat(F.lit("node_modules/"), F.col("path"))).otherwise(F.col("path"))
+    audit = Audit(files.withColumn("path", vendored))
+    counts = cov.file_counts(audit.kept, repos=audit.projects)
+    return cov.sorted_coverage(cov.coverage_rows(counts)).select("repo", "analyzer", "attack_class", "status", "files")
 
 
 # ---- code tables -----------------------------------------------------------------------------
@@ -280,7 +303,7 @@ QUERIES: dict[str, Query] = {
     "fingerprints": fingerprints, "dedup_findings": dedup_findings, "ranked_findings": ranked_findings,
     "summary_by_repo": summary_by_repo, "accepted_by_analyzer": accepted_by_analyzer, "coverage_rows": coverage_rows,
     "blocked_analyzers": blocked_analyzers, "coverage_status": coverage_status, "coverage_matrix": coverage_matrix, "matrix_summary": matrix_summary,
-    "report_parts": report_parts, "event_log": event_log,
+    "report_parts": report_parts, "event_log": event_log, "unreadable_files": unreadable_files, "skipped_repos": skipped_repos,
     "js_tokens": js_tokens, "brace_depth": brace_depth, "call_args": call_args, "script_imports": script_imports,
     "tainted_bindings": tainted_bindings, "go_bindings": go_bindings,
     "documents_secret_scan": documents_secret_scan, "page_script_tokens": page_script_tokens,
@@ -303,7 +326,7 @@ def oracles() -> dict[str, str]:
         "ranked_findings": f"WITH {found} SELECT repo, rule_id, final_verdict AS verdict, path, CAST(line AS INT) AS line FROM found",
         "summary_by_repo": f"WITH {found} SELECT repo, count(fingerprint) AS total, CAST(0 AS BIGINT) AS confirmed, count(*) FILTER (WHERE final_verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE final_verdict = 'hardening') AS hardening, "
         + ", ".join(f"CAST(0 AS BIGINT) AS severity_{s}" for s in fd.SEVERITY_RANK) + " FROM (SELECT DISTINCT repo FROM inv) LEFT JOIN found USING (repo) GROUP BY repo",
-        "accepted_by_analyzer": f"WITH {found} SELECT repo, analyzer, count(*) AS accepted FROM found GROUP BY ALL",
+        "accepted_by_analyzer": f"WITH {found}, {checks.coverage_part()}, ran AS (SELECT DISTINCT repo, analyzer FROM cells WHERE applies > 0) SELECT repo, analyzer, count(fingerprint) AS accepted FROM ran LEFT JOIN found USING (repo, analyzer) GROUP BY ALL",
         "coverage_rows": f"WITH {coverage} SELECT repo, analyzer, attack_class, status, files FROM coverage",
         "blocked_analyzers": f"WITH {inv} SELECT DISTINCT repo, 'generic' AS analyzer, 'blocked' AS status, 'a file could not be read' AS detail FROM kept WHERE doc_id % 97 = 5",
         "coverage_status": f"WITH {coverage} SELECT repo, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'not_automated') AS not_automated, count(*) FILTER (WHERE status = 'not_applicable') AS not_applicable, count(*) FILTER (WHERE status = 'blocked') AS blocked, bool_or(status <> 'not_applicable') AS incomplete FROM coverage GROUP BY repo",
@@ -327,10 +350,30 @@ cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_
         out[name] = f"WITH {code} SELECT repo, path, rule_id, variant, CAST(line AS INT) AS line, CAST(column_no AS INT) AS column_no, evidence FROM code WHERE rule_id = '{rule}'"
     out["stream_findings"] = f"WITH {generic} SELECT DISTINCT repo, path, rule_id, CAST(line AS INT) AS line, evidence, verdict FROM generic WHERE rule_id <> 'G015'"
     out["stream_summary"] = f"WITH {generic} SELECT repo, count(*) AS total, count(*) FILTER (WHERE verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE verdict = 'hardening') AS hardening FROM generic WHERE rule_id <> 'G015' GROUP BY repo"
-    out["event_log"] = f"""WITH {found}, {checks.coverage_part()}, repos AS (SELECT repo FROM kept GROUP BY repo),
-ran AS (SELECT DISTINCT repo, analyzer FROM cells WHERE applies > 0)
-SELECT repo, type, count(*) AS events FROM (SELECT repo, unnest(['audit.start', 'discovery.done', 'audit.complete', 'report']) AS type FROM repos
-  UNION ALL SELECT repo, 'finding' FROM found UNION ALL SELECT repo, unnest(['analyzer.start', 'analyzer.done']) FROM ran) GROUP BY ALL"""
+    verdicts = "CASE final_verdict WHEN 'confirmed' THEN -3 WHEN 'needs_validation' THEN -2 WHEN 'hardening' THEN -1 ELSE 0 END"
+    out["event_log"] = f"""WITH {found}, {checks.coverage_part()}, repos AS (SELECT repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files FROM inv GROUP BY repo),
+totals AS (SELECT repo, count(fingerprint) AS total FROM repos LEFT JOIN found USING (repo) GROUP BY repo),
+ran AS (SELECT DISTINCT repo, analyzer FROM cells WHERE applies > 0),
+events AS (
+  SELECT repo, 'audit.start' AS type, 'setup' AS phase, 0 AS p, 0 AS s, NULL AS analyzer, NULL AS message, NULL AS fingerprint, NULL::BIGINT AS files, NULL::BIGINT AS total, 0 AS v, NULL AS path, NULL::INT AS line, NULL AS rule_id FROM repos
+  UNION ALL SELECT repo, 'discovery.done', 'discovery', 1, 0, NULL, NULL, NULL, files, NULL, 0, NULL, NULL, NULL FROM repos
+  UNION ALL SELECT repo, 'analyzer.start', 'analysis', 2, 0, analyzer, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL FROM ran
+  UNION ALL SELECT repo, 'finding', 'analysis', 2, 2, analyzer, NULL, fingerprint, NULL, NULL, {verdicts}, path, line, rule_id FROM found
+  UNION ALL SELECT repo, 'analyzer.done', 'analysis', 2, 3, analyzer, count(fingerprint) || ' unique findings', NULL, NULL, NULL, 0, NULL, NULL, NULL FROM ran LEFT JOIN found USING (repo, analyzer) GROUP BY repo, analyzer
+  UNION ALL SELECT repo, 'audit.complete', 'report', 3, 0, NULL, NULL, NULL, NULL, total, 0, NULL, NULL, NULL FROM totals
+  UNION ALL SELECT repo, 'report', 'report', 3, 1, NULL, NULL, NULL, NULL, total, 0, NULL, NULL, NULL FROM totals)
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY p, analyzer, s, v, encode(path), line, rule_id, fingerprint) AS seq, type, phase, analyzer, message, fingerprint, files, total FROM events"""
+    lost = "doc_id % 97 = 5"
+    out["unreadable_files"] = f"""WITH {found}, lost AS (SELECT * FROM kept WHERE {lost}), stopped AS (SELECT repo, count(*) AS n FROM lost GROUP BY repo),
+code_left AS (SELECT f.* FROM printed f WHERE analyzer <> 'generic' AND NOT EXISTS (SELECT 1 FROM lost WHERE lost.repo = f.repo AND lost.path = f.path)),
+left_over AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fingerprint ORDER BY analyzer, path, line, column_no) AS rn FROM (
+  SELECT * FROM code_left UNION ALL SELECT * FROM printed WHERE analyzer = 'generic')) WHERE rn = 1)
+SELECT repo, 'finding' AS kind, analyzer, path AS place, rule_id AS said FROM left_over WHERE analyzer <> 'generic' OR repo NOT IN (SELECT repo FROM stopped)
+UNION ALL SELECT repo, 'coverage', 'generic', '', 'a file could not be read' FROM stopped
+UNION ALL SELECT repo, 'warning', 'generic', '', n || ' files could not be read, so the analyzer stopped' FROM stopped
+UNION ALL SELECT repo, 'warning', CASE WHEN ext = '.go' THEN 'go' ELSE 'javascript-typescript' END, path, 'could not read ' || path FROM lost WHERE ext = '.go' OR ext IN {checks._list(SCRIPT_EXTENSIONS)}"""
+    vendored = coverage.replace("named AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS base FROM code_files)", "named AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS base FROM (SELECT * REPLACE (CASE WHEN regexp_matches(repo, '[37]$') THEN 'node_modules/' || path ELSE path END AS path) FROM code_files))")
+    out["skipped_repos"] = f"WITH {vendored} SELECT repo, analyzer, attack_class, status, files FROM coverage"
     return out
 
 
