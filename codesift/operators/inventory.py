@@ -143,12 +143,13 @@ def file_key(repo: Column, path: Column) -> Column:
 
 
 def inventory(
-    files: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES, include_tests: bool = True, include_ignored: bool = False
+    files: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES, include_tests: bool = True, include_ignored: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Adds language, test flag and ``skip_reason`` (NULL = analysed).
 
     ``files`` needs repo, path, content; optional columns: size, inaccessible,
-    symlink, non_regular, git_ignored.  Purely row-wise: no shuffle, and every
+    symlink, non_regular, git_ignored; ``carry`` names others to keep.  Purely row-wise: no shuffle, and every
     predicate that does not need the content is evaluated before it.
     """
     have = set(files.columns)
@@ -172,7 +173,7 @@ def inventory(
     )
     return out.select(
         "repo", "path", "ext", "size", "is_test", "lang", reason.alias("skip_reason"), "content", flag("read_error").alias("read_error"),
-        file_key(F.col("repo"), path).alias("file_id"),
+        file_key(F.col("repo"), path).alias("file_id"), *carry,
     )
 
 

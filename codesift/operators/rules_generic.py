@@ -7,8 +7,11 @@ of a single projection.  Only G015 needs a join.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +67,11 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where(inv.is_text_candidate(F.col("path"))).where(~inv.looks_binary(F.col("content")))
 
 
-def _kinds(files: DataFrame) -> DataFrame:
+def _kinds(files: DataFrame, *carry: str) -> DataFrame:
     path, content = F.col("path"), F.col("content")
     plain = F.lower(inv.extension(path))
     return files.select(
-        "repo", "path", "is_test", "content",
+        "repo", "path", "is_test", "content", *carry,
         inv.is_workflow(path).alias("workflow"),
         inv.is_dockerfile(path).alias("docker"),
         inv.is_shell_like(path).alias("shell"),
@@ -90,15 +93,16 @@ def _hit(test: Column, rule: str, phase: int, rule_no: int, verdict: Column, con
 REDACTED = [*TOKEN_PATTERNS, "G007", "G013"]
 
 
-def line_rules(files: DataFrame) -> DataFrame:
-    """G002–G011, G013, G014 and G016: rules decided by one line."""
+def line_rules(files: DataFrame, *carry: str) -> DataFrame:
+    """G002–G011, G013, G014 and G016: rules decided by one line.  ``carry`` names further
+    columns of the files that findings keep."""
     content = F.col("content")
     fetches = (F.col("docker") | F.col("shell")) & any_of_folded(content, ["curl", "wget"])
-    gated = _kinds(files).withColumns({
+    gated = _kinds(files, *carry).withColumns({
         "todo_gate": F.col("todo_kind") & any_of_folded(content, TODO_GATES), "fetch_gate": fetches,
     }).where("token_gate or config or todo_gate or workflow or docker or fetch_gate")
     lines = to_lines(
-        gated, "repo", "path", "is_test", "workflow", "docker", "shell", "config", "token_gate", "todo_gate", "fetch_gate"
+        gated, "repo", "path", "is_test", "workflow", "docker", "shell", "config", "token_gate", "todo_gate", "fetch_gate", *carry
     )
     text = F.col("text")
     by_context = F.when(F.col("is_test"), F.lit(HARD)).otherwise(F.lit(NV))
@@ -121,14 +125,14 @@ def line_rules(files: DataFrame) -> DataFrame:
         _hit(F.col("docker") & fetched, "G014", 10, 1, F.lit(HARD), "high"),
         _hit(F.col("shell") & fetched, "G016", 12, 0, F.lit(HARD), "high"),
     ]
-    found = lines.select("repo", "path", "line", "text", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    found = lines.select("repo", "path", "line", "text", *carry, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
     # The rest is evaluated on hits only.
     real = found.where(F.col("hit.secret").isNull() | looks_like_secret(unquoted(F.col("hit.secret"))))
     evidence = F.when(F.col("hit.rule_id").isin(REDACTED), redact(text)).otherwise(trimmed(text))
-    return real.select("repo", "path", "hit.*", "line", F.col("line").alias("pos"), evidence.alias("evidence")).drop("secret")
+    return real.select("repo", "path", "hit.*", "line", F.col("line").alias("pos"), evidence.alias("evidence"), *carry).drop("secret")
 
 
-def file_rules(files: DataFrame) -> DataFrame:
+def file_rules(files: DataFrame, *carry: str) -> DataFrame:
     """G001 and G012: rules decided by the path or by the whole text."""
     base = F.lower(inv.base_name(F.col("path")))
     env = ((base == ".env") | F.startswith(base, F.lit(".env."))) & ~any_of(base, ["example", "sample", "template"])
@@ -138,19 +142,19 @@ def file_rules(files: DataFrame) -> DataFrame:
         _hit(inv.is_workflow(F.col("path")) & mixed, "G012", 9, 0, F.lit(NV), "high"),
     ]
     found = files.where(env | inv.is_workflow(F.col("path"))).select(
-        "repo", "path", "content", F.explode(F.array_compact(F.array(*hits))).alias("hit")
+        "repo", "path", "content", *carry, F.explode(F.array_compact(F.array(*hits))).alias("hit")
     )
     whole = F.col("hit.rule_id") == "G012"
     return found.select(
         "repo", "path", "hit.*",
         F.when(whole, line_of(F.col("content"), PR_MIX[0])).otherwise(F.lit(1)).alias("line"), F.lit(0).alias("pos"),
         F.when(whole, F.lit("pull_request_target + actions/checkout + github.event.pull_request.head"))
-        .otherwise(F.col("path")).alias("evidence"),
+        .otherwise(F.col("path")).alias("evidence"), *carry,
     ).drop("secret")
 
 
-def privilege_dropping_scripts(files: DataFrame) -> DataFrame:
-    """(repo, base name) of scripts that hand over to an unprivileged user."""
+def privilege_dropping_scripts(files: DataFrame, *carry: str) -> DataFrame:
+    """(repo, script, ...): base names of scripts that hand over to an unprivileged user."""
     text = F.col("content")
     drops = (
         any_of_folded(text, ["exec su-exec ", "exec gosu "])
@@ -158,33 +162,47 @@ def privilege_dropping_scripts(files: DataFrame) -> DataFrame:
         | (any_of_folded(text, ["runuser "]) & any_of_folded(text, [" -u "]))
     )
     scripts = files.where(inv.is_shell_like(F.col("path"))).where(drops & ~inv.looks_binary(F.col("content")))
-    return scripts.select("repo", F.lower(inv.base_name(F.col("path"))).alias("script")).distinct()
+    return scripts.select("repo", F.lower(inv.base_name(F.col("path"))).alias("script"), *carry)
 
 
-def _script_candidates(entrypoint: Column) -> Column:
-    """Every substring of an entrypoint line that could be a script's base name.
+SHELL_NAME_END = re.compile(r"\.(?:sh|bash|zsh|ps1)")
+NAMES_AT_ONCE = 20_000
 
-    The reference asks whether the line contains the base name.  A base name has
-    no slash and ends in a shell extension, so it is a suffix of a slash-free
-    stretch cut after such an extension: the theta join becomes an equi-join.
-    """
-    def heads(part: Column) -> Column:
-        # The stretch up to each extension in it.
-        cuts = F.split(part, r"(?<=\.(?:sh|bash|zsh|ps1))")
-        upto = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda n: F.array_join(F.slice(cuts, F.lit(1), n), ""))
-        return F.filter(upto, lambda head: F.rlike(head, F.lit(r"\.(?:sh|bash|zsh|ps1)\z")))
 
-    ends = F.flatten(F.transform(F.split(entrypoint, "/"), heads))
-    return F.array_distinct(F.flatten(F.transform(ends, lambda cut: F.transform(
-        F.sequence(F.lit(1), F.length(cut)), lambda start: F.substring(cut, start, F.length(cut))
-    ))))
+def script_names(stages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, script): the substrings of ``entry`` that could be a script's base name.
 
+    A rule asks whether the line contains the base name.  A base name has no slash, ends in a
+    shell extension and has one of the ``lengths`` that its repo has: a look at each end and
+    length turns the containment into an equi-join, in time linear in the line.
+    """
 
-def stage_rule(files: DataFrame) -> DataFrame:
-    """G015: the final stage names no user, and no entrypoint script drops privileges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                entry, lengths = batch.column("entry")[i].as_py(), batch.column("lengths")[i].as_py()
+                ends = [m.end() for m in SHELL_NAME_END.finditer(entry)]
+                slash, starts = -1, []
+                for at, end in enumerate(ends):
+                    slash = max(slash, entry.rfind("/", ends[at - 1] if at else 0, end))
+                    starts.append(slash + 1)
+                for length in sorted(set(lengths)):
+                    names = list({entry[e - length : e] for e, first in zip(ends, starts, strict=True) if e - length >= first})
+                    for j in range(0, len(names), NAMES_AT_ONCE):
+                        some = names[j : j + NAMES_AT_ONCE]
+                        own = [pa.array([batch.column(k)[i].as_py()] * len(some), batch.schema.field(k).type) for k in keys]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(some, pa.string())], names=[*keys, "script"])
+
+    ddl = ", ".join([*(f"{k} {stages.schema[k].dataType.simpleString()}" for k in keys), "script string"])
+    return stages.select(*keys, "entry", "lengths").mapInArrow(run, ddl)
+
+
+def open_stages(files: DataFrame, *carry: str) -> DataFrame:
+    """Container files whose final stage names no user: (repo, path, line, evidence, entry, ...);
+    ``entry`` is the last entrypoint line in lower case, or NULL."""
     dockers = files.where(inv.is_dockerfile(F.col("path")))
     rows = line_array(F.col("content"))
-    marked = dockers.select("repo", "path", F.transform(rows, trimmed).alias("rows")).withColumn(
+    marked = dockers.select("repo", "path", *carry, F.transform(rows, trimmed).alias("rows")).withColumn(
         "upper", F.transform("rows", F.upper)
     )
 
@@ -193,21 +211,27 @@ def stage_rule(files: DataFrame) -> DataFrame:
         return F.coalesce(F.array_max(at), F.lit(-1))
 
     found = marked.select(
-        "repo", "path", "rows", last("FROM ").alias("from_at"), last("USER ").alias("user_at"), last("ENTRYPOINT ").alias("entry_at")
+        "repo", "path", *carry, "rows", last("FROM ").alias("from_at"), last("USER ").alias("user_at"), last("ENTRYPOINT ").alias("entry_at")
     ).where((F.col("from_at") >= 0) & (F.col("user_at") < F.col("from_at")))
-    open_stages = found.select(
-        "repo", "path", F.col("from_at") + 1, F.element_at("rows", F.col("from_at") + 1),
-        F.when(F.col("entry_at") >= 0, F.lower(F.element_at("rows", F.col("entry_at") + 1))),
-    ).toDF("repo", "path", "line", "evidence", "entry")
+    return found.select(
+        "repo", "path", (F.col("from_at") + 1).alias("line"), F.element_at("rows", F.col("from_at") + 1).alias("evidence"),
+        F.when(F.col("entry_at") >= 0, F.lower(F.element_at("rows", F.col("entry_at") + 1))).alias("entry"), *carry,
+    )
+
+
+def stage_rule(files: DataFrame) -> DataFrame:
+    """G015: the final stage names no user, and no entrypoint script drops privileges."""
+    stages = open_stages(files)
+    names = privilege_dropping_scripts(files).distinct()
+    lengths = names.groupBy("repo").agg(F.collect_set(F.char_length("script")).alias("lengths"))
     # One repo and one popular script name may hold a third of all rows: the
     # distinct script side is copied to every salt, the other side is spread.
-    asked = open_stages.where(F.col("entry").isNotNull()).select(
-        "repo", "path", F.explode(_script_candidates(F.col("entry"))).alias("script"),
-        F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"),
+    asked = script_names(stages.where(F.col("entry").isNotNull()).join(lengths, "repo"), "repo", "path").withColumn(
+        "salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
     )
-    scripts = privilege_dropping_scripts(files).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scripts = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     excused = asked.join(scripts, ["repo", "script", "salt"], "left_semi").select("repo", "path").distinct()
-    return open_stages.join(excused, ["repo", "path"], "left_anti").select(
+    return stages.join(excused, ["repo", "path"], "left_anti").select(
         "repo", "path", F.lit("G015").alias("rule_id"), F.lit(HARD).alias("verdict"), F.lit("high").alias("confidence"),
         "evidence", F.lit(11).alias("phase"), F.lit(0).alias("rule_no"), "line", F.lit(0).alias("pos"),
     )

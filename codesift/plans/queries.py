@@ -293,6 +293,18 @@ def stream_summary(spark, sf_dir):
     return summary_stream_of_corpus(configure(spark), sf_dir)
 
 
+def stream_retractions(spark, sf_dir):
+    from codesift.streaming.versions import retractions_of_corpus
+
+    return retractions_of_corpus(configure(spark), sf_dir)
+
+
+def stream_stages(spark, sf_dir):
+    from codesift.streaming.versions import stages_of_corpus
+
+    return stages_of_corpus(configure(spark), sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "credential_report": flagship,
     "inventory_by_language": inventory_by_language, "skip_reasons": skip_reasons, "test_paths": test_paths,
@@ -308,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "tainted_bindings": tainted_bindings, "go_bindings": go_bindings,
     "documents_secret_scan": documents_secret_scan, "page_script_tokens": page_script_tokens,
     "stream_findings": stream_findings, "stream_summary": stream_summary,
+    "stream_retractions": stream_retractions, "stream_stages": stream_stages,
 }
 
 
@@ -350,6 +363,16 @@ cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_
         out[name] = f"WITH {code} SELECT repo, path, rule_id, variant, CAST(line AS INT) AS line, CAST(column_no AS INT) AS column_no, evidence FROM code WHERE rule_id = '{rule}'"
     out["stream_findings"] = f"WITH {generic} SELECT DISTINCT repo, path, rule_id, CAST(line AS INT) AS line, evidence, verdict FROM generic WHERE rule_id <> 'G015'"
     out["stream_summary"] = f"WITH {generic} SELECT repo, count(*) AS total, count(*) FILTER (WHERE verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE verdict = 'hardening') AS hardening FROM generic WHERE rule_id <> 'G015' GROUP BY repo"
+    def with_emptied(sql: str, test: str) -> str:
+        head = "named AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS base FROM code_files)"
+        assert head in sql
+        return sql.replace(head, head.replace("FROM code_files", f"FROM (SELECT * REPLACE (CASE WHEN {test} THEN '' ELSE content END AS content) FROM code_files)"))
+
+    emptied = with_emptied(generic, "doc_id % 3 = 0")
+    out["stream_retractions"] = f"""WITH {emptied}, one AS (SELECT DISTINCT repo, path, rule_id, trim(regexp_replace(evidence, '\\s+', ' ', 'g')) AS said, verdict FROM generic WHERE rule_id <> 'G015')
+SELECT repo, count(*) AS total, count(*) FILTER (WHERE verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE verdict = 'hardening') AS hardening FROM one GROUP BY repo"""
+    late = with_emptied(generic, "doc_id % 2 = 0 AND regexp_matches(lower(path), '[.](sh|bash|zsh|ps1)$')")
+    out["stream_stages"] = f"WITH {late} SELECT repo, path, CAST(line AS INT) AS line, evidence FROM generic WHERE rule_id = 'G015'"
     verdicts = "CASE final_verdict WHEN 'confirmed' THEN -3 WHEN 'needs_validation' THEN -2 WHEN 'hardening' THEN -1 ELSE 0 END"
     out["event_log"] = f"""WITH {found}, {checks.coverage_part()}, repos AS (SELECT repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files FROM inv GROUP BY repo),
 totals AS (SELECT repo, count(fingerprint) AS total FROM repos LEFT JOIN found USING (repo) GROUP BY repo),

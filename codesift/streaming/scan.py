@@ -28,24 +28,12 @@ def landed_files(spark: SparkSession, path: str, fmt: str = "parquet", files_per
     return spark.readStream.format(fmt).schema(LANDING_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def line_findings(files: DataFrame) -> DataFrame:
-    """Raw findings of the stateless rules (everything generic but G015)."""
-    texts = text_files(analysed(inventory(files)))
-    found = line_rules(texts).unionByName(file_rules(texts))
-    return found.withColumns({"variant": F.lit(""), "column": F.lit(0)}).select(*RAW_COLUMNS)
-
-
-def timed_line_findings(files: DataFrame) -> DataFrame:
-    """``line_findings`` that keep the ingest time for a watermark.
-
-    The time travels inside the repo key, since rule rows carry no other columns.
-    """
-    marked = files.withColumn("repo", F.concat_ws("\0", "repo", F.col("ingest_ts").cast("double").cast("string")))
-    found = line_findings(marked)
-    parts = F.split("repo", "\0")
-    return found.withColumns({
-        "ingest_ts": F.timestamp_seconds(F.element_at(parts, 2).cast("double")), "repo": F.element_at(parts, 1),
-    })
+def line_findings(files: DataFrame, *carry: str) -> DataFrame:
+    """Raw findings of the stateless rules (everything generic but G015); ``carry`` names
+    columns of the files that they keep, such as the time for a watermark."""
+    texts = text_files(analysed(inventory(files, carry=carry)))
+    found = line_rules(texts, *carry).unionByName(file_rules(texts, *carry))
+    return found.withColumns({"variant": F.lit(""), "column": F.lit(0)}).select(*RAW_COLUMNS, *carry)
 
 
 def first_seen(found: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -66,8 +54,8 @@ def running_summary(found: DataFrame) -> DataFrame:
 def audit_batches(files: DataFrame, out_dir: str, checkpoint: str):
     """Full audits per micro-batch (token and data-flow rules), appended as Parquet.
 
-    Scripts that excuse a container file (G015) are looked up in the same batch;
-    land a repo's snapshot in one batch, or keep the scripts as a static table.
+    Scripts that excuse a container file (G015) are looked up in the same batch; where they
+    may land apart, take G015 from ``versions`` instead.
     """
     from codesift.plans.audit import Audit
 
@@ -79,20 +67,24 @@ def audit_batches(files: DataFrame, out_dir: str, checkpoint: str):
     return files.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def land(files: DataFrame, path: str, hour: int = 0) -> None:
+    """Add files of the corpus to a landing folder, stamped within this hour."""
+    stamped = files.withColumns({
+        "size": F.octet_length("content").cast("bigint"), "ingest_ts": F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour) + F.col("doc_id") % 3600),
+    })
+    stamped.select(*LANDING_SCHEMA.names).write.mode("append").parquet(path)
+
+
 def land_corpus(spark: SparkSession, sf_dir: str) -> str:
     """Write the corpus as landed snapshots, in a fresh folder."""
     from codesift.plans.corpus import code_files
 
     path = shared_dir(spark, f"landing-{uuid.uuid4().hex[:12]}")
-    files = code_files(spark, sf_dir)
-    stamped = files.withColumns({
-        "size": F.octet_length("content").cast("bigint"), "ingest_ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600),
-    })
-    stamped.select(*LANDING_SCHEMA.names).write.parquet(path)
+    land(code_files(spark, sf_dir), path)
     return path
 
 
-def _drain(query) -> None:
+def drain(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -102,9 +94,9 @@ def stream_of_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan the landed corpus as a stream and return what reached the sink."""
     run = uuid.uuid4().hex[:12]
     out = shared_dir(spark, f"stream-{run}")
-    found = first_seen(timed_line_findings(landed_files(spark, land_corpus(spark, sf_dir))))
+    found = first_seen(line_findings(landed_files(spark, land_corpus(spark, sf_dir)), "ingest_ts"))
     shown = found.select("repo", "path", "rule_id", "line", "evidence", "verdict")
-    _drain(shown.writeStream.format("parquet").outputMode("append").option("path", out).option(
+    drain(shown.writeStream.format("parquet").outputMode("append").option("path", out).option(
         "checkpointLocation", shared_dir(spark, f"stream-cp-{run}")
     ).trigger(availableNow=True).start())
     return spark.read.schema(shown.schema).parquet(out)
@@ -115,14 +107,16 @@ def summary_stream_of_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = uuid.uuid4().hex[:12]
     out = shared_dir(spark, f"summary-{run}")
     totals = running_summary(line_findings(landed_files(spark, land_corpus(spark, sf_dir))))
-    last: list[str] = []
+    empty = spark.createDataFrame([], totals.schema)
+    empty.write.parquet(f"{out}/none")
+    last = [f"{out}/none"]  # what an empty stream leaves
 
     def put(batch: DataFrame, batch_id: int) -> None:
         path = f"{out}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(path)
         last[:] = [path]
 
-    _drain(totals.writeStream.outputMode("complete").foreachBatch(put).option(
+    drain(totals.writeStream.outputMode("complete").foreachBatch(put).option(
         "checkpointLocation", shared_dir(spark, f"summary-cp-{run}")
     ).trigger(availableNow=True).start())
     return spark.read.schema(totals.schema).parquet(last[0])
