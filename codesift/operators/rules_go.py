@@ -200,6 +200,7 @@ def dynamic_sql(t: GoTables) -> DataFrame:
 
 def tainted_args(t: GoTables) -> DataFrame:
     """GO016, GO017, GO019 and GO022: a source reaches an argument."""
+    t.beside(lambda: t.tainted, lambda: t.api_calls, lambda: t.declared)
     get = t.with_arg(t.calls_of("net/http", "Get", "Head", "Post", "PostForm"), 0).withColumn("rule_id", F.lit("GO016"))
     redirect = t.with_arg(t.calls_of("net/http", "Redirect").where(F.col("n_args") >= 4), 2).withColumn("rule_id", F.lit("GO017"))
     run = t.calls_of("os/exec", "Command", "CommandContext")

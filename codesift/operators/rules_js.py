@@ -295,7 +295,10 @@ def risky_paths(t: ScriptTables, sinks: DataFrame) -> DataFrame:
 
 
 def tainted_rules(t: ScriptTables) -> DataFrame:
-    sinks = keep(flow_sinks(t).withColumn("sink_id", F.concat_ws(":", "rule_id", "idx", "s")))
+    sinks, *_ = t.beside(
+        lambda: keep(flow_sinks(t).withColumn("sink_id", F.concat_ws(":", "rule_id", "idx", "s"))),
+        lambda: t.tainted, lambda: t._once("trusted", lambda: trusted_names(t), kept=True),
+    )
     hit = keep(t.tainted_sinks(sinks))
     paths = risky_paths(t, sinks.where(F.col("rule_id") == "JS007"))
     reached = sinks.join(hit.unionByName(paths).distinct(), ["file_id", "sink_id"], "left_semi")

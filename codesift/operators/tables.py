@@ -39,3 +39,8 @@ class TableSet:
         with ThreadPoolExecutor(PARALLEL_JOBS) as pool:
             jobs = [pool.submit(self._once, name, make, True) for name, make in makers.items()]
             return [job.result() for job in jobs]
+
+    def beside(self, *makers: Callable[[], object]) -> list:
+        """Calls that build independent tables, side by side; what they share is built once."""
+        with ThreadPoolExecutor(len(makers)) as pool:
+            return [job.result() for job in [pool.submit(make) for make in makers]]

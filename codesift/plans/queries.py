@@ -15,7 +15,6 @@ from codesift.operators import structure as st
 from codesift.operators import tokens as tk
 from codesift.operators.inventory import SCRIPT_EXTENSIONS, file_key
 from codesift.operators.lines import to_lines
-from codesift.operators.rules_generic import generic_pack
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.plans import checks
@@ -50,7 +49,7 @@ JS_QUERIES = {
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files → inventory → lines → credential rules → findings → rank."""
     audit = corpus_audit(configure(spark), sf_dir)
-    raw = generic_pack(audit.kept).where(F.col("rule_id").isin("G002", "G003", "G004", "G005", "G006", "G007"))
+    raw = audit.raw("generic").where(F.col("rule_id").isin("G002", "G003", "G004", "G005", "G006", "G007"))
     found = fd.ranked(fd.findings([raw]))
     return found.select("repo", "fingerprint", "rule_id", "verdict", "confidence", "path", "line", "evidence")
 
