@@ -148,8 +148,8 @@ def inventory(
 ) -> DataFrame:
     """Adds language, test flag and ``skip_reason`` (NULL = analysed).
 
-    ``files`` needs repo, path, content; optional columns: size, inaccessible,
-    symlink, non_regular, git_ignored; ``carry`` names others to keep.  Purely row-wise: no shuffle, and every
+    ``files`` needs repo, path, content; optional columns: size, inaccessible, walk_error,
+    symlink, non_regular, git_ignored, read_error; ``carry`` names others to keep.  Purely row-wise: no shuffle, and every
     predicate that does not need the content is evaluated before it.
     """
     have = set(files.columns)
@@ -165,6 +165,7 @@ def inventory(
     reason = (
         F.when(ignored, F.lit("git_ignored"))
         .when(in_dependency_dir(path), F.lit("dependency_or_build_dir"))
+        .when(flag("walk_error"), F.lit("walk_error"))
         .when(flag("inaccessible"), F.lit("inaccessible"))
         .when(flag("symlink"), F.lit("symlink"))
         .when(flag("non_regular"), F.lit("non_regular"))

@@ -1,5 +1,3 @@
-import os
-
 from pyspark.sql import functions as F
 
 from codesift.operators import coverage as cov
@@ -78,22 +76,6 @@ def test_every_query_has_a_name_and_checks_are_known():
     assert set(oracles()) <= set(QUERIES)
 
 
-def test_tree_source_reads_hidden_files(spark, tmp_path):
-    from codesift.sources.tree import SourceTree
-
-    for path, body in {"one/.env": "A=1\n", "one/.github/workflows/ci.yml": "permissions: write-all\n", "one/node_modules/x.js": "x", "two/_a.go": "package a\n"}.items():
-        full = tmp_path / path
-        full.parent.mkdir(parents=True, exist_ok=True)
-        full.write_text(body)
-    os.symlink(tmp_path / "two/_a.go", tmp_path / "two/link.go")
-    spark.dataSource.register(SourceTree)
-    files = spark.read.format("source_tree").option("root", str(tmp_path)).load()
-    got = {(r.repo, r.path, r.symlink) for r in files.collect()}
-    assert got == {("one", ".env", False), ("one", ".github/workflows/ci.yml", False), ("two", "_a.go", False), ("two", "link.go", True)}
-    found = Audit(files).raw("generic").select("rule_id").collect()
-    assert sorted(r.rule_id for r in found) == ["G001", "G010"]
-
-
 def test_pieces_follow_the_volume_of_text(spark):
     from codesift import session
 
