@@ -21,9 +21,9 @@ def union_packs(packs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packs)
 
 
-def describe(raw: DataFrame) -> DataFrame:
-    """Join the fixed rule catalogue (58 rows) to raw findings."""
-    rules = rule_catalogue(raw.sparkSession).withColumnsRenamed(
+def describe(raw: DataFrame, own_rules: list[tuple] = []) -> DataFrame:
+    """Join the rule catalogue to raw findings: 58 fixed rows, and those of own packs."""
+    rules = rule_catalogue(raw.sparkSession, own_rules).withColumnsRenamed(
         {"analyzer": "rule_analyzer", "verdict": "rule_verdict", "confidence": "rule_confidence", "blocker": "rule_blocker"}
     )
     out = raw.join(F.broadcast(rules), ["rule_id", "variant"])
@@ -113,9 +113,9 @@ def accepted(found: DataFrame, ran: DataFrame | None = None) -> DataFrame:
     return ran.select("repo", "analyzer").join(counts, ["repo", "analyzer"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)).cast("bigint"))
 
 
-def findings(packs: list[DataFrame]) -> DataFrame:
+def findings(packs: list[DataFrame], own_rules: list[tuple] = []) -> DataFrame:
     """Raw findings of several packs → described, normalised, deduplicated."""
-    return describe(first_wins(normalize(attach_analyzer(union_packs(packs)))))
+    return describe(first_wins(normalize(attach_analyzer(union_packs(packs)))), own_rules)
 
 
 def attach_analyzer(raw: DataFrame) -> DataFrame:

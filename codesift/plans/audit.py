@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.operators import coverage as cov
@@ -19,7 +20,7 @@ from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
 from codesift.operators.tables import TableSet
 from codesift.plans.corpus import code_files
-from codesift.schema import GO, JS
+from codesift.schema import GENERIC, GO, JS
 from codesift.session import size_pieces
 
 # The extension point: a pack maps an audit to raw findings.  Custom packs may
@@ -27,6 +28,26 @@ from codesift.session import size_pieces
 Pack = Callable[["Audit"], DataFrame]
 
 
+@dataclass(frozen=True)
+class OwnPack:
+    """A pack with all that an analyzer says about itself, so that coverage and events know it.
+
+    ``run`` gives raw findings (RAW_COLUMNS, and severity, tags or blocker if wanted);
+    ``looks_at`` is true for the analysed files it reads, and a repo without any is not
+    applicable; ``classes`` are (attack class, status); ``rules`` have RULE_COLUMNS without
+    the analyzer, which is the name the pack is registered under.
+    """
+
+    run: Pack
+    looks_at: Column
+    classes: tuple[tuple[str, str], ...]
+    rules: tuple[tuple[str, ...], ...]
+    detail: str = "files read"
+
+    def __call__(self, audit: Audit) -> DataFrame:
+        return self.run(audit)
+
+
 class Audit(TableSet):
     """Tables of one corpus.  Tables that several results share are written when first asked
     for, which runs jobs; results themselves are lazy."""
@@ -62,7 +83,16 @@ class Audit(TableSet):
     def raw(self, *names: str) -> DataFrame:
         """Raw findings of the named packs (all by default), each written once."""
         wanted = names or tuple(self.packs)
-        return fd.union_packs(self.all_of({f"raw_{n}": partial(self.packs[n], self) for n in wanted}))
+
+        def found(name: str) -> DataFrame:
+            out = self.packs[name](self)
+            return out.withColumn("analyzer", F.lit(name)) if isinstance(self.packs[name], OwnPack) else out
+
+        return fd.union_packs(self.all_of({f"raw_{n}": partial(found, n) for n in wanted}))
+
+    @property
+    def own(self) -> dict[str, OwnPack]:
+        return {n: p for n, p in self.packs.items() if isinstance(p, OwnPack)}
 
     def all_of(self, makers):
         with ThreadPoolExecutor(len(makers)) as pool:
@@ -78,7 +108,8 @@ class Audit(TableSet):
         """Deduplicated findings; those of an analyzer that a read failure stopped are left out."""
 
         def make() -> DataFrame:
-            found = fd.findings([self.raw_findings])
+            rules = [(r[0], r[1], name, *r[2:]) for name, pack in self.own.items() for r in pack.rules]
+            found = fd.findings([self.raw_findings], rules)
             return cov.drop_blocked(found, self.unreadable) if "read_error" in self.files.columns else found
 
         return self._once("findings", make, True, None)
@@ -91,7 +122,14 @@ class Audit(TableSet):
     @property
     def ran(self) -> DataFrame:
         """(repo, analyzer) that looked at the repo and finished."""
-        return cov.ran(self.counts).where(~F.col("stopped")).select("repo", "analyzer")
+        stopped = cov.ran(self.counts).where("stopped").select("repo", "analyzer")
+        return self.started.join(stopped, ["repo", "analyzer"], "left_anti")
+
+    @property
+    def started(self) -> DataFrame:
+        """(repo, analyzer) of the packs that apply to the repo."""
+        out = cov.ran(self.counts).where(F.col("analyzer").isin(list(self.packs))).select("repo", "analyzer")
+        return out.unionByName(self.looked_at.where("files > 0").select("repo", "analyzer")) if self.own else out
 
     @property
     def accepted(self) -> DataFrame:
@@ -102,24 +140,51 @@ class Audit(TableSet):
         """(repo, analyzer, path, message): what an analyzer could not look at.  The generic one
         stops for the whole repo; the others leave the file out."""
         said = F.concat(F.lit("could not read "), F.col("path"))
-        parts = [cov.ran(self.counts).where("stopped").select(
+        parts = [cov.ran(self.counts).where(F.col("stopped") & F.lit(GENERIC in self.packs)).select(
             "repo", "analyzer", F.lit("").alias("path"), F.concat(F.col("read_errors").cast("string"), F.lit(" files could not be read, so the analyzer stopped")).alias("message")
         )]
-        broken = self.go.cuts.where("errors > 0").select("repo", F.lit(GO).alias("analyzer"), "path", F.concat(F.lit("could not parse "), F.col("path")).alias("message"))
-        parts.append(broken)
+        if GO in self.packs:
+            broken = F.concat(F.lit("could not parse "), F.col("path")).alias("message")
+            parts.append(self.go.cuts.where("errors > 0").select("repo", F.lit(GO).alias("analyzer"), "path", broken))
         if "read_error" in self.files.columns:
             lost = self.kept.where(F.coalesce("read_error", F.lit(False)))
             for analyzer, extensions in ((GO, [".go"]), (JS, SCRIPT_EXTENSIONS)):
+                if analyzer not in self.packs:
+                    continue
                 parts.append(lost.where(F.col("ext").isin(extensions)).select("repo", F.lit(analyzer).alias("analyzer"), "path", said.alias("message")))
         return reduce(DataFrame.unionByName, parts)
 
     @property
     def counts(self) -> DataFrame:
-        return self._once("counts", lambda: cov.file_counts(self.kept, self.scripts.cuts, self.go.cuts, self.projects), True, None)
+        """Per repo what the built-in packs looked at; those that are not registered cut nothing."""
+        scripts = self.scripts.cuts if JS in self.packs else None
+        go = self.go.cuts if GO in self.packs else None
+        return self._once("counts", lambda: cov.file_counts(self.kept, scripts, go, self.projects), True, None)
+
+    @property
+    def looked_at(self) -> DataFrame:
+        """(repo, analyzer, files): what own packs read, with 0 where there is nothing for them."""
+
+        def make() -> DataFrame:
+            kept = self.kept.select("repo", *[F.coalesce(p.looks_at, F.lit(False)).cast("bigint").alias(n) for n, p in self.own.items()])
+            sums = kept.groupBy("repo").agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in self.own])
+            each = F.inline(F.array(*[F.struct(F.lit(n).alias("analyzer"), F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias("files")) for n in self.own]))
+            return self.projects.select("repo").join(sums, "repo", "left").select("repo", each)
+
+        return self._once("looked_at", make, True, None)
 
     @property
     def coverage(self) -> DataFrame:
-        return cov.coverage_rows(self.counts)
+        out = cov.coverage_rows(self.counts).where(F.col("analyzer").isin(list(self.packs)))
+        for name, pack in self.own.items():
+            rows = self.looked_at.where(F.col("analyzer") == name)
+            classes = F.inline(F.array(*[F.struct(F.lit(c).alias("attack_class"), F.lit(s).alias("status")) for c, s in pack.classes]))
+            some = rows.where("files > 0").select("repo", "analyzer", "files", classes).withColumn("detail", F.concat(F.col("files").cast("string"), F.lit(f" {pack.detail}")))
+            none = rows.where("files = 0").select(
+                "repo", "analyzer", "files", F.lit("").alias("attack_class"), F.lit(cov.NOT_APPLICABLE).alias("status"), F.lit("no matching files").alias("detail")
+            )
+            out = out.unionByName(some).unionByName(none)
+        return out
 
     @property
     def summary(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -20,7 +21,8 @@ from codesift.operators.rules_js import js_pack
 from codesift.plans import checks
 from codesift.plans.audit import Audit, corpus_audit, unreadable_audit
 from codesift.plans.corpus import code_files
-from codesift.session import configure
+from codesift.schema import RAW_COLUMNS
+from codesift.session import configure, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,6 +193,43 @@ def unreadable_files(spark, sf_dir):
     return found.unionByName(blocked).unionByName(told)
 
 
+def findings_table(spark, sf_dir):
+    """The findings table after a second audit of some repos, of half their documents and by
+    the generic pack alone."""
+    from codesift.plans.audit import PACKS
+    from codesift.sinks import read_findings, write_findings
+
+    path = shared_dir(configure(spark), f"findings-{uuid.uuid4().hex[:12]}")
+    write_findings(corpus_audit(spark, sf_dir), path)
+    again = code_files(spark, sf_dir).where(F.col("repo").rlike("1$") & (F.floor(F.col("doc_id") / 20) % 2 == 0))
+    write_findings(Audit(again, packs={"generic": PACKS["generic"]}), path)
+    return read_findings(spark, path).select("repo", "fingerprint", "rule_id", "path", "line", "verdict")
+
+
+def own_pack(spark, sf_dir):
+    """A pack of our own, for plain links in documents, in findings, coverage and events."""
+    from codesift.plans.audit import OwnPack
+    from codesift.sinks import event_envelopes
+
+    def links(audit: Audit) -> DataFrame:
+        lines = to_lines(audit.kept.where(docs_kind), "repo", "path")
+        found = lines.where(F.contains("text", F.lit("http://"))).withColumns({
+            "rule_id": F.lit("X001"), "variant": F.lit(""), "verdict": F.lit(None).cast("string"), "confidence": F.lit(None).cast("string"),
+            "column": F.lit(0), "evidence": F.regexp_extract("text", "http://[A-Za-z0-9./_-]*", 0), "phase": F.lit(0), "pos": F.col("line"), "rule_no": F.lit(0),
+        })
+        return found.select(*RAW_COLUMNS)
+
+    docs_kind = F.col("ext").isin(".md", ".yml", ".sh")
+    pack = OwnPack(links, docs_kind, (("Supply chain and release", "partial"), ("Business logic", "not_automated")), (
+        ("X001", "", "Supply chain and release", "hardening", "high", "A plain link", "Use an encrypted one.", "Check what is fetched."),
+    ))
+    audit = Audit(code_files(configure(spark), sf_dir), packs={"links": pack})
+    found = audit.findings.groupBy("repo", F.concat_ws(" ", "analyzer", "rule_id", "verdict", "attack_class").alias("said")).agg(F.count(F.lit(1)).alias("n"))
+    covered = audit.coverage.select("repo", F.concat_ws(" ", "analyzer", "attack_class", "status").alias("said"), F.col("files").alias("n"))
+    told = event_envelopes(audit).where("analyzer = 'links' and type <> 'finding'").select("repo", F.concat_ws(" ", "type", "message").alias("said"), F.lit(1).cast("bigint").alias("n"))
+    return found.unionByName(covered).unionByName(told)
+
+
 def skipped_repos(spark, sf_dir):
     """Sorted coverage of a corpus in which some repos consist of dependencies alone."""
     files = code_files(configure(spark), sf_dir)
@@ -315,6 +354,7 @@ QUERIES: dict[str, Query] = {
     "summary_by_repo": summary_by_repo, "accepted_by_analyzer": accepted_by_analyzer, "coverage_rows": coverage_rows,
     "blocked_analyzers": blocked_analyzers, "coverage_status": coverage_status, "coverage_matrix": coverage_matrix, "matrix_summary": matrix_summary,
     "report_parts": report_parts, "event_log": event_log, "unreadable_files": unreadable_files, "skipped_repos": skipped_repos,
+    "findings_table": findings_table, "own_pack": own_pack,
     "js_tokens": js_tokens, "brace_depth": brace_depth, "call_args": call_args, "script_imports": script_imports,
     "tainted_bindings": tainted_bindings, "go_bindings": go_bindings,
     "documents_secret_scan": documents_secret_scan, "page_script_tokens": page_script_tokens,
@@ -367,6 +407,18 @@ cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_
         assert head in sql
         return sql.replace(head, head.replace("FROM code_files", f"FROM (SELECT * REPLACE (CASE WHEN {test} THEN '' ELSE content END AS content) FROM code_files)"))
 
+    half = "FROM (SELECT * FROM code_files WHERE NOT regexp_matches(repo, '1$') OR (doc_id // 20) % 2 = 0)"
+    out["findings_table"] = f"""WITH {found.replace("AS base FROM code_files)", f"AS base {half})")}
+SELECT repo, fingerprint, rule_id, path, CAST(line AS INT) AS line, final_verdict AS verdict FROM found WHERE analyzer = 'generic' OR NOT regexp_matches(repo, '1$')"""
+    out["own_pack"] = f"""WITH {inv}, looked AS (SELECT * FROM kept WHERE ext IN ('.md', '.yml', '.sh')),
+split AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS text FROM looked),
+hits AS (SELECT DISTINCT repo, path, regexp_extract(text, 'http://[A-Za-z0-9./_-]*') AS said FROM split WHERE contains(text, 'http://')),
+n AS (SELECT repo, count(looked.path) AS files FROM (SELECT DISTINCT repo FROM inv) LEFT JOIN looked USING (repo) GROUP BY repo),
+found AS (SELECT repo, count(*) AS n FROM hits GROUP BY repo)
+SELECT repo, 'links X001 hardening Supply chain and release' AS said, n FROM found
+UNION ALL SELECT repo, unnest(['links Supply chain and release partial', 'links Business logic not_automated']), files FROM n WHERE files > 0
+UNION ALL SELECT repo, 'links  not_applicable', 0 FROM n WHERE files = 0
+UNION ALL SELECT repo, unnest(['analyzer.start', 'analyzer.done ' || coalesce(found.n, 0) || ' unique findings']), 1 FROM n LEFT JOIN found USING (repo) WHERE files > 0"""
     emptied = with_emptied(generic, "doc_id % 3 = 0")
     out["stream_retractions"] = f"""WITH {emptied}, one AS (SELECT DISTINCT repo, path, rule_id, trim(regexp_replace(evidence, '\\s+', ' ', 'g')) AS said, verdict FROM generic WHERE rule_id <> 'G015')
 SELECT repo, count(*) AS total, count(*) FILTER (WHERE verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE verdict = 'hardening') AS hardening FROM one GROUP BY repo"""

@@ -271,8 +271,9 @@ def local_table(spark: SparkSession, rows: list[tuple], names: list[str], types:
     return spark.createDataFrame(pa.table(columns, names=names))
 
 
-def rule_catalogue(spark: SparkSession) -> DataFrame:
-    """One row per rule and variant: 58 rows, fixed, so it may be broadcast."""
-    return local_table(spark, _ROWS, RULE_COLUMNS).withColumn(
+def rule_catalogue(spark: SparkSession, own_rules: list[tuple] = []) -> DataFrame:
+    """One row per rule and variant: 58 fixed rows and those registered with own packs, which
+    are written in code, so it may be broadcast."""
+    return local_table(spark, [*_ROWS, *own_rules], RULE_COLUMNS).withColumn(
         "description", F.concat_ws(". ", F.col("title"), F.lit("A static signal; it does not prove impact by itself"))
     )
