@@ -166,3 +166,16 @@ matrix AS (SELECT c.*, l.language, CASE WHEN o.rules IS NOT NULL THEN 'partial'
     WHEN c.source = 'MEMORY-SAFETY-AND-BINARY.md' AND l.language = '{JS}' THEN 'not_applicable'
     WHEN c.source = 'CLIENT-SIDE.md' AND l.language = '{GO}' THEN 'not_applicable' ELSE 'not_automated' END AS status, o.rules
   FROM classes c CROSS JOIN (VALUES ('{GO}'), ('{JS}')) l(language) LEFT JOIN covered o ON o.source = c.source AND o.name = c.name AND o.language = l.language)"""
+
+
+def table_sql(expected: dict[str, list[tuple]], columns: list[str]) -> str:
+    """Rows of a code table: those expected of a case, for every document that uses it."""
+    number = {path: no for no, (_, files) in enumerate(all_cases()) for path, _, _ in files}
+
+    def shown(value) -> str:
+        return sql_text(value) if isinstance(value, str) else str(value)
+
+    rows = ", ".join(f"({number[path]}, {sql_text(path)}, {', '.join(shown(v) for v in row)})" for path, found in expected.items() for row in found)
+    return f"""WITH expected(case_no, path_text, {', '.join(columns)}) AS (VALUES {rows})
+SELECT d.source AS repo, replace(path_text, '@@ID@@', CAST(d.doc_id AS VARCHAR)) AS path, {', '.join(columns)}
+FROM documents d JOIN expected ON d.doc_id % {len(all_cases())} = case_no"""

@@ -18,7 +18,7 @@ from codesift.operators.inventory import SCRIPT_EXTENSIONS, file_key
 from codesift.operators.lines import to_lines
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
-from codesift.plans import checks
+from codesift.plans import cases_tables, checks
 from codesift.plans.audit import Audit, corpus_audit, unreadable_audit
 from codesift.plans.corpus import code_files
 from codesift.schema import RAW_COLUMNS
@@ -400,6 +400,9 @@ cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_
         out[name] = f"WITH {generic} SELECT repo, path, rule_id, CAST(line AS INT) AS line, evidence, verdict FROM generic WHERE rule_id IN ({listed})"
     for name, rule in {**GO_QUERIES, **JS_QUERIES}.items():
         out[name] = f"WITH {code} SELECT repo, path, rule_id, variant, CAST(line AS INT) AS line, CAST(column_no AS INT) AS column_no, evidence FROM code WHERE rule_id = '{rule}'"
+    out["tainted_bindings"] = checks.table_sql(cases_tables.TAINTED, ["line", "name"])
+    out["script_imports"] = checks.table_sql(cases_tables.IMPORTED, ["local", "family", "member"])
+    out["go_bindings"] = checks.table_sql(cases_tables.GO_BOUND, ["line", "name", "is_barrier", "tainted"])
     out["stream_findings"] = f"WITH {generic} SELECT DISTINCT repo, path, rule_id, CAST(line AS INT) AS line, evidence, verdict FROM generic WHERE rule_id <> 'G015'"
     out["stream_summary"] = f"WITH {generic} SELECT repo, count(*) AS total, count(*) FILTER (WHERE verdict = 'needs_validation') AS needs_validation, count(*) FILTER (WHERE verdict = 'hardening') AS hardening FROM generic WHERE rule_id <> 'G015' GROUP BY repo"
     def with_emptied(sql: str, test: str) -> str:
