@@ -16,10 +16,17 @@ a plain conversation stays in the order of its turns.
 Nothing is gathered per conversation: originals are a minimum per passage, the order is a
 range sort, which splits a conversation of any length over tasks.
 
-Defined cases: a null text is empty, a null role is ``unknown``; messages without
-conversation or turn are formatted but not linked; rows repeated for one turn share its
-links; an empty table gives an empty table.  Quoted lines and the attribution line above
-them are left out of the formatted text whether or not an original is found.
+Marks are told from text that looks like one: in ``chat`` every ``<|`` of a message, with any
+backslashes between its two characters, gets one backslash more (``unescape`` takes it away
+again), and characters of a role other than letters, digits, ``_``, ``-``, ``.`` and blanks
+become ``_``.  ``content`` and ``role`` stay as they are.
+
+Defined cases: a null text is empty, a null role is ``unknown``; ids of conversations may be
+of any type, and keep it; messages without conversation or turn, or with a turn that is no
+whole number, are formatted but not linked; rows repeated for one turn share its links; an
+empty table gives an empty table.  Texts of any length are read whole, in slices of half a
+megabyte or one text, so memory follows the longest text.  Quoted lines and the attribution
+line above them are left out of the formatted text whether or not an original is found.
 """
 
 from __future__ import annotations
@@ -29,10 +36,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm.store import written
+from codesift.llm.words import slices
 
 MARK = regex.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 #: Fixed words of the lines that mail programs put above a quote.
@@ -87,7 +95,7 @@ def passages(lines: list[tuple[int, str]]) -> list[tuple[int, bytes]]:
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text in, beside the columns before it; own text and parts out."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole)):
         own, parts = [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             lines = lines_of(text or "")
@@ -99,6 +107,15 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescape(text: str) -> str:
+    """What ``escaped`` was given."""
+    return regex.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def _doubled(links: DataFrame) -> DataFrame:
     """(conv, turn, up) links to (conv, turn, root, depth)."""
     now = written(links.select("conv", "turn", "up", F.lit(1).cast("long").alias("depth")), "up")
@@ -116,10 +133,11 @@ def _doubled(links: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message, in reply order: conv, root, turn, role, reply_to, depth, n_quotes
     (hashed pieces of quoted passages), n_linked, content (without quotes), chat (with its role)."""
-    own = messages.select(
-        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text")
+    rows = messages.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).try_cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.col(text_col).alias("text")
     )
-    parsed = written(own.mapInArrow(parse, f"conv long, turn long, role string, own string, parts array<{PART}>"), "messages")
+    conv = rows.schema["conv"].dataType.simpleString()
+    parsed = written(rows.mapInArrow(parse, f"conv {conv}, turn long, role string, own string, parts array<{PART}>"), "messages")
     parts = parsed.where("conv is not null and turn is not null").select("conv", "turn", F.explode("parts").alias("part")).select("conv", "turn", "part.level", "part.passage")
     originals = parts.where("level = 0").groupBy("conv", "passage").agg(F.min("turn").alias("said"))
     quotes = parts.where("level > 0").distinct()
@@ -129,9 +147,10 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     trees = _doubled(links)
     told = trees.join(links, ["conv", "turn"])
     zero = F.lit(0).cast("long")
+    role = F.regexp_replace("role", r"[^\p{L}\p{N}_. -]", "_")
     out = parsed.join(told, ["conv", "turn"], "left").select(
         "conv", F.coalesce("root", "turn").alias("root"), "turn", "role", F.col("up").alias("reply_to"), F.coalesce("depth", zero).alias("depth"),
         F.size(F.filter("parts", lambda p: p["level"] > 0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
-        F.col("own").alias("content"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("own"), F.lit("\n<|end|>\n")).alias("chat"),
+        F.col("own").alias("content"), F.concat(F.lit("<|"), role, F.lit("|>\n"), escaped(F.col("own")), F.lit("\n<|end|>\n")).alias("chat"),
     )
     return out.repartitionByRange("conv", "root", "turn").sortWithinPartitions("conv", "root", "turn")

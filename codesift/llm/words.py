@@ -137,3 +137,13 @@ def word_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         to = min(to, len(offsets) - 1)
         yield at, to, split_words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts, the last column, take about ``limit`` bytes."""
+    _, offsets = raw(batch.column(batch.num_columns - 1))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, min(to, batch.num_rows) - at)
+        at = to
