@@ -74,7 +74,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         "doc", F.col("doc").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
     found = marks.where("maybe").groupBy("digest", "doc").agg(F.count("*").alias("n"))
-    groups = found.groupBy("digest").agg(F.max("doc").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Written, so that both sides of the join are plain exchanges and a text that many rows hold is split.
+    groups = written(found.groupBy("digest").agg(F.max("doc").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     # Repeated rows were folded into n above; they come out again one by one, and the first may stay.
     shared = (
         found.join(groups, "digest")

@@ -327,7 +327,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     degree = told.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     label = reach.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     told = reach.join(label, "root").join(degree, "node").select(F.col("node").alias("cid"), "root", "class_id", "n_links")
-    told = classes.select("cid", "rep", "n_copies").join(told, "cid", "left")
+    # Written, so that both sides of the next join are plain exchanges and a set that many rows hold is split.
+    told = written(classes.select("cid", "rep", "n_copies").join(told, "cid", "left"), "told")
     out = full.select("doc", "tag", "cid").join(told, "cid").select(
         "doc", "tag", F.coalesce("root", "cid").alias("group"),
         F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -352,7 +353,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     id, rows without id last.  Texts without words are in no group and stay."""
     own = F.struct("doc", "tag")
     found = written(_grouped(docs, id_col, text_col).where("group is not null").select("doc", "tag", "group"), "grouped")
-    firsts = found.groupBy("group").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = written(found.groupBy("group").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     # Rows of one id and text are in one group; more than one such row may come first.
     told = found.join(firsts, "group").groupBy("doc", "tag").agg(F.max(F.col("first") == own).alias("first"), F.count("*").alias("n"))
     told = written(told.where("not first or n > 1").select("doc", "tag", "first"), "gone")

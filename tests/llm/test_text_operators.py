@@ -148,6 +148,31 @@ def test_dropping_exact_copies_keeps_columns(docs_of, odd_rows, with_clashes):
     assert len(texts) == len(set(texts)) == len({re.sub("[A-Z]", lambda m: m.group().lower(), t or "") for _, t in odd_rows})
 
 
+@pytest.fixture
+def split_early(spark):
+    """Adaptive execution takes a few kilobytes for a hot piece."""
+    settings = {"skewJoin.skewedPartitionThresholdInBytes": "2k", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "1k", "coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}", None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(f"spark.sql.adaptive.{k}") if v is None else spark.conf.set(f"spark.sql.adaptive.{k}", v)
+
+
+HOT_ROWS = [(i, " ".join(f"h{k}" for k in range(60)) if i % 2 else f"own text of {i} and nobody else " * (1 + i % 4 // 2)) for i in range(6000)]
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.decisions, jaccard_join.jaccard_join])
+def test_a_text_of_half_of_all_rows_is_split(docs_of, split_early, operator):
+    out = operator(docs_of(HOT_ROWS).repartition(16))
+    got = out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc"] for r in got) == list(range(6000))
+    size = "group_size" if operator is exact_dedup.decisions else "n_copies"
+    assert all(r[size] == (3000 if r["doc"] % 2 else 1) for r in got)
+
+
 def brute_links(rows):
     sets = {}
     for i, text in rows:
