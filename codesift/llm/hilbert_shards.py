@@ -15,11 +15,16 @@ Inside a cell rows are ordered by the CRC-32 of the text, then id, so equal text
 equal metadata stand side by side.  Nulls: a null text has no bytes, size 1; null names
 are a level of their own, before all others; rows without id come first.  Repeated rows
 get neighbouring slots.  An empty table gives an empty table.
+
+``write_shards`` writes the rows themselves, a folder per shard sorted along the curve,
+and beside them one row per shard with the minima and maxima of the three dimensions;
+``read_shards`` opens only the shards whose ranges can hold what is asked for.  Columns
+keep their names: the shard's own column gets underscores until its name is free.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codesift.llm.store import join_small, written
@@ -93,20 +98,22 @@ def _with_level(rows: DataFrame, name: str, to: str) -> DataFrame:
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang", "source"), parts: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc, size, crc, cell, shard, slot."""
-    text = F.col(text_col)
+    return _placed(docs, id_col, text_col, names, parts, F.monotonically_increasing_id()).drop("row")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str], parts: int, row: Column) -> DataFrame:
+    """The same with ``row``, which tells rows apart that are equal in all else."""
     rows = written(
         docs.select(
-            F.col(id_col).alias("doc"),
-            (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-            F.col(names[0]).cast("string").alias("one"), F.col(names[1]).cast("string").alias("two"),
+            F.col(id_col).alias("doc"), _size(text_col).alias("size"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
+            F.col(names[0]).cast("string").alias("one"), F.col(names[1]).cast("string").alias("two"), row.alias("row"),
         ), "meta",
     )
     levelled = _with_level(_with_level(rows, "one", "level_one"), "two", "level_two")
     by_size = F.least(F.length(F.bin("size")) - 1, F.lit((1 << BITS) - 1))
     celled = levelled.select(
-        "doc", "size", "crc", hilbert_index([by_size, F.col("level_one"), F.col("level_two")]).alias("cell"),
-        F.monotonically_increasing_id().alias("row"),  # tells rows apart that are equal in all else
+        "doc", "size", "crc", hilbert_index([by_size, F.col("level_one"), F.col("level_two")]).alias("cell"), "row",
     )
     celled = written(celled, "cells")
     order = ["cell", "crc", F.col("doc").asc_nulls_first(), "size", "row"]
@@ -120,4 +127,59 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     at = F.col("offset") + F.col("rank")
     shard = F.expr(f"cast((offset + rank) * {parts} div total as int)")
     first = F.expr(f"(shard * total + {parts - 1}) div {parts}")
-    return placed.withColumn("shard", shard).select("doc", "size", "crc", "cell", "shard", (at - first).alias("slot"))
+    return placed.withColumn("shard", shard).select("doc", "size", "crc", "cell", "shard", (at - first).alias("slot"), "row")
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
+
+
+def write_shards(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lang", "source"), parts: int = SHARDS
+) -> DataFrame:
+    """Write ``path/rows``, a folder per shard, ``path/columns``, which holds no rows, and
+    ``path/ranges``; returns the ranges.
+
+    Rows are numbered in a table of their own first, so places are joined to them by a key
+    that no two rows share.  A shard is written by several tasks, each a run of the curve."""
+    columns = docs.columns
+    own = docs.select(*(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)), F.monotonically_increasing_id().alias("row"))
+    numbered = written(own, "numbered")
+    doc, text, *dims = (f"in_{columns.index(c)}" for c in (id_col, text_col, *names))
+    place = written(_placed(numbered, doc, text, tuple(dims), parts, F.col("row")).select("row", "size", "shard", "slot"), "places")
+    pieces = max(parts, -(-place.count() // PIECE_ROWS))
+    runs = numbered.join(place, "row").repartitionByRange(pieces, "shard", "slot").sortWithinPartitions("shard", "slot")
+    shard = "shard"
+    while shard.lower() in {c.lower() for c in columns}:
+        shard += "_"
+    kept = runs.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)), F.col("shard").alias(shard))
+    kept.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+    kept.write.mode("overwrite").partitionBy(shard).parquet(f"{path}/rows")
+    held = [f(F.col(c).cast("string")).alias(f"{to}_{end}") for c, to in zip(dims, ("one", "two"), strict=True) for f, end in ((F.min, "low"), (F.max, "high"))]
+    held += [F.count_if(F.col(c).isNull()).alias(f"{to}_nulls") for c, to in zip(dims, ("one", "two"), strict=True)]
+    ranges = numbered.select("row", *dims).join(place, "row").groupBy("shard").agg(
+        F.count("*").alias("rows"), F.min("size").alias("size_low"), F.max("size").alias("size_high"), *held
+    )
+    ranges.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+    return docs.sparkSession.read.schema(ranges.schema).parquet(f"{path}/ranges")
+
+
+def read_shards(
+    spark: SparkSession, path: str, text_col: str = "text", names: tuple[str, str] = ("lang", "source"),
+    sizes: tuple[int, int] | None = None, one: str | None = None, two: str | None = None,
+) -> DataFrame:
+    """Rows of the given sizes (bytes plus 1, both ends included) and names; None asks for
+    all.  Only shards whose ranges allow such rows are opened; there is one range per shard."""
+    ranges = spark.read.parquet(f"{path}/ranges")
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    may, holds = F.lit(True), F.lit(True)
+    if sizes:
+        may &= (F.col("size_low") <= sizes[1]) & (F.col("size_high") >= sizes[0])
+        holds &= _size(text_col).between(*sizes)
+    for wanted, to, name in ((one, "one", names[0]), (two, "two", names[1])):
+        if wanted is not None:
+            may &= F.coalesce(F.lit(wanted).between(F.col(f"{to}_low"), F.col(f"{to}_high")), F.lit(False))
+            holds &= F.col(f"`{name}`").cast("string") == wanted
+    opened = [r.shard for r in ranges.where(may).select("shard").collect()]
+    shard = rows.columns[-1]
+    return rows.where(F.col(f"`{shard}`").isin(opened) & holds).drop(shard)

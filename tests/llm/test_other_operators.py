@@ -56,6 +56,38 @@ def test_shards_of_no_rows(docs_of):
     assert hilbert_shards.shards(docs_of([])).count() == 0
 
 
+def test_written_shards_are_skipped_by_their_ranges(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"shard": F.lit("a"), "Shard_": F.lit(1), "slot": F.lit(2)})
+    ranges = hilbert_shards.write_shards(docs, str(tmp_path)).collect()
+    whole = hilbert_shards.read_shards(spark, str(tmp_path))
+    assert whole.columns == docs.columns
+    assert collections.Counter(map(tuple, whole.collect())) == collections.Counter(map(tuple, docs.collect()))
+    counts = [r["rows"] for r in ranges]
+    assert len(ranges) == 8 and max(counts) - min(counts) <= 1
+    assert hilbert_shards.read_shards(spark, str(tmp_path), one="none such").collect() == []
+    asked = [{"one": "en"}, {"one": "de", "sizes": (1, 400)}, {"sizes": (20_000, 1 << 40)}, {"two": "src3"}]
+    skipped = []
+    for ask in asked:
+        low, high = ask.get("sizes", (0, 1 << 60))
+        wanted = docs.where((F.octet_length("text") + 1).between(low, high))
+        for name, column in (("one", "lang"), ("two", "source")):
+            wanted = wanted.where(F.col(column) == ask[name]) if name in ask else wanted
+        got = hilbert_shards.read_shards(spark, str(tmp_path), **ask)
+        assert collections.Counter(r["doc_id"] for r in got.collect()) == collections.Counter(r["doc_id"] for r in wanted.collect())
+        skipped.append(8 - len({f.rsplit("/", 2)[1] for f in got.inputFiles() if "=" in f}))
+    assert sum(skipped) >= 8 and max(skipped) < 8, skipped
+
+
+def test_written_shards_of_odd_rows(spark, docs_of, odd_rows, with_clashes, tmp_path):
+    rows = [(i, t, s) for (i, t), s in zip(odd_rows, ["b", None, "", "a"] * 4, strict=True)]
+    docs = with_clashes(docs_of(rows)).repartition(3)
+    hilbert_shards.write_shards(docs, str(tmp_path / "odd"))
+    got = hilbert_shards.read_shards(spark, str(tmp_path / "odd"))
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, docs.collect()))
+    hilbert_shards.write_shards(docs.limit(0), str(tmp_path / "none"))
+    assert hilbert_shards.read_shards(spark, str(tmp_path / "none")).collect() == []
+
+
 def reshared(sizes):
     """The rule itself: share by weight, cap, share the excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
