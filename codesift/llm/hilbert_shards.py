@@ -164,22 +164,30 @@ def write_shards(
     return docs.sparkSession.read.schema(ranges.schema).parquet(f"{path}/ranges")
 
 
+def shards_for(ranges: DataFrame, sizes: tuple[int, int] | None = None, one: str | None = None, two: str | None = None) -> list[int]:
+    """Numbers of the shards whose ranges allow such rows; there is one row per shard."""
+    may = F.lit(True)
+    if sizes:
+        may &= (F.col("size_low") <= sizes[1]) & (F.col("size_high") >= sizes[0])
+    for wanted, to in ((one, "one"), (two, "two")):
+        if wanted is not None:
+            may &= F.coalesce(F.lit(wanted).between(F.col(f"{to}_low"), F.col(f"{to}_high")), F.lit(False))
+    return sorted(r.shard for r in ranges.where(may).select("shard").collect())
+
+
 def read_shards(
     spark: SparkSession, path: str, text_col: str = "text", names: tuple[str, str] = ("lang", "source"),
     sizes: tuple[int, int] | None = None, one: str | None = None, two: str | None = None,
 ) -> DataFrame:
     """Rows of the given sizes (bytes plus 1, both ends included) and names; None asks for
-    all.  Only shards whose ranges allow such rows are opened; there is one range per shard."""
-    ranges = spark.read.parquet(f"{path}/ranges")
+    all.  Shards whose ranges allow no such row are not opened."""
     rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
-    may, holds = F.lit(True), F.lit(True)
+    opened = shards_for(spark.read.parquet(f"{path}/ranges"), sizes, one, two)
+    shard = rows.columns[-1]
+    holds = F.col(f"`{shard}`").isin(opened)
     if sizes:
-        may &= (F.col("size_low") <= sizes[1]) & (F.col("size_high") >= sizes[0])
         holds &= _size(text_col).between(*sizes)
-    for wanted, to, name in ((one, "one", names[0]), (two, "two", names[1])):
+    for wanted, name in zip((one, two), names, strict=True):
         if wanted is not None:
-            may &= F.coalesce(F.lit(wanted).between(F.col(f"{to}_low"), F.col(f"{to}_high")), F.lit(False))
             holds &= F.col(f"`{name}`").cast("string") == wanted
-    opened = [r.shard for r in ranges.where(may).select("shard").collect()]
-    shard = rows.columns[-1]
-    return rows.where(F.col(f"`{shard}`").isin(opened) & holds).drop(shard)
+    return rows.where(holds).drop(shard)
