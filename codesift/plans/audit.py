@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -56,7 +57,10 @@ class Audit(TableSet):
 
     def __init__(self, files: DataFrame, packs: dict[str, Pack] | None = None, **options):
         super().__init__()
+        self.started_ms = time.time_ns() // 1_000_000
         self.files = files
+        # How files were found: with what a repository ignores marked, or all that is there.
+        self.discovery_mode = "git" if "git_ignored" in files.columns and not options.get("include_ignored") else "filesystem"
         self.inventory = inventory(files, **options)
         self.packs = packs or PACKS
 

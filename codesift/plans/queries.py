@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,12 @@ from codesift.operators.inventory import SCRIPT_EXTENSIONS, file_key
 from codesift.operators.lines import to_lines
 from codesift.operators.rules_go import go_pack
 from codesift.operators.rules_js import js_pack
-from codesift.plans import cases_tables, checks
+from codesift.plans import cases_tables, checks, checks_tokens
 from codesift.plans.audit import Audit, corpus_audit, unreadable_audit
 from codesift.plans.corpus import code_files
 from codesift.schema import RAW_COLUMNS
 from codesift.session import configure, shared_dir
+from codesift.sources.tables import read_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,27 @@ def project_summary(spark, sf_dir):
     )
 
 
+def odd_files(spark, sf_dir):
+    """Inventory of the corpus stored as a table of bytes, as if a walk had met some files in
+    odd ways, with paths to be cleaned, a small size limit and no tests."""
+    files = code_files(configure(spark), sf_dir)
+    odd, path = F.pmod("doc_id", F.lit(13)), F.col("path")
+    cleaned = F.when(odd == 7, F.concat(F.lit("./x/..//"), path)).when(odd == 8, F.concat(F.lit("../"), path)).otherwise(path)
+    flags = {"symlink": 1, "non_regular": 2, "inaccessible": 3, "walk_error": 4, "git_ignored": 5}
+    place = shared_dir(spark, f"files-{uuid.uuid4().hex[:12]}")
+    files.select("repo", cleaned.alias("path"), F.col("content").cast("binary"), *[(odd == no).alias(f) for f, no in flags.items()]).write.parquet(place)
+    found = Audit(read_files(spark, place), max_bytes=1500, include_tests=False).inventory
+    return found.select("repo", "path", "lang", "size", F.coalesce("skip_reason", F.lit("kept")).alias("reason"))
+
+
+def binary_files(spark, sf_dir):
+    """Generic findings of the corpus as if some files ended in a NUL; a file counts as binary
+    if that NUL is among its first 8,192 bytes."""
+    ended = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("content", F.lit("\0"))).otherwise(F.col("content"))
+    raw = Audit(code_files(configure(spark), sf_dir).withColumn("content", ended)).raw("generic")
+    return raw.select("repo", "path", "rule_id", "line", "evidence", "verdict")
+
+
 # ---- rules ----------------------------------------------------------------------------
 
 
@@ -161,15 +183,31 @@ def matrix_summary(spark, sf_dir):
     )
 
 
+def language_matrix(spark, sf_dir):
+    """How many classes of each status apply to the languages that a repo has, and whatever
+    breaks the catalogue's rules (then without a repo)."""
+    matrix = _matrix(spark)
+    names = ("go", "javascript", "typescript")
+    cells = [cov.of_language(matrix, n).groupBy("status").agg(F.count(F.lit(1)).alias("classes")).withColumn("lang", F.lit(n)) for n in names]
+    files = corpus_audit(configure(spark), sf_dir).kept.where(F.col("lang").isin(*names)).groupBy("repo", "lang").agg(F.count(F.lit(1)).alias("files"))
+    # Nine rows at most: three languages by three statuses.
+    shown = files.join(F.broadcast(reduce(DataFrame.unionByName, cells)), "lang").select("repo", "lang", "files", "status", "classes")
+    broken = cov.catalog_violations(cov.attack_classes(spark), matrix).groupBy(F.col("problem").alias("status")).agg(F.count(F.lit(1)).alias("classes"))
+    return shown.unionByName(broken, allowMissingColumns=True)
+
+
 def report_parts(spark, sf_dir):
     from codesift.sinks import report_documents
 
     doc = F.col("document")
+    began, ended = (F.unix_millis(F.get_json_object(doc, f"$.{c}").cast("timestamp")) for c in ("started_at", "finished_at"))
+    took = F.get_json_object(doc, "$.duration_ms").cast("bigint")
     return report_documents(corpus_audit(spark, sf_dir)).select(
         "repo", "kind", F.get_json_object(doc, "$.schema_version").alias("schema_version"),
         F.get_json_object(doc, "$.summary.total").cast("bigint").alias("total"), F.get_json_object(doc, "$.project.files").cast("bigint").alias("files"),
         *[F.get_json_object(doc, f"$.finding.{c}").alias(c) for c in ("rule_id", "fingerprint", "verdict", "evidence")],
         F.get_json_object(doc, "$.finding.location.path").alias("path"),
+        F.get_json_object(doc, "$.project.discovery_mode").alias("discovery_mode"), ((took >= 0) & (ended - began == took)).alias("timed"),
     )
 
 
@@ -346,7 +384,7 @@ def stream_stages(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "credential_report": flagship,
     "inventory_by_language": inventory_by_language, "skip_reasons": skip_reasons, "test_paths": test_paths,
-    "project_summary": project_summary,
+    "project_summary": project_summary, "odd_files": odd_files, "binary_files": binary_files, "language_matrix": language_matrix,
     **{name: partial(generic_rule, rules) for name, rules in GENERIC_QUERIES.items()},
     **{name: partial(go_rule, rule) for name, rule in GO_QUERIES.items()},
     **{name: partial(js_rule, rule) for name, rule in JS_QUERIES.items()},
@@ -386,9 +424,20 @@ def oracles() -> dict[str, str]:
         "page_script_tokens": pages_sql(),
         "report_parts": f"""WITH {found}, repos AS (SELECT repo, count(*) FILTER (WHERE skip_reason IS NULL) AS files FROM inv GROUP BY repo)
 SELECT repo, 'header' AS kind, '1' AS schema_version, (SELECT count(*) FROM found f WHERE f.repo = r.repo) AS total, files,
-  NULL AS rule_id, NULL AS fingerprint, NULL AS verdict, NULL AS evidence, NULL AS path FROM repos r
-UNION ALL SELECT repo, 'line', '1', NULL, NULL, rule_id, fingerprint, final_verdict, evidence, path FROM found""",
+  NULL AS rule_id, NULL AS fingerprint, NULL AS verdict, NULL AS evidence, NULL AS path, 'filesystem' AS discovery_mode, true AS timed FROM repos r
+UNION ALL SELECT repo, 'line', '1', NULL, NULL, rule_id, fingerprint, final_verdict, evidence, path, NULL, NULL FROM found""",
+        "odd_files": f"""WITH {inv} SELECT repo, path, lang, size, CASE WHEN odd = 5 THEN 'git_ignored' WHEN skip_reason = 'dependency_or_build_dir' THEN skip_reason
+  WHEN odd = 4 THEN 'walk_error' WHEN odd = 3 THEN 'inaccessible' WHEN odd = 1 THEN 'symlink' WHEN odd = 2 THEN 'non_regular'
+  WHEN size > 1500 THEN 'too_large' WHEN is_test THEN 'tests_excluded' ELSE 'kept' END AS reason FROM (SELECT *, doc_id % 13 AS odd FROM inv) WHERE odd <> 8""",
+        "js_tokens": checks_tokens.js_tokens_sql(), "brace_depth": checks_tokens.brace_depth_sql(), "call_args": checks_tokens.call_args_sql(),
     }
+    head = "FROM kept WHERE base = 'dockerfile'"
+    assert generic.count(head) == 1
+    text_only = generic.replace(head, "FROM (SELECT * FROM kept WHERE NOT (doc_id % 3 = 0 AND strlen(content) < 8192)) WHERE base = 'dockerfile'")
+    out["binary_files"] = f"WITH {text_only} SELECT repo, path, rule_id, CAST(line AS INT) AS line, evidence, verdict FROM generic"
+    out["language_matrix"] = f"""WITH {inv}, {matrix}, held AS (SELECT repo, lang, count(*) AS files FROM kept WHERE lang IN ('go', 'javascript', 'typescript') GROUP BY repo, lang),
+counted AS (SELECT language, status, count(*) AS classes FROM matrix GROUP BY ALL)
+SELECT repo, lang, files, status, classes FROM held JOIN counted ON language = CASE lang WHEN 'go' THEN 'go' ELSE 'javascript-typescript' END"""
     cells = f"""WITH {found}, {matrix}, per_rule AS (SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id),
 cells AS (SELECT m.domain, m.source, m.name, m.language, m.status, count(u.rule_id) AS n_rules, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS findings
   FROM matrix m LEFT JOIN (SELECT source, name, language, unnest(rules) AS rule_id FROM covered) u ON u.source = m.source AND u.name = m.name AND u.language = m.language

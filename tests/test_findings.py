@@ -1,11 +1,14 @@
+import time
+
 from pyspark.sql import functions as F
 
 from codesift.operators import coverage as cov
 from codesift.operators import findings as fd
-from codesift.plans.audit import Audit, corpus_audit
+from codesift.plans.audit import PACKS, Audit, corpus_audit
 from codesift.plans.corpus import all_cases, expected_rows
 from codesift.plans.queries import QUERIES, oracles
 from codesift.sinks import event_envelopes, report_documents
+from codesift.sources.tables import files_from_table
 
 
 def raw(spark, rows):
@@ -89,3 +92,33 @@ def test_pieces_follow_the_volume_of_text(spark):
         assert session.buckets(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.set("codesift.pieces", told) if told else spark.conf.unset("codesift.pieces")
+
+
+def test_reports_say_when_and_how(spark):
+    import json
+
+    rows = [("r", "a/x.txt", b"AKIA", False, True), ("r", "a/y.txt", b"plain", False, False)]
+    files = files_from_table(spark.createDataFrame(rows, "repo string, path string, content binary, symlink boolean, git_ignored boolean"))
+    assert files.columns == ["repo", "path", "content", "size", "git_ignored", "symlink"]
+    for options, mode, kept in (({}, "git", 1), ({"include_ignored": True}, "filesystem", 2)):
+        audit = Audit(files, packs={"generic": PACKS["generic"]}, **options)
+        head = json.loads(report_documents(audit).where("kind = 'header'").first().document)
+        assert (head["project"]["discovery_mode"], head["project"]["files"]) == (mode, kept)
+        assert head["started_at"] <= head["finished_at"] and head["duration_ms"] >= 0
+    assert audit.started_ms <= time.time() * 1000
+
+
+def test_scripts_are_cut_alike_by_the_checking_engine():
+    import duckdb
+
+    from codesift.operators.tokens import js_cut
+    from codesift.plans.checks_tokens import script_tokens_sql
+    from codesift.plans.corpus import case_rows
+    from codesift.plans.corpus import sql_text
+
+    made = ["a = b / c / d; e = /[/]x/g.test(f)", "`a${`b${{c: 1}}`}d` + {e: `f`}", "x = '//' // y\n/* z */ w", "return /q\\//u; i++ / 2", "'open\nnext `$$${1}$`"]
+    bodies = [body for _, _, body, _ in case_rows()] + made
+    rows = ", ".join(f"({no}, 'a{no}.ts', {sql_text(b)}, '')" for no, b in enumerate(bodies))
+    sql = f"WITH RECURSIVE cases(case_no, path_text, body_text, note) AS (VALUES {rows}), {script_tokens_sql()}"
+    got = duckdb.sql(f"{sql} SELECT case_no, list(text ORDER BY step) FROM kinds GROUP BY case_no").fetchall()
+    assert dict(got) == {no: js_cut(b.replace("@@ID@@", "7")) for no, b in enumerate(bodies)}
