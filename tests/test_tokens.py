@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from codesift.operators import tokens as tk
@@ -63,3 +65,17 @@ def test_pieces_rebuild_the_text(spark):
 def test_go_statement_ends(spark):
     rows = tk.go_tokens(files(spark, "package a\n\nvar x = 1 // c\nfunc f() {\n}\n")).orderBy("idx").collect()
     assert [r.text for r in rows] == ["package", "a", ";", "var", "x", "=", "1", ";", "func", "f", "(", ")", "{", "}", ";"]
+
+
+def test_long_lines_are_measured_in_one_pass(spark):
+    # The last line of a piece was looked for again from each of its characters: 400 KB took minutes.
+    began = time.monotonic()
+    text = "package a\nconst s = `é\n" + "x " * 200_000 + "`; var t = 1\n"
+    got = {r.text[:3]: (r.line, r.col) for r in tk.go_tokens(files(spark, text)).select("text", "line", "col").collect()}
+    assert got["var"] == (3, 400_004) and got["1"] == (3, 400_012) and got["`é\n"] == (2, 11)
+    assert time.monotonic() - began < 30
+
+
+def test_columns_behind_a_carriage_return(spark):
+    rows = tk.go_tokens(files(spark, "package a\nconst s = `x\ny\rzé` + t\n")).where("text = 't'").collect()
+    assert [(r.line, r.col) for r in rows] == [(3, 8)]
