@@ -44,3 +44,13 @@ def test_paths(spark):
     assert one(spark, ["a/./b", "a/../b", "../x", "a//b", "a/b"], inv.normal_path) == ["a/b", "b", None, "a/b", "a/b"]
     assert one(spark, ["view.jsx", "service.tsx", "Dockerfile.prod", "a.zig"], inv.language) == ["javascript", "typescript", "dockerfile", "other"]
     assert one(spark, ["x/Vendor/a.go", "vendor", "src/bin.go"], inv.in_dependency_dir) == [True, False, False]
+
+
+def test_words_are_found_anywhere_in_either_case(spark):
+    from pyspark.sql import functions as F
+
+    from codesift.functions.text import any_of, any_of_folded
+
+    rows = spark.createDataFrame([("a GHP_ b",), ("ghp_",), ("x${y",), ("Todo",), ("-----X",), ("tod o",), ("]]",)], "t string")
+    got = rows.select(any_of(F.col("t"), ["ghp_", "${", "-----", "]]"]), any_of_folded(F.col("t"), ["todo", "ghp_"])).collect()
+    assert [tuple(r) for r in got] == [(False, True), (True, True), (True, False), (False, True), (True, False), (False, False), (True, False)]
