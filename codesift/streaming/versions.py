@@ -77,16 +77,22 @@ class LastVersion(StatefulProcessor):
         self.facts = handle.getMapState("facts", "kind string, fact_key string", FACT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        some = pd.concat(list(rows))
+        parts = list(rows)
+        some = pd.concat(parts) if len(parts) > 1 else parts[0]
         newest = some["ingest_ts"].max()
-        if self.since.exists() and pd.Timestamp(self.since.get()[0]) > newest:
+        since = self.since.get()
+        if since is not None and pd.Timestamp(since[0]) > newest:
             return
-        self.since.update((newest.to_pydatetime(),))
-        now = some[(some["ingest_ts"] == newest) & (some["kind"] != "file")].sort_values(["phase", "pos", "rule_no"], kind="stable")
+        # Each question to the state is a message: a time is told only when it moves, a new file has no facts.
+        if since is None or pd.Timestamp(since[0]) != newest:
+            self.since.update((newest.to_pydatetime(),))
         fresh: dict[tuple, tuple] = {}
-        for row in now.itertuples():
-            fresh.setdefault((row.kind, row.fact_key), tuple(self.plain(getattr(row, c)) for c in self.columns))
-        held = {tuple(k): tuple(v) for k, v in self.facts.iterator()} if self.facts.exists() else {}
+        told = some["kind"] != "file"
+        if told.any():
+            now = some[(some["ingest_ts"] == newest) & told].sort_values(["phase", "pos", "rule_no"], kind="stable")
+            for row in now.itertuples():
+                fresh.setdefault((row.kind, row.fact_key), tuple(self.plain(getattr(row, c)) for c in self.columns))
+        held = {} if since is None else {tuple(k): tuple(v) for k, v in self.facts.iterator()}
         out = []
         for k in held.keys() - {k for k, v in fresh.items() if held.get(k) == v}:
             out.append((*key, *k, -1, *held[k]))

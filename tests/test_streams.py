@@ -2,12 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from codesift.operators.rules_generic import script_names
 from codesift.streaming.scan import LANDING_SCHEMA
-from codesift.streaming.versions import Folders, findings_now, stages_now, summary_now
+from codesift.streaming.versions import Folders, LastVersion, findings_now, stages_now, summary_now
 
 DROP = 'exec su-exec app "$@"\n'
 IMAGE = 'FROM x\nENTRYPOINT ["/{}"]\n'
@@ -68,3 +69,48 @@ def test_names_in_a_long_entrypoint_line(spark):
     start = time.time()
     got = {r["script"] for r in script_names(rows, "repo").collect()}
     assert got == {"a.sh", "run.bash", "bash"} and time.time() - start < 20
+
+
+def test_few_messages_to_the_state_per_version():
+    # Every question to the state is a message; files without findings asked four times per version.
+    class Held:
+        def __init__(self):
+            self.value, self.pairs, self.asked = None, {}, 0
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def exists(self):
+            self.asked += 1
+            return self.value is not None or bool(self.pairs)
+
+        def update(self, value):
+            self.asked += 1
+            self.value = value
+
+        def iterator(self):
+            self.asked += 1
+            return iter(list(self.pairs.items()))
+
+        def updateValue(self, key, value):
+            self.pairs[key] = value
+
+        def removeKey(self, key):
+            del self.pairs[key]
+
+    def version(hour, *facts):
+        rows = [{"kind": "file", "fact_key": ""}, *facts]
+        blank = {"ingest_ts": pd.Timestamp(hour, unit="h"), "phase": 0, "pos": 0, "rule_no": 0, **dict.fromkeys(LastVersion.columns)}
+        return iter([pd.DataFrame([blank | r for r in rows])])
+
+    def said(state, *args):
+        return [tuple(x) for out in state.handleInputRows(("r", "p"), version(*args), None) for x in out[["fact_key", "op"]].itertuples(index=False)]
+
+    state = LastVersion()
+    state.since, state.facts = Held(), Held()
+    assert said(state, 2) == [] and state.since.asked + state.facts.asked <= 2
+    assert said(state, 2) == [] and state.since.asked + state.facts.asked <= 4
+    assert said(state, 3, {"kind": "finding", "fact_key": "x", "line": 1}) == [("x", 1)]
+    assert said(state, 1, {"kind": "finding", "fact_key": "y", "line": 1}) == []
+    assert said(state, 4) == [("x", -1)] and state.facts.pairs == {}
