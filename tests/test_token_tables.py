@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codesift.operators.code_go import LONG_LITERAL, GoTables
+from codesift.operators.code_js import COUNTERS, ScriptTables
 from codesift.operators.inventory import file_key
 from codesift.plans.audit import PACKS, Audit
 
@@ -34,3 +35,21 @@ def test_values_of_long_go_literals_count(spark):
     rows = [(name, "a.go", body.format(f"{deep}/{name}")) for name in ("bash", "cash")]
     found = Audit(spark.createDataFrame(rows, "repo string, path string, content string"), packs={"go": PACKS["go"]}).raw("go")
     assert {r["repo"] for r in found.where("rule_id = 'GO002'").collect()} == {"bash"}
+
+
+def test_last_token_of_a_script_needs_no_aggregate(spark):
+    t = ScriptTables(files(spark, ".js", "a = b", "const s = '';\nlet t = `${s}`", "f(x) // c\n", "", "// c"))
+    plan = t.file_ends._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    want = t.tokens.groupBy("file_id").agg(F.max(F.struct("idx", "kind", *[f"c_{c}" for c in COUNTERS])).alias("e"))
+    assert sorted(map(tuple, t.file_ends.select("file_id", "eof.*").collect())) == sorted(map(tuple, want.select("file_id", "e.*").collect()))
+
+
+def test_ends_of_expressions_read_marks_only(spark):
+    t = ScriptTables(files(spark, ".js", "a = f(b, {c: d})\ne = [g\n, h]; i = {j: k}", "x = y"))
+    got = {tuple(r) for r in t.assigned.select("eq", "s", "e", "x_solid").collect()}
+    assert got == {(1, 2, 11, 8), (13, 14, 18, 5), (21, 22, 26, 5), (1, 2, 2, 1)}
+    eqs = t.tokens.where(F.col("text") == "=").select("file_id", "idx", "lv", *[f"c_{c}" for c in COUNTERS])
+    plan = t.statement_spans(eqs)._jdf.queryExecution().optimizedPlan().toString()
+    # Starts, their joined rows, marks, closers, ends and file ends; no join of closers with marks.
+    assert plan.count("Join") == 3
