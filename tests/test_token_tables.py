@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codesift.operators.code_go import LONG_LITERAL, GoTables
 from codesift.operators.code_js import COUNTERS, ScriptTables
 from codesift.operators.inventory import file_key
+from codesift.operators.rules_js import GATES, js_pack, may_hold
 from codesift.plans.audit import PACKS, Audit
 
 LONG = "x" * (4 * LONG_LITERAL)
@@ -53,3 +54,24 @@ def test_ends_of_expressions_read_marks_only(spark):
     plan = t.statement_spans(eqs)._jdf.queryExecution().optimizedPlan().toString()
     # Starts, their joined rows, marks, closers, ends and file ends; no join of closers with marks.
     assert plan.count("Join") == 3
+
+
+def test_rules_asked_for_alone_cut_only_scripts_that_hold_their_words(spark):
+    some = files(
+        spark, ".js", "localStorage.setItem('userToken', x)", "#! localStorage\nsessionStorage.setItem('apiSecret', x)", "localStorage['setItem']",
+        "a.postMessage(myToken, '*')", "eval(x); new Function(y)", "const key = {rejectUnauthorized: false}; nonceToken = Math.random()", "b = c", None,
+    )
+    shown = ["path", "rule_id", "variant", "line", "column", "evidence"]
+    whole = ScriptTables(some)
+    assert whole.rows.count() > 0
+    every = sorted(map(tuple, js_pack(some, only=list(GATES), tables=whole).select(*shown).collect()))
+    assert {r[1] for r in every} == set(GATES)
+    for rule in GATES:
+        t = ScriptTables(some)
+        got = sorted(map(tuple, js_pack(some, only=[rule], tables=t).select(*shown).collect()))
+        assert got == [r for r in every if r[1] == rule]
+        assert "rows" not in t._made
+    held = ScriptTables(some).holding("JS011", may_hold(["JS011"])).cuts
+    assert sorted(r["path"] for r in held.select("path").collect()) == ["f0.js", "f1.js", "f2.js"]
+    # Tokens that lie there already are read.
+    assert whole.holding("JS011", may_hold(["JS011"])) is whole
