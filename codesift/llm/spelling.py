@@ -9,7 +9,7 @@ which the edit leaves one, too.  A join key is therefore a chunk and a half of t
 chunk; only grams that can stand for these are made: four keys for each length that the
 partner may have.  The join itself verifies pairs by their edit distance and gives out
 none but true ones; keys are as selective as three quarters of a word, and adaptive
-execution splits those that many words share.
+execution splits those that many words share.  No side of a join goes through the driver.
 
 A word's form is its most frequent near word, if that is at least twice as frequent.  Forms
 grow by a factor of two with each step, so there are no rings and chains are short; roots
@@ -28,7 +28,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.store import written
+from codesift.llm.store import merged, written
 
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
@@ -82,7 +82,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     grams = words.select(F.col("word").alias("b"), F.explode(F.array_union(same, less)).alias("key"))
     longer = F.char_length("b") > F.char_length("a")
     one_edit = F.levenshtein("a", "b", 1) == 1
-    met = chunks.join(grams, (chunks["key"] == grams["key"]) & (longer | (F.col("a") < F.col("b"))) & one_edit)
+    met = chunks.join(merged(grams), (chunks["key"] == grams["key"]) & (longer | (F.col("a") < F.col("b"))) & one_edit)
     return met.select("a", "b").distinct()
 
 
@@ -91,7 +91,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = written(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = written(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "forms")
+        moved = written(now.join(merged(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on")), "forms")
         now = moved.select("word", "root")
         if not moved.where("on").limit(1).count():
             return now
@@ -104,12 +104,12 @@ def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
     # The most frequent one, then the smallest: the least of (-n, word).
-    best = both.join(counts, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("minus"), "b")).alias("best"))
-    held = words.join(best.withColumnRenamed("a", "word"), "word", "left")
+    best = both.join(merged(counts), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("minus"), "b")).alias("best"))
+    held = words.join(merged(best.withColumnRenamed("a", "word")), "word", "left")
     twice = -F.col("best.minus") >= 2 * F.col("n")
     held = written(held.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(twice, F.col("best.b")).alias("form"),
         F.when(twice, -F.col("best.minus")).alias("form_n"),
     ), "held")
     ends = roots(held.where("form is not null"))
-    return held.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return held.join(merged(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -251,3 +251,18 @@ def test_words_are_hashed_by_id_and_lower_case(docs_of):
     cut = "zebra"[:at] + "zebra"[at + 1 :]
     got = {r["word"]: r["n"] for r in spelling.word_counts(docs_of([(hit, text), (hit + 1, text)])).collect()}
     assert len(cut) == 4 and set(got) <= {"zebra"}
+
+
+def test_no_side_of_a_spelling_join_goes_through_the_driver(spark, docs_of):
+    """Files of the vocabulary are far smaller than its rows, so they look small enough to collect."""
+    told = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in told:
+            spark.conf.set(k, "1g")
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "1")  # any broadcast fails
+        got = spelling.spelling_groups(docs_of(spelling_rows(1))).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        for k, v in told.items():
+            spark.conf.set(k, v)
+    assert {tuple(r) for r in got} == brute_spelling(spelling_rows(1))
