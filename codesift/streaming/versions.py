@@ -11,15 +11,19 @@ the corpus; they are the same for any order and any cut into batches.
 
 Both are arbitrary state operators on the RocksDB store: state lies on disk and in the
 checkpoint, so a lost executor loses none of it.  A file's facts are bounded by its text.
+A call of an operator, its frames and its state's key cost as much as hundreds of versions,
+so files are dealt to slots by their hash and a call serves a slot; inside, each file has an
+entry of its own, and only entries that a batch tells of are asked for.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +39,14 @@ CHANGES = f"repo string, path string, kind string, fact_key string, op int, {FAC
 EXCUSES = "repo string, path string, op int"
 # Fixed value: the longest base name that common file systems allow.
 NAME_LIMIT = 255
+# Groups of files; part of the state, so a checkpoint holds for this number only.
+SLOTS = 1024
+# Fixed value: a version without a time is older than all others.
+NEVER = -(1 << 62)
+
+
+def _slot(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int").alias("slot")
 
 
 def file_facts(files: DataFrame) -> DataFrame:
@@ -67,8 +79,14 @@ def file_facts(files: DataFrame) -> DataFrame:
     return out
 
 
+def differences(held: dict, fresh: dict) -> list[tuple]:
+    """(op, key, fact): held facts that go, then fresh ones that come."""
+    gone = [(-1, k, v) for k, v in held.items() if fresh.get(k) != v]
+    return gone + [(1, k, v) for k, v in fresh.items() if held.get(k) != v]
+
+
 class LastVersion(StatefulProcessor):
-    """Facts of the last version of a file; gives out what changes."""
+    """Facts of the last version of a file; gives out what changes.  For streams keyed by file."""
 
     columns = [c.split()[0] for c in FACT.split(", ")]
 
@@ -94,12 +112,11 @@ class LastVersion(StatefulProcessor):
                 fresh.setdefault((row.kind, row.fact_key), tuple(self.plain(getattr(row, c)) for c in self.columns))
         held = {} if since is None else {tuple(k): tuple(v) for k, v in self.facts.iterator()}
         out = []
-        for k in held.keys() - {k for k, v in fresh.items() if held.get(k) == v}:
-            out.append((*key, *k, -1, *held[k]))
-            self.facts.removeKey(k)
-        for k, v in fresh.items():
-            if held.get(k) != v:
-                out.append((*key, *k, 1, *v))
+        for op, k, v in differences(held, fresh):
+            out.append((*key, *k, op, *v))
+            if op < 0:
+                self.facts.removeKey(k)
+            else:
                 self.facts.updateValue(k, v)
         if out:
             yield pd.DataFrame(out, columns=["repo", "path", "kind", "fact_key", "op", *self.columns]).astype({"line": "Int32"})
@@ -112,10 +129,50 @@ class LastVersion(StatefulProcessor):
         pass
 
 
+class LastVersions(StatefulProcessor):
+    """The same for the files of a slot: an entry per file, with its time and its facts."""
+
+    columns = ["repo", "path", "at", "kind", "fact_key", "phase", "pos", "rule_no", *LastVersion.columns]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.files = handle.getMapState("files", "repo string, path string", "at bigint, facts string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        plain = LastVersion.plain
+        newest: dict[tuple, tuple[int, list]] = {}  # file: time and facts of its newest version here
+        for part in rows:
+            for repo, path, at, kind, *rest in zip(*(part[c].tolist() for c in self.columns), strict=True):
+                file = (plain(repo), plain(path))
+                if file not in newest or newest[file][0] < at:
+                    newest[file] = (at, [])
+                if kind != "file" and newest[file][0] == at:
+                    newest[file][1].append((kind, *rest))
+        out = []
+        for file, (at, told) in newest.items():
+            # Two messages to the state for a newer version, one for an older or repeated one.
+            since, facts = self.files.getValue(file) or (None, None)
+            if since is not None and since > at:
+                continue
+            fresh: dict[tuple, tuple] = {}
+            for kind, fact_key, _, _, _, *fact in sorted(told, key=lambda row: row[2:5]):
+                fresh.setdefault((kind, fact_key), tuple(map(plain, fact)))
+            held = {(kind, fact_key): tuple(fact) for kind, fact_key, *fact in json.loads(facts)} if facts else {}
+            moved = differences(held, fresh)
+            if moved or since != at:
+                self.files.updateValue(file, (at, json.dumps([(*k, *v) for k, v in fresh.items()]) if fresh else None))
+            out += [(*file, *k, op, *v) for op, k, v in moved]
+        if out:
+            yield pd.DataFrame(out, columns=["repo", "path", "kind", "fact_key", "op", *LastVersion.columns]).astype({"line": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
 def file_changes(files: DataFrame) -> DataFrame:
     """The change log of a stream of file versions, as CHANGES."""
-    return file_facts(files).groupBy("repo", "path").transformWithStateInPandas(
-        statefulProcessor=LastVersion(), outputStructType=CHANGES, outputMode="Append", timeMode="None"
+    facts = file_facts(files).select("*", _slot("repo", "path"), F.coalesce(F.unix_micros("ingest_ts"), F.lit(NEVER)).alias("at"))
+    return facts.drop("ingest_ts").groupBy("slot").transformWithStateInPandas(
+        statefulProcessor=LastVersions(), outputStructType=CHANGES, outputMode="Append", timeMode="None"
     )
 
 

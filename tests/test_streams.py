@@ -1,5 +1,6 @@
 """Streams of file versions: any order and any cut into batches gives the same state."""
 
+import collections
 import random
 
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codesift.operators.rules_generic import script_names
 from codesift.streaming.scan import LANDING_SCHEMA
-from codesift.streaming.versions import Folders, LastVersion, findings_now, stages_now, summary_now
+from codesift.streaming.versions import Folders, LastVersion, LastVersions, findings_now, stages_now, summary_now
 
 DROP = 'exec su-exec app "$@"\n'
 IMAGE = 'FROM x\nENTRYPOINT ["/{}"]\n'
@@ -114,3 +115,78 @@ def test_few_messages_to_the_state_per_version():
     assert said(state, 3, {"kind": "finding", "fact_key": "x", "line": 1}) == [("x", 1)]
     assert said(state, 1, {"kind": "finding", "fact_key": "y", "line": 1}) == []
     assert said(state, 4) == [("x", -1)] and state.facts.pairs == {}
+
+
+class Entries:
+    """A map state in memory that counts messages."""
+
+    def __init__(self):
+        self.pairs, self.asked = {}, 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.pairs.get(key)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.pairs
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.pairs[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self.pairs[key]
+
+    def keys(self):
+        self.asked += 1
+        return iter(list(self.pairs))
+
+
+def last_versions():
+    state = LastVersions()
+    state.files = Entries()
+    return state
+
+
+def frame(rows, columns):
+    return pd.DataFrame([dict.fromkeys(columns) | {"phase": 0, "pos": 0, "rule_no": 0} | r for r in rows], columns=columns)
+
+
+def rows_of(out):
+    return [tuple(None if pd.isna(x) else x for x in row) for df in out for row in df.itertuples(index=False)]
+
+
+def test_one_call_serves_the_files_of_a_slot():
+    # A call per file took some five milliseconds for each version; two messages per new version are left.
+    state = last_versions()
+    files = [{"repo": None if i % 7 == 0 else "r", "path": f"p{i}", "at": 5, "kind": "file", "fact_key": ""} for i in range(500)]
+    facts = [f | {"kind": "finding", "fact_key": "x", "line": 3} for f in files[:50]]
+    out = rows_of(state.handleInputRows((1,), iter([frame(files + facts, LastVersions.columns)]), None))
+    assert len(out) == 50 and state.files.asked == 1000
+    assert rows_of(state.handleInputRows((1,), iter([frame(files + facts, LastVersions.columns)]), None)) == [] and state.files.asked == 1500
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_changes_of_many_files_add_up_to_their_last_versions(seed):
+    rnd, state, log, landed = random.Random(seed), last_versions(), collections.Counter(), {}
+    for _ in range(30):
+        rows = []
+        for _ in range(rnd.randint(1, 12)):
+            repo, path, at = rnd.choice(["r", "s", None]), rnd.choice("abc"), rnd.randint(0, 40)
+            made = random.Random(f"{repo}{path}{at}")  # a version of a time is always the same
+            facts = {("finding", k): (made.randint(1, 3), None, made.choice(["é\"", None]), "e", None) for k in made.sample("xyz", made.randint(0, 3))}
+            landed.setdefault((repo, path), {})[at] = facts
+            own = {"repo": repo, "path": path, "at": at}
+            rows.append(own | {"kind": "file", "fact_key": ""})
+            for (kind, key), fact in facts.items():
+                rows.append(own | {"kind": kind, "fact_key": key, **dict(zip(LastVersion.columns, fact, strict=True))})
+                # A later finding with the same print says nothing.
+                rows.append(own | {"kind": kind, "fact_key": key, "pos": 1, "line": 99})
+        rnd.shuffle(rows)
+        parts = iter([frame(rows[:5], LastVersions.columns), *([frame(rows[5:], LastVersions.columns)] if rows[5:] else [])])
+        for repo, path, kind, key, op, *fact in rows_of(state.handleInputRows((1,), parts, None)):
+            log[(repo, path, kind, key, *fact)] += op
+        want = {(*f, *k, *v) for f, versions in landed.items() for k, v in versions[max(versions)].items()}
+        assert {k for k, n in log.items() if n} == want and set(log.values()) <= {0, 1}
