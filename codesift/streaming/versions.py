@@ -12,14 +12,15 @@ the corpus; they are the same for any order and any cut into batches.
 Both are arbitrary state operators on the RocksDB store: state lies on disk and in the
 checkpoint, so a lost executor loses none of it.  A file's facts are bounded by its text.
 A call of an operator, its frames and its state's key cost as much as hundreds of versions,
-so files are dealt to slots by their hash and a call serves a slot; inside, each file has an
-entry of its own, and only entries that a batch tells of are asked for.
+so files and names are dealt to slots by their hash and a call serves a slot; inside, each
+file and name has an entry of its own, and only entries that a batch tells of are asked for.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +40,7 @@ CHANGES = f"repo string, path string, kind string, fact_key string, op int, {FAC
 EXCUSES = "repo string, path string, op int"
 # Fixed value: the longest base name that common file systems allow.
 NAME_LIMIT = 255
-# Groups of files; part of the state, so a checkpoint holds for this number only.
+# Groups of files and of names; part of the state, so a checkpoint holds for this number only.
 SLOTS = 1024
 # Fixed value: a version without a time is older than all others.
 NEVER = -(1 << 62)
@@ -176,27 +177,59 @@ def file_changes(files: DataFrame) -> DataFrame:
     )
 
 
-class ScriptName(StatefulProcessor):
-    """Scripts of one name that drop privileges, and stages that ask for it."""
+class ScriptNames(StatefulProcessor):
+    """Scripts of each name that drop privileges, and stages that ask for it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scripts = handle.getValueState("scripts", "n int")
-        self.stages = handle.getMapState("stages", "path string", "n int")
+        self.names = handle.getMapState("names", "repo string, name string", "scripts int, asked boolean")
+        self.stages = handle.getMapState("stages", "repo string, name string, path string", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        some = pd.concat(list(rows))
-        before = self.scripts.get()[0] if self.scripts.exists() else 0
-        after = before + int(some.loc[some["kind"] == "script", "op"].sum())
-        self.scripts.update((after,))
-        moved = some[some["kind"] == "stage"].groupby("path")["op"].sum()
-        was = {k[0] for k, _ in self.stages.iterator()} if self.stages.exists() and (len(moved) or (before > 0) != (after > 0)) else set()
-        now = (was | {p for p, n in moved.items() if n > 0}) - {p for p, n in moved.items() if n < 0}
-        for path in now - was:
-            self.stages.updateValue((path,), (1,))
-        for path in was - now:
-            self.stages.removeKey((path,))
-        excused_before, excused_now = was if before > 0 else set(), now if after > 0 else set()
-        out = [(key[0], p, 1) for p in excused_now - excused_before] + [(key[0], p, -1) for p in excused_before - excused_now]
+        scripts, stages, plain = Counter(), Counter(), LastVersion.plain
+        for part in rows:
+            for repo, name, path, kind, op in zip(*(part[c].tolist() for c in ("repo", "name", "path", "kind", "op")), strict=True):
+                if kind == "script":
+                    scripts[plain(repo), name] += op
+                else:
+                    stages[plain(repo), name, plain(path)] += op
+        moved: dict[tuple, list] = {k: [] for k in scripts}
+        for (*name, path), n in stages.items():
+            moved.setdefault(tuple(name), []).append((path, n))
+        counts, turned = {}, {}
+        for name, paths in moved.items():
+            before, asked = self.names.getValue(name) or (0, False)
+            after, now = before + scripts[name], asked or any(n > 0 for _, n in paths)
+            counts[name] = before, after, asked
+            if (after, now) != (before, asked):
+                self.names.updateValue(name, (after, now))
+            if asked and (before > 0) != (after > 0):
+                turned[name] = set()
+        # All stages of a name matter only where it gets its first script or loses its last one.
+        for *name, path in self.stages.keys() if turned else ():
+            if tuple(name) in turned:
+                turned[tuple(name)].add(path)
+        out = []
+        for name, paths in moved.items():
+            before, after, asked = counts[name]
+            excused_before = set(turned.get(name, ()) if before > 0 else ())
+            excused_now = set(turned.get(name, ()) if after > 0 else ())
+            for path, n in paths:
+                if n == 0:
+                    continue
+                # Without a script before and after, whether a new stage was there says nothing.
+                asks = asked and (n < 0 or before > 0 or after > 0)
+                was = path in turned[name] if name in turned else asks and self.stages.containsKey((*name, path))
+                if n > 0 and not was:
+                    self.stages.updateValue((*name, path), (1,))
+                elif n < 0 and was:
+                    self.stages.removeKey((*name, path))
+                if was and before > 0:
+                    excused_before.add(path)
+                if n > 0 and after > 0:
+                    excused_now.add(path)
+                else:
+                    excused_now.discard(path)
+            out += [(name[0], p, 1) for p in excused_now - excused_before] + [(name[0], p, -1) for p in excused_before - excused_now]
         if out:
             yield pd.DataFrame(out, columns=["repo", "path", "op"])
 
@@ -211,8 +244,8 @@ def excuses(changes: DataFrame) -> DataFrame:
         "repo", "path", "op", F.col("name").alias("entry"), F.sequence(F.lit(1), F.lit(NAME_LIMIT)).alias("lengths")
     )
     asked = script_names(stages, "repo", "path", "op").select("repo", F.col("script").alias("name"), "path", F.lit("stage").alias("kind"), "op")
-    return scripts.unionByName(asked).groupBy("repo", "name").transformWithStateInPandas(
-        statefulProcessor=ScriptName(), outputStructType=EXCUSES, outputMode="Append", timeMode="None"
+    return scripts.unionByName(asked).select("*", _slot("repo", "name")).groupBy("slot").transformWithStateInPandas(
+        statefulProcessor=ScriptNames(), outputStructType=EXCUSES, outputMode="Append", timeMode="None"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codesift.operators.rules_generic import script_names
 from codesift.streaming.scan import LANDING_SCHEMA
-from codesift.streaming.versions import Folders, LastVersion, LastVersions, findings_now, stages_now, summary_now
+from codesift.streaming.versions import Folders, LastVersion, LastVersions, ScriptNames, findings_now, stages_now, summary_now
 
 DROP = 'exec su-exec app "$@"\n'
 IMAGE = 'FROM x\nENTRYPOINT ["/{}"]\n'
@@ -190,3 +190,24 @@ def test_changes_of_many_files_add_up_to_their_last_versions(seed):
             log[(repo, path, kind, key, *fact)] += op
         want = {(*f, *k, *v) for f, versions in landed.items() for k, v in versions[max(versions)].items()}
         assert {k for k, n in log.items() if n} == want and set(log.values()) <= {0, 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_excuses_of_many_names_add_up(seed):
+    rnd, state, log = random.Random(seed), ScriptNames(), collections.Counter()
+    state.names, state.stages = Entries(), Entries()
+    scripts, stages = set(), set()
+    for _ in range(60):
+        rows = []
+        for _ in range(rnd.randint(1, 6)):
+            repo, name, path, kind = rnd.choice(["r", None]), rnd.choice("mn"), rnd.choice("abc"), rnd.choice(["script", "stage"])
+            held = scripts if kind == "script" else stages
+            op = -1 if (repo, name, path) in held else 1
+            (held.discard if op < 0 else held.add)((repo, name, path))
+            rows.append({"repo": repo, "name": name, "path": path, "kind": kind, "op": op})
+        out = state.handleInputRows((1,), iter([pd.DataFrame(rows)]), None)
+        for repo, path, op in rows_of(out):
+            log[repo, path] += op
+        there = {s[:2] for s in scripts}
+        assert +log == collections.Counter((r, p) for r, n, p in stages if (r, n) in there)
+        assert set(state.stages.pairs) == stages
